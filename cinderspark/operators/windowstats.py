@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderspark.functions.calendar import day_number
 from cinderspark.operators.lookback import RAIN, attach_observations
 from cinderspark.operators.skew import lookup
 
@@ -32,20 +31,18 @@ def rain_statistics(windows: DataFrame, rain: DataFrame, key: list[str], day: st
     ``n_missing`` counts the days that had no row.
     """
     seen = attach_observations(windows, rain, key, day, [value], "_obs", max_days)
-    days = F.datediff("dtw_end", "dtw_start") + 1
-    present = F.transform("_obs", lambda o: F.coalesce(o[value], F.lit(0.0)))
     return (
-        seen.withColumn("n_missing", days - F.size("_obs"))
-        .withColumn("_v", F.sort_array(F.concat(present, F.array_repeat(F.lit(0.0), F.col("n_missing")))))
+        seen.withColumn("_mm", F.array_compact(F.col("_obs")[value]))
+        .withColumn("n_missing", F.size("_obs") - F.size("_mm"))
+        .withColumn("_v", F.sort_array(F.concat("_mm", F.array_repeat(F.lit(0.0), F.col("n_missing")))))
         .select(*windows.columns, "n_missing", *array_statistics(F.col("_v"), "prec", with_sum=True))
     )
 
 
 def temperature_statistics(windows: DataFrame, series: DataFrame, key: list[str], day: str = "day", value: str = "kelvin", max_days: int = RAIN.max_days) -> DataFrame:
     """Four temperature statistics over the days with a valid value; NULL if there is none."""
-    valid = series.where(F.col(value).isNotNull())
-    seen = attach_observations(windows, valid, key, day, [value], "_obs", max_days)
-    return seen.withColumn("_v", F.sort_array(F.transform("_obs", lambda o: o[value]))).select(
+    seen = attach_observations(windows, series, key, day, [value], "_obs", max_days)
+    return seen.withColumn("_v", F.sort_array(F.array_compact(F.col("_obs")[value]))).select(
         *windows.columns, *array_statistics(F.col("_v"), "lst")
     )
 
@@ -56,11 +53,9 @@ def vegetation_statistics(
     """Four statistics of three indices over every ``step_days``-th day from the window start."""
     names = ["ndvi", "evi", "ndwi"]
     seen = attach_observations(windows, indices, key, day, names, "_obs", max_days)
-    sampled = F.filter("_obs", lambda o: (o["d"] - day_number(F.col("dtw_start"))) % step_days == 0)
-    out = seen.withColumn("_obs", sampled)
+    out = seen.withColumn("_obs", F.filter("_obs", lambda _, i: i % step_days == 0))
     for name in names:
-        values = F.filter(F.transform("_obs", lambda o: o[name]), lambda x: x.isNotNull())
-        out = out.withColumn(f"_{name}", F.sort_array(values))
+        out = out.withColumn(f"_{name}", F.sort_array(F.array_compact(F.col("_obs")[name])))
     statistics = [c for name in names for c in array_statistics(F.col(f"_{name}"), name)]
     return out.select(*windows.columns, *statistics)
 
