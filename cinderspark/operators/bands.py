@@ -11,13 +11,13 @@ BANDS = list(BAND_CODES)
 def assemble(
     cells: DataFrame, key: list[str], day: str, band: str = "band", raw: str = "raw", nodata: float | None = None
 ) -> DataFrame:
-    """One row per key and day with a raw column per band; a day needs at least four bands present.
+    """One row per key and day with a raw column (double) per band; a day needs at least four bands present.
 
     A band whose value is ``nodata`` is present, but NULL.
     """
     known = cells.where(F.col(band).isin(BANDS))
     value = F.col(raw) if nodata is None else F.when(F.col(raw) != nodata, F.col(raw))
-    columns = [F.max(F.when(F.col(band) == name, value)).alias(name) for name in BANDS]
+    columns = [F.max(F.when(F.col(band) == name, value)).cast("double").alias(name) for name in BANDS]
     return (
         known.groupBy(*key, day)
         .agg(*columns, F.count(F.lit(1)).alias("_present"))

@@ -140,9 +140,10 @@ def exclude_near(points: DataFrame, targets: DataFrame, km: float, pid: str = "p
 def nearest_km(points: DataFrame, targets: DataFrame, pid: str = "pid", lat: str = "lat", lon: str = "lon", limit: int = CELL_LIMIT) -> DataFrame:
     """(pid, nearest_km): exact planar distance to the nearest target.
 
-    The targets' extent is split level by level; a point keeps the cells that can still hold its nearest
-    target, judged by the best farthest-corner distance so far, and compares itself with the targets of
-    the finest ones only.
+    Points with a target in the ring of finest cells around them, nearer than a cell side, are settled at
+    once. For the others the targets' extent is split level by level; a point keeps the cells that can
+    still hold its nearest target, judged by the best farthest-corner distance so far, and compares itself
+    with the targets of the finest ones only.
     """
     box = targets.agg(F.min(lat), F.max(lat), F.min(lon), F.max(lon)).first()
     if box[0] is None:
@@ -151,10 +152,28 @@ def nearest_km(points: DataFrame, targets: DataFrame, pid: str = "pid", lat: str
     side = max(box[1] - south, box[3] - west, 1e-6) * (1 + 1e-9)
     levels = _levels_needed(targets, lat, lon, south, west, side, limit)
     index = _index(targets, lat, lon, south, west, side, levels)
-    pairs = points.select(
-        F.col(pid).alias("_id"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"),
-        F.lit(0).cast("bigint").alias("_i"), F.lit(0).cast("bigint").alias("_j"),
+    place = points.select(F.col(pid).alias("_id"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
+    distance = planar_km(F.col("_lat"), F.col("_lon"), F.col("_tlat"), F.col("_tlon"))
+    finest = side / FAN**levels
+    ring = F.sequence(F.lit(-1), F.lit(1))
+    around = (
+        place.withColumn("_di", F.explode(ring))
+        .withColumn("_dj", F.explode(ring))
+        .select(
+            "_id", "_lat", "_lon",
+            (F.floor((F.col("_lat") - F.lit(south)) / F.lit(finest)).cast("bigint") + F.col("_di")).alias("_i"),
+            (F.floor((F.col("_lon") - F.lit(west)) / F.lit(finest)).cast("bigint") + F.col("_dj")).alias("_j"),
+        )
     )
+    # A target nearer than one cell side cannot be outside the ring of cells around a point.
+    settled = (
+        around.join(index, ["_i", "_j"])
+        .groupBy("_id")
+        .agg(F.min(distance).alias("nearest_km"))
+        .where(F.col("nearest_km") < (finest - SLACK) * KM_PER_DEGREE)
+    )
+    root = [F.lit(0).cast("bigint").alias("_i"), F.lit(0).cast("bigint").alias("_j")]
+    pairs = place.join(settled, "_id", "left_anti").select("_id", "_lat", "_lon", *root)
     mine = Window.partitionBy("_id")
     for level in range(levels):
         step = side / FAN ** (level + 1)
@@ -178,12 +197,8 @@ def nearest_km(points: DataFrame, targets: DataFrame, pid: str = "pid", lat: str
             kept.select("_id", "_lat", "_lon", F.explode("_kept").alias("_k"))
             .select("_id", "_lat", "_lon", F.col("_k.i").alias("_i"), F.col("_k.j").alias("_j"))
         )
-    distance = planar_km(F.col("_lat"), F.col("_lon"), F.col("_tlat"), F.col("_tlon"))
-    return (
-        pairs.join(index, ["_i", "_j"])
-        .groupBy(F.col("_id").alias(pid))
-        .agg(F.min(distance).alias("nearest_km"))
-    )
+    rest = pairs.join(index, ["_i", "_j"]).groupBy("_id").agg(F.min(distance).alias("nearest_km"))
+    return settled.unionByName(rest).withColumnRenamed("_id", pid)
 
 
 def tile_memberships(points: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:

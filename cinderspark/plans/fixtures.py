@@ -282,9 +282,9 @@ SOURCES: dict[str, tuple[str, list[str]]] = {
         ["anchors", "windows"],
     ),
     "wide_bands": (
-        """SELECT cell, day, max(raw) FILTER (band = 'red') AS red, max(raw) FILTER (band = 'nir') AS nir,
-        max(raw) FILTER (band = 'blue') AS blue, max(raw) FILTER (band = 'swir1') AS swir1,
-        max(raw) FILTER (band = 'swir2') AS swir2 FROM bands GROUP BY 1, 2 HAVING count(*) >= 4""",
+        """SELECT cell, day, CAST(max(raw) FILTER (band = 'red') AS DOUBLE) AS red, CAST(max(raw) FILTER (band = 'nir') AS DOUBLE) AS nir,
+        CAST(max(raw) FILTER (band = 'blue') AS DOUBLE) AS blue, CAST(max(raw) FILTER (band = 'swir1') AS DOUBLE) AS swir1,
+        CAST(max(raw) FILTER (band = 'swir2') AS DOUBLE) AS swir2 FROM bands GROUP BY 1, 2 HAVING count(*) >= 4""",
         ["bands"],
     ),
     "indices": (
