@@ -323,12 +323,12 @@ def c8(spark, folder):
     return fx.gappy_matrix(spark, folder).select("pid", clean.clean_curve(F.col("f2")).alias("f2"))
 
 
-SPLIT_SQL = ", s AS (SELECT quantile_cont(epoch_us(CAST(date AS TIMESTAMP)), 8e-1) AS at FROM scores)"
+SPLIT_SQL = ", s AS (SELECT quantile_cont(epoch_us(CAST(date AS TIMESTAMP)), 8e-1) AS cut FROM scores)"
 
 
 @query(
     "t8_temporal_split",
-    fx.ctes("scores") + SPLIT_SQL + "SELECT pid, date, epoch_us(CAST(date AS TIMESTAMP)) < at AS in_train FROM scores, s",
+    fx.ctes("scores") + SPLIT_SQL + "SELECT pid, date, epoch_us(CAST(date AS TIMESTAMP)) < cut AS in_train FROM scores, s",
 )
 def t8(spark, folder):
     from cinderspark.operators.splits import temporal_split
@@ -341,7 +341,7 @@ def t8(spark, folder):
     fx.ctes("scores")
     + SPLIT_SQL
     + """SELECT in_train, count(*) AS n, round(count(*) * 1e2 / sum(count(*)) OVER (), 6) AS pct, min(date) AS first_day, max(date) AS last_day
-    FROM (SELECT date, epoch_us(CAST(date AS TIMESTAMP)) < at AS in_train FROM scores, s) GROUP BY 1""",
+    FROM (SELECT date, epoch_us(CAST(date AS TIMESTAMP)) < cut AS in_train FROM scores, s) GROUP BY 1""",
 )
 def t8_report(spark, folder):
     from cinderspark.operators.splits import split_report, temporal_split
@@ -354,7 +354,7 @@ def t8_report(spark, folder):
 COUNT_SQL = "count(*) FILTER (y = 1 AND yhat = 1) AS tp, count(*) FILTER (y = 0 AND yhat = 1) AS fp, count(*) FILTER (y = 1 AND yhat = 0) AS fn, count(*) FILTER (y = 0 AND yhat = 0) AS tn"
 METRIC_SQL = """tp + fp + fn + tn AS n, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision,
   round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1"""
-SPLIT_PROBS_SQL = """, sp AS (SELECT p.pid, p.p, p.y, p.yhat, CASE WHEN epoch_us(CAST(date AS TIMESTAMP)) < at THEN 'train' ELSE 'test' END AS side
+SPLIT_PROBS_SQL = """, sp AS (SELECT p.pid, p.p, p.y, p.yhat, CASE WHEN epoch_us(CAST(date AS TIMESTAMP)) < cut THEN 'train' ELSE 'test' END AS side
   FROM probabilities p JOIN scores USING (pid), s)"""
 AUC_SQL = """SELECT side, round(sum(neg * (tps - pos / 2)) / (max(all_pos) * max(all_neg)), 6) AS auc FROM (
   SELECT side, pos, neg, sum(pos) OVER (PARTITION BY side ORDER BY p DESC) AS tps, sum(pos) OVER (PARTITION BY side) AS all_pos, sum(neg) OVER (PARTITION BY side) AS all_neg
