@@ -39,11 +39,8 @@ def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], force:
 
     A write only counts as finished with its success marker, so a stage that died half-way is redone.
     """
-    marker = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", "true")
-    try:
-        done = not force and not marker.load(f"{path}/_SUCCESS").isEmpty()
-    except Exception:
-        done = False
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    done = not force and marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
     if not done:
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
