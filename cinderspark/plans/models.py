@@ -44,7 +44,7 @@ NULLS_SQL = " + ".join(f"({c} IS NULL)::INTEGER" for c in FEATURES)
 FEATURE_LIST = ", ".join(FEATURES)
 
 
-@query("a6_feature_matrix", FEATURE_SQL + f"SELECT pid, lat, lon, date, {FEATURE_LIST}, CAST(is_fire AS INTEGER) AS target FROM features WHERE {NULLS_SQL} <= 12")
+@query("a6_feature_matrix", FEATURE_SQL + f"SELECT pid, round(lat, 6) AS lat, round(lon, 6) AS lon, date, {FEATURE_LIST}, CAST(is_fire AS INTEGER) AS target FROM features WHERE {NULLS_SQL} <= 12")
 def a6(spark, folder):
     return rounded(full_matrix(spark, folder).select("pid", "lat", "lon", "date", *FEATURES, "target"))
 
@@ -60,7 +60,7 @@ def j5(spark, folder):
     return rounded(matrix.extract_features(fx.anchors(spark, folder), observations(spark, folder)).select("pid", *FEATURES))
 
 
-@query("j6_metadata_reattach", FEATURE_SQL + "SELECT pid, lat, lon, date, is_fire, dtw_start, dtw_end, prec_sum FROM features")
+@query("j6_metadata_reattach", FEATURE_SQL + "SELECT pid, round(lat, 6) AS lat, round(lon, 6) AS lon, date, is_fire, dtw_start, dtw_end, prec_sum FROM features")
 def j6(spark, folder):
     """Values come back keyed only by id and get their point columns again."""
     anchors = fx.anchors(spark, folder)
@@ -73,7 +73,7 @@ BATCH_COLUMNS = [c for c in FEATURES if c.startswith(("lst", "ndvi", "evi", "ndw
 
 @query(
     "a4_batch_features",
-    FEATURE_SQL + f"SELECT pid, lat, lon, dtw_start, dtw_end, {', '.join(BATCH_COLUMNS)}, elevation, slope, aspect FROM features",
+    FEATURE_SQL + f"SELECT pid, round(lat, 6) AS lat, round(lon, 6) AS lon, dtw_start, dtw_end, {', '.join(BATCH_COLUMNS)}, elevation, slope, aspect FROM features",
 )
 def a4(spark, folder):
     """Batch forms one after the other on points that bring their windows."""
@@ -99,7 +99,7 @@ def _mi_sql() -> str:
         noise = f"(sqrt(-2 * ln((((pid + {42 + i}) * 48271) % 2147483647 + 1) / 2147483648e0)) * cos(((pid + {42 + i}) * 69621) % 2147483647 / 2147483647e0 * 6283185307179586e-15))"
         gaps = ", ".join([f"abs(x - lag(x, {j}) OVER w)" for j in (1, 2, 3)] + [f"abs(x - lead(x, {j}) OVER w)" for j in (1, 2, 3)])
         blocks.append(f"""x{i} AS (SELECT pid, y, {c} / s + {noise} * (1e-10 * greatest(1, round(m / s, 6))) AS x FROM labelled_lines, (SELECT round(stddev_pop({c}), 6) AS s, avg(abs({c})) AS m FROM labelled_lines)),
-        r{i} AS (SELECT pid, y, x, list_sort(list_filter([{gaps}], g -> g IS NOT NULL))[3] AS r, count(*) OVER (PARTITION BY y) AS n FROM x{i} WINDOW w AS (PARTITION BY y ORDER BY x, pid)),
+        r{i} AS (SELECT pid, y, x, list_sort(list_filter([{gaps}], lambda g: g IS NOT NULL))[3] AS r, count(*) OVER (PARTITION BY y) AS n FROM x{i} WINDOW w AS (PARTITION BY y ORDER BY x, pid)),
         c{i} AS (SELECT x AS v, sum(count(*)) OVER (ORDER BY x) AS c FROM x{i} GROUP BY 1),
         m{i} AS (SELECT p.pid, p.n, hi.c - coalesce(lo.c, 0) AS m FROM r{i} p ASOF JOIN c{i} hi ON p.x + p.r > hi.v ASOF LEFT JOIN c{i} lo ON p.x - p.r >= lo.v)""")
         parts.append(f"""SELECT {i} AS ordinal, '{c}' AS feature, round(greatest({psi("count(*)")} + {psi("3e0")} - avg({psi("n")}) - avg({psi("m")}), 0), 4) AS mi FROM m{i}""")
@@ -117,7 +117,7 @@ BINNED_SQL = (
     + ", ".join(f"quantile_cont({c}, [1e-1, 2e-1, 3e-1, 4e-1, 5e-1, 6e-1, 7e-1, 8e-1, 9e-1]) AS q_{c}" for c in LINE_FEATURES)
     + " FROM labelled_lines), b AS ("
     + " UNION ALL ".join(
-        f"SELECT {i} AS ordinal, '{c}' AS feature, y, len(list_filter(q_{c}, e -> {c} > e)) AS bin FROM labelled_lines, q" for i, c in enumerate(LINE_FEATURES)
+        f"SELECT {i} AS ordinal, '{c}' AS feature, y, len(list_filter(q_{c}, lambda e: {c} > e)) AS bin FROM labelled_lines, q" for i, c in enumerate(LINE_FEATURES)
     )
     + """), n AS (SELECT ordinal, feature, bin, y, count(*) AS n FROM b GROUP BY 1, 2, 3, 4),
     mi AS (SELECT ordinal, feature, sum(part) AS mi FROM (SELECT ordinal, feature, n / sum(n) OVER (PARTITION BY ordinal) *
