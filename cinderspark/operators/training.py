@@ -80,7 +80,7 @@ def cross_validated_accuracy(df: DataFrame, estimator, label: str = "target", fo
         evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),
     )
     model = tuner.fit(dealt)
-    return model.avgMetrics[0], model.stdMetrics[0]
+    return float(model.avgMetrics[0]), float(model.stdMetrics[0])
 
 
 def evaluate(model: Model, df: DataFrame, label: str = "target") -> dict[str, float]:
