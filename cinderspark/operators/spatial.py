@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from cinderspark.functions.grid import KM_PER_DEGREE, matching_boxes, planar_km
 from cinderspark.operators.skew import lookup
+from cinderspark.session import cut_lineage
 
 # Each level of a place index splits a cell into FAN x FAN cells.
 FAN_BITS = 3
@@ -96,7 +97,7 @@ def near_ids(
     """
     radius = km / KM_PER_DEGREE
     levels = _levels_needed(targets, lat, lon, 0.0, 0.0, radius, limit)
-    index = _index(targets, lat, lon, 0.0, 0.0, radius, levels)
+    index = cut_lineage(_index(targets, lat, lon, 0.0, 0.0, radius, levels))
     finest = radius / FAN**levels
     ring = F.sequence(F.lit(-1), F.lit(1))
     place = points.select(F.col(pid).alias("_id"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).withColumns(
@@ -119,7 +120,7 @@ def near_ids(
             return _box_distances(cell, F.col("_lat"), F.col("_lon"), 0.0, 0.0, side)
 
         inside = F.exists("_kids", lambda k: reach(k)[1] < radius)
-        found = lookup(pairs, children, ["_i", "_j"], "inner").where(inside).select("_id").distinct()
+        found = cut_lineage(lookup(pairs, children, ["_i", "_j"], "inner").where(inside).select("_id").distinct())
         decided = found if decided is None else decided.unionByName(found)
         open_pairs = lookup(pairs.join(found, "_id", "left_anti"), children, ["_i", "_j"], "inner")
         cut = F.filter("_kids", lambda k: reach(k)[0] < radius)
@@ -127,6 +128,8 @@ def near_ids(
             open_pairs.select("_id", "_lat", "_lon", F.explode(cut).alias("_k"))
             .select("_id", "_lat", "_lon", F.col("_k.i").alias("_i"), F.col("_k.j").alias("_j"))
         )
+        if level + 1 < levels:
+            pairs = cut_lineage(pairs)
     distance = planar_km(F.col("_lat"), F.col("_lon"), F.col("_tlat"), F.col("_tlon"))
     exact = pairs.join(index, ["_i", "_j"]).where(distance < km).select("_id")
     return decided.unionByName(exact).distinct().withColumnRenamed("_id", pid)
@@ -151,7 +154,7 @@ def nearest_km(points: DataFrame, targets: DataFrame, pid: str = "pid", lat: str
     south, west = box[0], box[2]
     side = max(box[1] - south, box[3] - west, 1e-6) * (1 + 1e-9)
     levels = _levels_needed(targets, lat, lon, south, west, side, limit)
-    index = _index(targets, lat, lon, south, west, side, levels)
+    index = cut_lineage(_index(targets, lat, lon, south, west, side, levels))
     place = points.select(F.col(pid).alias("_id"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
     distance = planar_km(F.col("_lat"), F.col("_lon"), F.col("_tlat"), F.col("_tlon"))
     finest = side / FAN**levels
@@ -166,7 +169,7 @@ def nearest_km(points: DataFrame, targets: DataFrame, pid: str = "pid", lat: str
         )
     )
     # A target nearer than one cell side cannot be outside the ring of cells around a point.
-    settled = (
+    settled = cut_lineage(
         around.join(index, ["_i", "_j"])
         .groupBy("_id")
         .agg(F.min(distance).alias("nearest_km"))
@@ -197,6 +200,8 @@ def nearest_km(points: DataFrame, targets: DataFrame, pid: str = "pid", lat: str
             kept.select("_id", "_lat", "_lon", F.explode("_kept").alias("_k"))
             .select("_id", "_lat", "_lon", F.col("_k.i").alias("_i"), F.col("_k.j").alias("_j"))
         )
+        if level + 1 < levels:
+            pairs = cut_lineage(pairs)
     rest = pairs.join(index, ["_i", "_j"]).groupBy("_id").agg(F.min(distance).alias("nearest_km"))
     return settled.unionByName(rest).withColumnRenamed("_id", pid)
 

@@ -251,3 +251,21 @@ def s15(spark, folder):
     path = scratch(spark, "stage")
     sinks.stage(spark, path, lambda: fx.fires(spark, folder).groupBy("cell").agg(F.count("*").alias("n")))
     return sinks.stage(spark, path, lambda: fx.anchors(spark, folder).select("cell", F.col("pid").alias("n")))
+
+
+@query(
+    "s10_elevation_tiles",
+    """SELECT printf('N%02dE%03d', CAST(p_partkey // 100 % 90 AS INTEGER), CAST(p_partkey // 100 AS INTEGER)) AS file, CAST(p_partkey // 100 % 90 AS INTEGER) AS south,
+    CAST(p_partkey // 100 AS INTEGER) AS west, CAST(p_partkey % 100 // 10 AS INTEGER) AS row, CAST(p_partkey % 10 AS INTEGER) AS col,
+    CASE WHEN p_partkey % 17 = 0 THEN -32768e0 ELSE floor(p_retailprice) END AS elevation FROM part""",
+)
+def s10(spark, folder):
+    """Tiles of ten by ten parts are encoded to file bytes first, and then read."""
+    value = F.when(F.col("p_partkey") % 17 == 0, F.lit(32768)).otherwise(F.floor("p_retailprice").cast("int"))
+    tile = F.floor(F.col("p_partkey") / F.lit(100.0)).cast("int").alias("tile")
+    cells = F.array_sort(F.collect_list(F.struct("p_partkey", value.alias("v"))))
+    listed = fx.table(spark, folder, "part").groupBy(tile).agg(cells.alias("cells"))
+    code = F.transform("cells", lambda c: F.lpad(F.hex(c["v"]), 4, "0"))
+    content = F.unhex(F.array_join(code, ""))
+    name = F.format_string("N%02dE%03d", F.col("tile") % 90, F.col("tile"))
+    return tables.elevation_cells(listed.select(name.alias("file"), content.alias("content")))

@@ -92,23 +92,24 @@ LINE_FEATURES = ["quantity", "price", "discount", "tax"]
 
 
 def _mi_sql() -> str:
-    """The estimator by as-of joins on distinct values."""
+    """The estimator by as-of joins on distinct values; values are whole, so half a step counts equal ones."""
     parts, blocks = [], []
     psi = lambda n: f"(ln({n} + 8e0) - 5e-1 / ({n} + 8e0) - 1 / (12 * power({n} + 8e0, 2)) + 1 / (120 * power({n} + 8e0, 4)) - 1 / (252 * power({n} + 8e0, 6)) - ({' + '.join(f'1 / ({n} + {i}e0)' for i in range(8))}))"
     for i, c in enumerate(LINE_FEATURES):
         noise = f"(sqrt(-2 * ln((((pid + {42 + i}) * 48271) % 2147483647 + 1) / 2147483648e0)) * cos(((pid + {42 + i}) * 69621) % 2147483647 / 2147483647e0 * 6283185307179586e-15))"
         gaps = ", ".join([f"abs(x - lag(x, {j}) OVER w)" for j in (1, 2, 3)] + [f"abs(x - lead(x, {j}) OVER w)" for j in (1, 2, 3)])
-        blocks.append(f"""x{i} AS (SELECT pid, y, {c} / s + {noise} * (1e-10 * greatest(1, round(m / s, 6))) AS x FROM labelled_lines, (SELECT round(stddev_pop({c}), 6) AS s, avg(abs({c})) AS m FROM labelled_lines)),
+        blocks.append(f"""x{i} AS (SELECT pid, y, floor(({c} / s + {noise} * (1e-10 * greatest(1, round(m / s, 6)))) * power(2e0, 51 - ceil(log2(top / s + 1))) + 5e-1) AS x
+          FROM labelled_lines, (SELECT round(stddev_pop({c}), 6) AS s, avg(abs({c})) AS m, max(abs({c})) AS top FROM labelled_lines)),
         r{i} AS (SELECT pid, y, x, list_sort(list_filter([{gaps}], lambda g: g IS NOT NULL))[3] AS r, count(*) OVER (PARTITION BY y) AS n FROM x{i} WINDOW w AS (PARTITION BY y ORDER BY x, pid)),
         c{i} AS (SELECT x AS v, sum(count(*)) OVER (ORDER BY x) AS c FROM x{i} GROUP BY 1),
-        m{i} AS (SELECT p.pid, p.n, hi.c - coalesce(lo.c, 0) AS m FROM r{i} p ASOF JOIN c{i} hi ON p.x + p.r > hi.v ASOF LEFT JOIN c{i} lo ON p.x - p.r >= lo.v)""")
-        parts.append(f"""SELECT {i} AS ordinal, '{c}' AS feature, round(greatest({psi("count(*)")} + {psi("3e0")} - avg({psi("n")}) - avg({psi("m")}), 0), 4) AS mi FROM m{i}""")
+        m{i} AS (SELECT p.pid, p.n, hi.c - coalesce(lo.c, 0) AS m FROM r{i} p ASOF JOIN c{i} hi ON p.x + CASE WHEN p.r = 0 THEN 5e-1 ELSE p.r END > hi.v ASOF LEFT JOIN c{i} lo ON p.x - CASE WHEN p.r = 0 THEN 5e-1 ELSE p.r END >= lo.v)""")
+        parts.append(f"""SELECT {i} AS ordinal, '{c}' AS feature, round(greatest({psi("count(*)")} + {psi("3e0")} - avg({psi("n")}) - avg({psi("m")}), 0), 6) AS mi FROM m{i}""")
     return fx.ctes("labelled_lines") + ", " + ", ".join(blocks) + " UNION ALL ".join(parts)
 
 
 @query("m1_mutual_information", _mi_sql())
 def m1(spark, folder):
-    return rounded(information.mutual_information(fx.labelled_lines(spark, folder), LINE_FEATURES, "y"), 4)
+    return rounded(information.mutual_information(fx.labelled_lines(spark, folder), LINE_FEATURES, "y"))
 
 
 BINNED_SQL = (
@@ -304,3 +305,19 @@ def q2(spark, folder):
     score = lambda batch: scoring.score_requests(batch, obs, model, scaler, MODEL_FEATURES)
     score_stream(stream, score, output, scratch(spark, "progress")).awaitTermination()
     return spark.read.parquet(output).drop("batch")
+
+
+@query(
+    "m12_ensemble_statistics",
+    """, w AS (SELECT p_brand, p_type, CASE WHEN sum(p_size) % 3 > 0 THEN sum(p_size) / 1e3 ELSE 0 END AS weight FROM part GROUP BY 1, 2),
+    t AS (SELECT p_type, count(*) AS n FROM w WHERE weight > 0 GROUP BY 1)
+    SELECT count(*) AS total_models, round(sum(weight), 6) AS total_weight, round(max(weight), 6) AS top_weight,
+    (SELECT string_agg(p_type || '=' || n, ',' ORDER BY p_type) FROM t) AS model_types FROM w WHERE weight > 0""".replace(", w AS", "WITH w AS", 1),
+)
+def m12_statistics(spark, folder):
+    size = F.sum("p_size")
+    board = fx.table(spark, folder, "part").groupBy(F.col("p_brand").alias("name"), F.col("p_type").alias("type")).agg(
+        F.when(size % 3 > 0, size / F.lit(1e3)).otherwise(0.0).alias("weight")
+    )
+    entries = F.transform(F.map_entries("model_types"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return rounded(training.ensemble_statistics(board).withColumn("model_types", F.array_join(entries, ",")))

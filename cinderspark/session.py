@@ -5,7 +5,7 @@ Only what a job needs for itself is set, and only where the cluster has not set
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "cinderspark", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -38,3 +38,9 @@ def shared_folder(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: worked out once, and a lost executor costs nothing."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -14,8 +14,7 @@ from cinderspark.functions.grid import within
 from cinderspark.params import REGION, Box
 from cinderspark.schemas import DETECTIONS, RAW_CELLS
 
-# Rows of a full and of a coarse elevation tile.
-HGT_SIDES = (3601, 1201)
+# The number that marks a void.
 HGT_NODATA = -32768
 
 
@@ -124,15 +123,22 @@ HGT_ROWS = 64
 def read_elevation_tiles(spark: SparkSession, path: str) -> DataFrame:
     """Cells of ``.hgt`` files, plain or zipped: (file, south, west, row, col, elevation).
 
-    A plain file wins over a zipped one of the same name. Values are big-endian 16-bit numbers, north row
-    first; a file is one task, and its rows are handed over in slices.
+    A plain file wins over a zipped one of the same name.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract(F.upper("path"), r"([NS]\d{2}[EW]\d{3})[^/]*\.HGT(\.ZIP)?$", 1)
     zipped = F.lower("path").endswith(".zip")
     listed = files.select("path", name.alias("file"), zipped.cast("int").alias("zipped")).where("file <> ''")
     chosen = listed.groupBy("file").agg(F.min_by("path", F.struct("zipped", "path")).alias("path"))
-    contents = chosen.join(files.select("path", "content"), "path").select("file", "content")
+    return elevation_cells(chosen.join(files.select("path", "content"), "path").select("file", "content"))
+
+
+def elevation_cells(contents: DataFrame) -> DataFrame:
+    """Cells of (file, content) rows; the file name gives the south-west corner.
+
+    Values are big-endian 16-bit numbers, north row first. A file is one row of one task, and its raster
+    rows are handed over in slices.
+    """
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
