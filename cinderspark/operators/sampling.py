@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from cinderspark.operators.skew import default_buckets, running_totals
 from cinderspark.operators.spatial import exclude_near
 from cinderspark.params import Box, Negatives
+from cinderspark.session import cut_lineage
 
 # Modulus and multipliers of the linear-congruential draws.
 MODULUS = 2147483647
@@ -74,7 +75,7 @@ def candidates(df: DataFrame, n: int, box: Box) -> DataFrame:
 
 def _first(df: DataFrame, n: int, tries: int) -> DataFrame:
     """The n rows with the lowest pid out of [0, tries), without pulling them together."""
-    marked = df.withColumn("_order", F.col("pid").cast("double")).withColumn("_one", F.lit(1).cast("bigint"))
+    marked = cut_lineage(df).withColumn("_order", F.col("pid").cast("double")).withColumn("_one", F.lit(1).cast("bigint"))
     ranked = running_totals(marked, "_order", {"_rank": "_one"}, None, ["pid"], _even_splits(0.0, float(tries), default_buckets(df)))
     return ranked.where(F.col("_rank") <= n).drop("_order", "_one", "_rank")
 

@@ -1,5 +1,6 @@
 """Joins by place: raster samples, exclusion radius, nearest target, tile coverage."""
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -90,7 +91,8 @@ def near_ids(
 ) -> DataFrame:
     """Distinct ids of points closer than ``km`` (planar) to any target.
 
-    Cells of side ``km`` are split level by level. A point with a cell wholly inside its radius is
+    Two places in one cell whose diagonal is shorter than ``km`` are near, which settles points among
+    many targets by one key. For the others, cells of side ``km`` are split level by level. A point with a cell wholly inside its radius is
     decided without a look at the targets in it; cells wholly outside are dropped; only targets of
     finest cells cut by the radius are compared, and such a cell holds few. The work per point is thus
     bounded however many targets share a place.
@@ -100,7 +102,16 @@ def near_ids(
     index = cut_lineage(_index(targets, lat, lon, 0.0, 0.0, radius, levels))
     finest = radius / FAN**levels
     ring = F.sequence(F.lit(-1), F.lit(1))
-    place = points.select(F.col(pid).alias("_id"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).withColumns(
+    small = radius / math.sqrt(2.0) * (1 - 1e-6)
+    shared = index.select(
+        F.floor(F.col("_tlat") / F.lit(small)).alias("_si"), F.floor(F.col("_tlon") / F.lit(small)).alias("_sj"), F.lit(True).alias("_hit")
+    ).distinct()
+    everywhere = points.select(F.col(pid).alias("_id"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).withColumns(
+        {"_si": F.floor(F.col("_lat") / F.lit(small)), "_sj": F.floor(F.col("_lon") / F.lit(small))}
+    )
+    marked = cut_lineage(lookup(everywhere, shared, ["_si", "_sj"]))
+    decided = marked.where("_hit").select("_id")
+    place = marked.where("_hit IS NULL").drop("_si", "_sj", "_hit").withColumns(
         {
             "_i0": F.shiftright(F.floor(F.col("_lat") / F.lit(finest)).cast("bigint"), FAN_BITS * levels),
             "_j0": F.shiftright(F.floor(F.col("_lon") / F.lit(finest)).cast("bigint"), FAN_BITS * levels),
@@ -111,7 +122,6 @@ def near_ids(
         .withColumn("_dj", F.explode(ring))
         .select("_id", "_lat", "_lon", (F.col("_i0") + F.col("_di")).alias("_i"), (F.col("_j0") + F.col("_dj")).alias("_j"))
     )
-    decided = None
     for level in range(levels):
         side = radius / FAN ** (level + 1)
         children = _children(index, level, levels)
@@ -121,7 +131,7 @@ def near_ids(
 
         inside = F.exists("_kids", lambda k: reach(k)[1] < radius)
         found = cut_lineage(lookup(pairs, children, ["_i", "_j"], "inner").where(inside).select("_id").distinct())
-        decided = found if decided is None else decided.unionByName(found)
+        decided = decided.unionByName(found)
         open_pairs = lookup(pairs.join(found, "_id", "left_anti"), children, ["_i", "_j"], "inner")
         cut = F.filter("_kids", lambda k: reach(k)[0] < radius)
         pairs = (
