@@ -128,10 +128,11 @@ class Ensemble:
 
     members: list[tuple[str, Model, float]]
     fits: list[tuple[str, str, float]] = field(default_factory=list)
+    features: list[str] = field(default_factory=list)
 
     def predict(self, df: DataFrame, pid: str = "pid", label: str | None = None) -> DataFrame:
         """(pid, p, yhat[, y]): weighted mean of the members' probabilities, in one row pass."""
-        scored = df
+        scored = df if "features" in df.columns else with_vector(df, self.features)
         for i, (_, model, _) in enumerate(self.members):
             made = [c for c in ("rawPrediction", "probability", "prediction") if c in scored.columns]
             scored = model.transform(scored.drop(*made))
@@ -166,7 +167,7 @@ def search(df: DataFrame, features: list[str], label: str = "target", pid: str =
             except Exception:
                 continue
         if not found:
-            return Ensemble([("random_forest", random_forest(label).fit(data), 1.0)])
+            return Ensemble([("random_forest", random_forest(label).fit(data), 1.0)], features=features)
         top = sorted(found, key=lambda f: -f[3])[: s.keep]
         joint = held
         for i, (_, _, model, _) in enumerate(top):
@@ -184,7 +185,7 @@ def search(df: DataFrame, features: list[str], label: str = "target", pid: str =
         joint.unpersist()
         weights = Counter(picked)
         members = [(top[i][0], top[i][2], n / s.steps) for i, n in sorted(weights.items(), key=lambda kv: -kv[1])]
-        return Ensemble(members, [(name, kind, auc) for name, kind, _, auc in found])
+        return Ensemble(members, [(name, kind, auc) for name, kind, _, auc in found], features)
     finally:
         data.unpersist()
 
