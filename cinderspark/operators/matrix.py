@@ -56,7 +56,7 @@ def extract_features(points: DataFrame, obs: Observations, p: Lookback = RAIN, d
     dated = points.where(F.col(date).isNotNull())
     key = list(dict.fromkeys([*obs.rain_key, *obs.temperature_key, *obs.vegetation_key]))
     dynamic = lookup(dated, dynamic_features(dated, obs, p, date), [*key, date])
-    full = lookup(dynamic, obs.terrain.select(*obs.terrain_key, *TERRAIN_FEATURES), list(obs.terrain_key))
+    full = lookup(dynamic, obs.terrain.select(*obs.terrain_key, *TERRAIN_FEATURES), list(obs.terrain_key), counted=dated)
     return full.select(*points.columns, "dtw_start", "dtw_end", "dtw_length", *FEATURES)
 
 

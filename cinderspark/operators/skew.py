@@ -12,24 +12,34 @@ from pyspark.sql.window import Window
 ROWS_PER_SALT = 1_000_000
 KEYLESS_SALTS = 4096
 
+# Columns that name a row.
+ROW_IDS = ["pid", "_id"]
 
-def lookup(big: DataFrame, table: DataFrame, on: list[str], how: str = "left", rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+
+def lookup(
+    big: DataFrame, table: DataFrame, on: list[str], how: str = "left", rows_per_salt: int = ROWS_PER_SALT, counted: DataFrame | None = None
+) -> DataFrame:
     """Join ``big`` to ``table``, which has at most one row per key.
 
     Keys of ``big`` with more than ``rows_per_salt`` rows are split into salts, and only their row of
     ``table`` is repeated. At most rows(big) / rows_per_salt keys can be that hot, which bounds the
-    broadcast list of hot keys. Rows without a key match nothing and are spread. When the whole table is known to be small the planner's own size check
-    turns the join into a broadcast one.
+    broadcast list of hot keys. Rows without a key match nothing and are spread. When the whole table is
+    known to be small the planner's own size check turns the join into a broadcast one. Rows are spread by
+    their id where they have one, so that no other column has to be read for it.
+
+    ``counted`` may name a frame that is cheaper to read and has the keys of ``big`` as often, such as the
+    points ``big`` was made of by earlier lookups.
     """
-    present = big.select(*on) if how == "left" else big.select(*on).dropna()
+    keys = (big if counted is None else counted).select(*on).dropna()
     hot = (
-        present.groupBy(*on)
+        keys.groupBy(*on)
         .count()
         .where(F.col("count") > rows_per_salt)
         .select(*on, F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_salts"))
     )
     split = F.coalesce(F.col("_salts"), F.lit(1))
-    spot = F.xxhash64(*[f.name for f in big.schema.fields if f.dataType.typeName() != "map"])
+    hashed = [c for c in ROW_IDS if c in big.columns] or [f.name for f in big.schema.fields if f.dataType.typeName() != "map"]
+    spot = F.xxhash64(*hashed)
     keyless = reduce(or_, [F.col(key).isNull() for key in on])
     salted = (
         big.join(F.broadcast(hot), on, "left")
