@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cinderspark.llm.common import Scratch
 from cinderspark.llm.huffman import read_corpus, write_corpus
+from cinderspark.llm.minhash import NearDuplicates, near_duplicates
 from cinderspark.llm.mixing import mix_sources
 from cinderspark.llm.packing import pack_documents
 from cinderspark.llm.tokens import default_tokenizer
@@ -44,3 +45,8 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{Scratch(spark, 'token-files').folder}"
     write_corpus(table(spark, sf_dir, "documents"), folder, default_tokenizer(), end_id=2)
     return read_corpus(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op5_minhash_dedup")
+def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), NearDuplicates(words=4))
