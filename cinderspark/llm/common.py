@@ -13,6 +13,10 @@ from cinderspark.session import shared_folder
 SLICE_ROWS = 512
 
 
+# Rows that a Python stage gets at a time; long texts bound it.
+BATCH_ROWS = 1000
+
+
 class Scratch:
     """Tables written once in the shared folder, so that a lost executor costs nothing and nothing is
     worked out twice."""
@@ -21,9 +25,16 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{operator}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
+        """Write and read again; Python stages on the way get ``rows`` rows at a time at most."""
         path = f"{self.folder}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, str(rows))
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(setting, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

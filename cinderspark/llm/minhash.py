@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs, f"pairs-{step}")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        more = scratch.keep(_verify(pairs, short, sets, rules), f"links-{step}")
+        more = scratch.keep(_verify(pairs, short, sets, rules), f"links-{step}", rows=500)
         links = more if links is None else links.unionByName(more)
         labels = components(links, scratch, f"components-{step}")
         buckets = buckets.drop("label")
