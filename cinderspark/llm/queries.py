@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cinderspark.llm.chat import digests, format_conversations
 from cinderspark.llm.common import Scratch
 from cinderspark.llm.huffman import read_corpus, write_corpus
+from cinderspark.llm.itq import NearVectors, near_vectors
+from cinderspark.llm.langid import is_held_out, train, with_language
 from cinderspark.llm.minhash import NearDuplicates, near_duplicates
 from cinderspark.llm.mixing import mix_sources
 from cinderspark.llm.packing import pack_documents
@@ -101,3 +103,32 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return digests(format_conversations(rows))
+
+
+@query("op8_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.where(~is_held_out(F.col("doc_id"))))
+    predicted = with_language(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op9_itq_near_vectors",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), links AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+    ), reach AS (
+      SELECT vec_id AS a, vec_id AS r FROM embeddings UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.a
+    ), n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, low AS component_id, vec_id = low AS kept
+    FROM embeddings JOIN (SELECT a, min(r) AS low FROM reach GROUP BY a) m ON m.a = vec_id LEFT JOIN n ON n.a = vec_id
+    """,
+)
+def itq_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), NearVectors(cosine=0.98))
