@@ -13,6 +13,7 @@ from cinderspark.llm.langid import is_held_out, train, with_language
 from cinderspark.llm.minhash import NearDuplicates, near_duplicates
 from cinderspark.llm.mixing import mix_sources
 from cinderspark.llm.packing import pack_documents
+from cinderspark.llm.suffix import Repeats, without_repeats
 from cinderspark.llm.tokens import default_tokenizer
 from cinderspark.llm.topk import TopK, exact_top_k
 
@@ -132,3 +133,16 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def itq_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), NearVectors(cosine=0.98))
+
+
+@query("op7_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lengths = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["begin"])
+    return without_repeats(docs, Repeats(span=200)).select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
+        lengths.alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
