@@ -11,9 +11,10 @@ from cinderspark.llm.huffman import read_corpus, write_corpus
 from cinderspark.llm.itq import NearVectors, near_vectors
 from cinderspark.llm.langid import is_held_out, train, with_language
 from cinderspark.llm.minhash import NearDuplicates, near_duplicates
-from cinderspark.llm.mixing import mix_sources
+from cinderspark.llm.mixing import mix_sources, word_count
 from cinderspark.llm.packing import pack_documents
 from cinderspark.llm.suffix import Repeats, without_repeats
+from cinderspark.llm.token_counts import rollup
 from cinderspark.llm.tokens import default_tokenizer
 from cinderspark.llm.topk import TopK, exact_top_k
 
@@ -35,6 +36,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROLLUP_SQL = r"""
+    WITH revised AS (
+      SELECT source, lang, regexp_replace(coalesce(text, ''), '[%*&$]{3,}', '', 'g') AS t
+      FROM (SELECT *, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE text IS NULL OR doc_id IS NULL OR doc_id = first
+    ), counted AS (
+      SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n FROM revised
+      UNION ALL SELECT source, lang, 'bytes-1', octet_length(encode(t)) FROM revised
+    )
+    SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM counted GROUP BY source, lang, tokenizer
+"""
+EXPRESSIONS = {"words-1": word_count, "bytes-1": F.octet_length}
+
+
+@query("op1_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup(spark, table(spark, sf_dir, "documents"), EXPRESSIONS, {"byte-bpe-50k": default_tokenizer()})
+
+
+@query("token_counts_by_expression", ROLLUP_SQL)
+def token_counts_by_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup(spark, table(spark, sf_dir, "documents"), EXPRESSIONS, {})
+
+
 @query("op2_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), default_tokenizer(), capacity=1024, end_id=2)

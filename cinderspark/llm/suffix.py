@@ -360,6 +360,21 @@ def without_repeats(docs: DataFrame, rules: Repeats = Repeats()) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
+def texts_without_repeats(docs: DataFrame, rules: Repeats = Repeats()) -> DataFrame:
+    """``docs`` with what remains as their ``text`` (and its length as ``n_chars``, if there is such a column). Characters
+    that a cut goes through are gone; a null text stays null."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            cut = zip(batch.column("text").to_pylist(), batch.column("kept").to_pylist(), strict=True)
+            texts = pa.array([None if text is None else kept.decode(errors="ignore") for text, kept in cut], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if n == "text" else batch.column(n) for n in names], names=names)
+
+    cut = without_repeats(docs, rules).drop("removed").mapInArrow(run, docs.schema)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else cut
+
+
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of spans that overlap or touch."""
     merged: list[tuple[int, int]] = []
