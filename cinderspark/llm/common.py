@@ -5,7 +5,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cinderspark.session import shared_folder
 
@@ -53,6 +54,22 @@ def tasks_of(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def named(column: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def bundled(docs: DataFrame, *used: str) -> DataFrame:
+    """The ``used`` columns, and all others as one struct ``_rest``, so that no name of theirs gets in the way."""
+    others = [named(c) for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(*others or [F.lit(True).alias("_none")]).alias("_rest"))
+
+
+def unbundled(df: DataFrame, columns: list[str], *used: str) -> DataFrame:
+    """Back to ``columns``: the ``used`` ones as they are in ``df`` now, the others as they were."""
+    return df.select(*[named(c) if c in used else F.col("_rest")[c].alias(c) for c in columns])
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, rows):

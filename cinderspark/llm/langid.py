@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderspark.llm.common import slices
+from cinderspark.llm.common import bundled, slices, unbundled
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -169,11 +169,12 @@ def train(labelled: DataFrame, rules: LanguageRules = LanguageRules()) -> Langua
 
 
 def with_language(docs: DataFrame, model: LanguageModel, language: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All columns of ``docs``, the predicted language and its calibrated probability (0 to 1), from whole texts.
+    """All columns of ``docs``, the predicted language and its calibrated probability (0 to 1), from whole texts; these
+    two take the place of columns of their names.
 
     A null text, one without a letter, and any text under a model that saw no language is ``und`` with 0.
     """
-    names = docs.columns
+    narrow = bundled(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -186,10 +187,11 @@ def with_language(docs: DataFrame, model: LanguageModel, language: str = "lang_p
                 best = int(p.argmax())
                 languages[k], scores[k] = model.languages[best], float(p[best] / p.sum())
             columns = [*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, language, score])
+            yield pa.RecordBatch.from_arrays(columns, names=["text", "_rest", language, score])
 
-    schema = docs.withColumns({language: F.lit(""), score: F.lit(0.0)}).schema
-    return docs.mapInArrow(run, schema)
+    predicted = narrow.mapInArrow(run, narrow.withColumns({language: F.lit(""), score: F.lit(0.0)}).schema)
+    columns = [c for c in docs.columns if c not in (language, score)]
+    return unbundled(predicted, [*columns, language, score], "text", language, score)
 
 
 def is_held_out(doc_id: Column) -> Column:

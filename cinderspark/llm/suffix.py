@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderspark.llm.common import Scratch, slices, tasks_of, whole_groups
+from cinderspark.llm.common import Scratch, bundled, slices, tasks_of, unbundled, whole_groups
 
 
 @dataclass(frozen=True)
@@ -302,7 +302,8 @@ def _counted_spans(contexts: DataFrame, scratch: Scratch, rules: Repeats) -> Dat
 
 
 def without_repeats(docs: DataFrame, rules: Repeats = Repeats()) -> DataFrame:
-    """All columns of ``docs``, ``kept`` (the remaining bytes) and ``removed`` (maximal runs: array of begin, end).
+    """All columns of ``docs``, ``kept`` (the remaining bytes) and ``removed`` (maximal runs: array of begin, end), which
+    take the place of columns of those names.
 
     Texts are UTF-8 bytes; a null text is empty; matches never cross rows. Rows that repeat a document are
     occurrences of their own. Copies of a text stand as one text that occurs as often.
@@ -337,8 +338,9 @@ def without_repeats(docs: DataFrame, rules: Repeats = Repeats()) -> DataFrame:
     )
     removed = scratch.keep(removed, "removed")
     scratch.drop("wanted", "wanted-hot", "grams")
-    joined = _keyed(docs).join(removed, F.col("_key") == F.col("_k"), "left").drop("_k", "_key")
-    names = docs.columns
+    narrow = bundled(docs, "doc_id", "text")
+    names = narrow.columns
+    joined = _keyed(narrow).join(removed, F.col("_key") == F.col("_k"), "left").drop("_k", "_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -356,23 +358,26 @@ def without_repeats(docs: DataFrame, rules: Repeats = Repeats()) -> DataFrame:
             columns += [pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "kept", "removed"])
 
-    schema = docs.withColumns({"kept": F.lit(b""), "removed": F.array().cast("array<struct<begin:bigint,end:bigint>>")}).schema
-    return joined.mapInArrow(run, schema)
+    schema = narrow.withColumns({"kept": F.lit(b""), "removed": F.array().cast("array<struct<begin:bigint,end:bigint>>")}).schema
+    columns = [c for c in docs.columns if c not in ("kept", "removed")]
+    return unbundled(joined.mapInArrow(run, schema), [*columns, "kept", "removed"], "doc_id", "text", "kept", "removed")
 
 
 def texts_without_repeats(docs: DataFrame, rules: Repeats = Repeats()) -> DataFrame:
     """``docs`` with what remains as their ``text`` (and its length as ``n_chars``, if there is such a column). Characters
     that a cut goes through are gone; a null text stays null."""
-    names = docs.columns
+    narrow = bundled(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             cut = zip(batch.column("text").to_pylist(), batch.column("kept").to_pylist(), strict=True)
             texts = pa.array([None if text is None else kept.decode(errors="ignore") for text, kept in cut], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if n == "text" else batch.column(n) for n in names], names=names)
+            columns = [batch.column("doc_id"), texts, batch.column("_rest")]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "_rest"])
 
-    cut = without_repeats(docs, rules).drop("removed").mapInArrow(run, docs.schema)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else cut
+    cut = without_repeats(narrow, rules).drop("removed").mapInArrow(run, narrow.schema)
+    result = unbundled(cut, docs.columns, "doc_id", "text")
+    return result.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else result
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
