@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderspark.llm.common import bundled, unbundled
 from cinderspark.llm.langid import UNKNOWN, train, with_language
 from cinderspark.llm.minhash import NearDuplicates, near_duplicates
 from cinderspark.llm.mixing import Mix, mix_sources
@@ -23,16 +24,15 @@ MIX = Mix(block=1024)
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the documents that name their language; drops texts without a letter or a clear language."""
-    predicted = with_language(docs, train(docs), "_lang", "_score")
-    return predicted.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    predicted = with_language(bundled(docs, "text"), train(docs))
+    kept = predicted.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return unbundled(kept, docs.columns, "text")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8 or more: the smallest doc_id of a group stays. Rows without an id stay."""
     kept = near_duplicates(docs, NearDuplicates(words=5, percent=80)).where("kept").select("doc_id").distinct()
-    return docs.join(kept.where(F.col("doc_id").isNotNull()), "doc_id", "left_semi").select(*docs.columns).unionByName(
-        docs.where(F.col("doc_id").isNull())
-    )
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = F.coalesce(F.try_divide("_taken", "_size"), F.lit(0.0))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(MIX.seed + 3)), F.lit(1 << 30)) / float(1 << 30)
     copies = taken.select(F.col("doc_id").alias("_id"), (F.floor(times) + (draw < times - F.floor(times)).cast("int")).cast("int").alias("_copies"))
-    joined = docs.join(copies.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    joined = bundled(docs, "doc_id", "text").join(copies.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return unbundled(repeated, docs.columns, "doc_id", "text")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
