@@ -10,12 +10,12 @@ from cinderspark.params import REGION, Box
 RISK_EDGES = [(0.3, "Low"), (0.6, "Medium"), (0.8, "High")]
 TOP_RISK = "Very High"
 
-# Colour and advice per band.
+# Colour per band. The advice is our own.
 ADVICE = [
-    ("Low", "#00AA00", "Current conditions are favorable; continue normal fire safety practices; stay aware of changing conditions"),
-    ("Medium", "#FFA500", "Normal precautions advised; stay informed about weather; keep fire safety equipment ready"),
-    ("High", "#FF6B35", "Increased vigilance recommended; prepare fire prevention measures; monitor weather conditions; have evacuation plan ready"),
-    ("Very High", "#FF0000", "Immediate action required; alert local fire department; evacuate if necessary; monitor conditions closely"),
+    ("Low", "#00AA00", "No special steps; follow the usual rules for open flames"),
+    ("Medium", "#FFA500", "Check the forecast each day and keep extinguishers within reach"),
+    ("High", "#FF6B35", "Light no fires; clear dry growth near buildings; agree on a way out"),
+    ("Very High", "#FF0000", "Tell the fire brigade, be ready to leave at once and follow official notices"),
 ]
 
 # Last day with observations.

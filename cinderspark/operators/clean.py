@@ -2,13 +2,10 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from cinderspark.operators.quantiles import exact_quantiles
 from cinderspark.params import NOT_FEATURES
 
-# Rows up to which one exact percentile aggregate per column is used.
-SMALL_ROWS = 1_000_000
-
 
 def feature_columns(df: DataFrame, excluded: list[str] = NOT_FEATURES) -> list[str]:
     return [c for c in df.columns if c not in excluded]
@@ -29,49 +26,8 @@ def resolve_target(df: DataFrame, name: str = "target") -> DataFrame:
     raise ValueError("no target column: expected 'target' or 'is_fire'")
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], q: float, small_rows: int = SMALL_ROWS) -> dict[str, float | None]:
-    """Exact quantile (linear between neighbours) of each column, without NULLs and NaNs.
-
-    Small tables take one percentile aggregate. Larger ones bracket the quantile by approximate ones,
-    count what lies below, and look only at the distinct values inside the bracket.
-    """
-    clean = df.select(*[F.when(~F.isnan(c), F.col(c).cast("double")).alias(c) for c in columns])
-    n_rows = clean.count()
-    if n_rows <= small_rows:
-        row = clean.agg(*[F.percentile(c, F.lit(q)).alias(c) for c in columns]).first()
-        return {c: row[c] for c in columns}
-    slack = min(0.01, small_rows / n_rows / 4)
-    edges = clean.approxQuantile(columns, [max(q - slack, 0.0), min(q + slack, 1.0)], slack / 2)
-    low = {c: e[0] for c, e in zip(columns, edges) if e}
-    high = {c: e[1] for c, e in zip(columns, edges) if e}
-    counts = clean.agg(
-        *[F.count(c).alias(f"n_{c}") for c in low],
-        *[F.count(F.when(F.col(c) < low[c], 1)).alias(f"b_{c}") for c in low],
-    ).first()
-    inside = [F.struct(F.lit(c).alias("name"), F.when(F.col(c).between(low[c], high[c]), F.col(c)).alias("value")) for c in low]
-    bracket = (
-        clean.select(F.inline(F.array(*inside))).where("value IS NOT NULL").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.partitionBy("name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    running = bracket.withColumn("upto", F.sum("n").over(upto))
-    wanted, weight = None, {}
-    for c in low:
-        place = q * (counts[f"n_{c}"] - 1)
-        first, weight[c] = int(place), place - int(place)
-        for rank in {first, min(first + 1, counts[f"n_{c}"] - 1)}:
-            local = rank - counts[f"b_{c}"]
-            hit = (F.col("name") == c) & (F.col("upto") > local) & (F.col("upto") - F.col("n") <= local)
-            wanted = hit if wanted is None else wanted | hit
-    found: dict[str, list[float]] = {}
-    for row in running.where(wanted).select("name", "value").collect() if wanted is not None else []:
-        found.setdefault(row["name"], []).append(row["value"])
-    return {
-        c: (min(found[c]) + (max(found[c]) - min(found[c])) * weight[c]) if c in found else None for c in columns
-    }
-
-
-def medians(df: DataFrame, columns: list[str], small_rows: int = SMALL_ROWS) -> dict[str, float | None]:
-    return exact_quantiles(df, columns, 0.5, small_rows)
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    return {c: v[0] for c, v in exact_quantiles(df, columns, [0.5]).items()}
 
 
 def fill(df: DataFrame, fillers: dict[str, float | None]) -> DataFrame:
@@ -81,9 +37,9 @@ def fill(df: DataFrame, fillers: dict[str, float | None]) -> DataFrame:
     )
 
 
-def impute_medians(df: DataFrame, columns: list[str], basis: DataFrame | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
+def impute_medians(df: DataFrame, columns: list[str], basis: DataFrame | None = None) -> DataFrame:
     """Fill gaps with medians of ``basis`` (all rows of ``df`` unless the training rows are given)."""
-    return fill(df, medians(df if basis is None else basis, columns, small_rows))
+    return fill(df, medians(df if basis is None else basis, columns))
 
 
 def zero_fill(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -124,7 +124,8 @@ def window_per_key(
     walk, so they are filtered at the scan."""
     wet = series.where(F.col(value) >= p.daily_min).select(*key, F.col(day).alias("day"), F.col(value).cast("double").alias("mm"))
     todo = dates.select(*key, date).where(F.col(date).isNotNull()).distinct()
-    steps = max(1, math.ceil(p.cum_min / p.daily_min)) if p.daily_min > 0 else MAX_LAGS + 1
+    # One day more than divides out, as sums of decimal fractions may stay just below the threshold.
+    steps = max(1, math.ceil(p.cum_min / p.daily_min)) + 1 if p.daily_min > 0 else MAX_LAGS + 1
     if steps <= MAX_LAGS:
         hits = _hit_by_lags(todo, wet, key, date, steps, p)
     else:

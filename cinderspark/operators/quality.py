@@ -59,15 +59,18 @@ def spatial_coverage(d: DataFrame, box: Box, need_pct: float = 80.0) -> DataFram
 
 def validation(d: DataFrame, box: Box, start: str, end: str, need_pct: float = 80.0) -> DataFrame:
     """(check, passed) of the schema, date, place and quality checks, and of all of them together, in
-    one pass over the table."""
-    complete = all(c in d.columns for c in REQUIRED_DETECTION_COLUMNS)
-    inside = F.avg(strictly_within(F.col("latitude"), F.col("longitude"), box).cast("double")) * 100
-    checks = d.agg(
-        F.lit(complete).alias("schema"),
-        ((F.min("acq_date") <= F.lit(start).cast("date")) & (F.max("acq_date") >= F.lit(end).cast("date"))).alias("dates"),
-        (inside >= need_pct).alias("place"),
-        F.lit(True).alias("quality"),
-    )
+    one pass over the table. A check whose columns are absent has failed."""
+
+    def has(*columns: str) -> bool:
+        return all(c in d.columns for c in columns)
+
+    failed = F.max(F.lit(False))
+    dates, place = failed, failed
+    if has("acq_date"):
+        dates = (F.min("acq_date") <= F.lit(start).cast("date")) & (F.max("acq_date") >= F.lit(end).cast("date"))
+    if has("latitude", "longitude"):
+        place = F.avg(strictly_within(F.col("latitude"), F.col("longitude"), box).cast("double")) * 100 >= need_pct
+    checks = d.agg(F.lit(has(*REQUIRED_DETECTION_COLUMNS)).alias("schema"), dates.alias("dates"), place.alias("place"), F.lit(True).alias("quality"))
     every = checks.withColumn("all", F.col("schema") & F.col("dates") & F.col("place") & F.col("quality"))
     return every.unpivot([], every.columns, "check", "passed")
 

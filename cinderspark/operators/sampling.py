@@ -1,7 +1,10 @@
 """Samples, splits and no-fire points. All draws are functions of an id and a seed, so a lost task
 draws the same again."""
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,23 +13,20 @@ from cinderspark.operators.spatial import exclude_near
 from cinderspark.params import Box, Negatives
 from cinderspark.session import cut_lineage
 
-# Modulus and multipliers of the linear-congruential draws.
-MODULUS = 2147483647
-LAT_MULTIPLIER = 48271
-LON_MULTIPLIER = 69621
-DAY_MULTIPLIER = 16807
-MONTH_MULTIPLIER = 39373
-WINDOW_MULTIPLIER = 40692
+# Draws are whole numbers below this.
+RANGE = 1 << 48
 
 
-def draw(identifier: Column, multiplier: int) -> Column:
-    """Whole number in [0, MODULUS)."""
-    return (identifier * multiplier) % MODULUS
+def draw(identifier: Column, stream: str) -> Column:
+    """Whole number in [0, RANGE): the first 48 bits of a hash of stream and id. Streams, whose names hold purpose
+    and seed, are independent of each other and of the order of the ids."""
+    digest = F.md5(F.concat(F.lit(f"{stream}:"), identifier.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint")
 
 
-def uniform(identifier: Column, multiplier: int) -> Column:
+def uniform(identifier: Column, stream: str) -> Column:
     """Double in [0, 1)."""
-    return draw(identifier, multiplier) / F.lit(float(MODULUS))
+    return draw(identifier, stream) / F.lit(float(RANGE))
 
 
 def _even_splits(low: float, high: float, buckets: int) -> list[float]:
@@ -38,19 +38,19 @@ def rank_by_draw(df: DataFrame, order: Column, ties: list[str], by: list[str] |
     """Add ``_rank`` (1, 2, ...) in rising order of a draw, per ``by``; draws are uniform, so even ranges
     of it are balanced."""
     marked = df.withColumn("_order", order.cast("double")).withColumn("_one", F.lit(1).cast("bigint"))
-    splits = _even_splits(0.0, float(MODULUS), default_buckets(df))
+    splits = _even_splits(0.0, float(RANGE), default_buckets(df))
     return running_totals(marked, "_order", {"_rank": "_one"}, by, ties, splits).drop("_order", "_one")
 
 
-def fixed_sample(df: DataFrame, n: int, pid: str = "pid", multiplier: int = LAT_MULTIPLIER) -> DataFrame:
-    """n rows drawn without replacement; all of them if there are fewer."""
-    return df.orderBy(draw(F.col(pid), multiplier), pid).limit(n)
+def fixed_sample(df: DataFrame, n: int, pid: str = "pid", seed: int = 42) -> DataFrame:
+    """n rows drawn without replacement, without pulling them together; all of them if there are fewer."""
+    return rank_by_draw(df, draw(F.col(pid), f"{seed}:sample"), [pid]).where(F.col("_rank") <= n).drop("_rank")
 
 
-def stratified_split(df: DataFrame, label: str, share: float = 0.8, pid: str = "pid") -> DataFrame:
+def stratified_split(df: DataFrame, label: str, share: float = 0.8, pid: str = "pid", seed: int = 42) -> DataFrame:
     """Add ``in_train``: the first ``share`` of each class in a drawn order."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = rank_by_draw(df, draw(F.col(pid), LAT_MULTIPLIER), [pid], [label])
+    ranked = rank_by_draw(df, draw(F.col(pid), f"{seed}:split"), [pid], [label])
     return (
         ranked.join(F.broadcast(sizes), label)
         .withColumn("in_train", F.col("_rank") <= F.floor(F.col("_n") * F.lit(share)))
@@ -60,48 +60,71 @@ def stratified_split(df: DataFrame, label: str, share: float = 0.8, pid: str = "
 
 def stratified_folds(df: DataFrame, label: str, folds: int = 5, pid: str = "pid", seed: int = 42) -> DataFrame:
     """Add ``fold`` (0 .. folds-1), dealt out class by class in a drawn order."""
-    ranked = rank_by_draw(df, draw(F.col(pid) + seed, LAT_MULTIPLIER), [pid], [label])
+    ranked = rank_by_draw(df, draw(F.col(pid), f"{seed}:fold"), [pid], [label])
     return ranked.withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_rank")
 
 
-def candidates(df: DataFrame, n: int, box: Box) -> DataFrame:
-    """n uniform places in a box; ``df`` only lends its session."""
-    return df.sparkSession.range(n).select(
+def candidates(spark: SparkSession, low: int, high: int, box: Box, seed: int = 42) -> DataFrame:
+    """Uniform places in a box, for the ids from ``low`` to ``high``."""
+    return spark.range(low, high).select(
         F.col("id").alias("pid"),
-        (F.lit(box.south) + uniform(F.col("id"), LAT_MULTIPLIER) * F.lit(box.north - box.south)).alias("lat"),
-        (F.lit(box.west) + uniform(F.col("id"), LON_MULTIPLIER) * F.lit(box.east - box.west)).alias("lon"),
+        (F.lit(box.south) + uniform(F.col("id"), f"{seed}:lat") * F.lit(box.north - box.south)).alias("lat"),
+        (F.lit(box.west) + uniform(F.col("id"), f"{seed}:lon") * F.lit(box.east - box.west)).alias("lon"),
     )
 
 
-def _first(df: DataFrame, n: int, tries: int) -> DataFrame:
-    """The n rows with the lowest pid out of [0, tries), without pulling them together."""
-    marked = cut_lineage(df).withColumn("_order", F.col("pid").cast("double")).withColumn("_one", F.lit(1).cast("bigint"))
-    ranked = running_totals(marked, "_order", {"_rank": "_one"}, None, ["pid"], _even_splits(0.0, float(tries), default_buckets(df)))
-    return ranked.where(F.col("_rank") <= n).drop("_order", "_one", "_rank")
+def _first(spark: SparkSession, wanted: int, tries: int, accepted: Callable[[int, int], DataFrame]) -> DataFrame:
+    """The ``wanted`` accepted candidates with the lowest ids.
+
+    Ranges of ids, each twice as long as the one before, are tried until enough are accepted or a whole range
+    yields nothing. ``accepted(low, high)`` gives those of a range.
+    """
+    low, high, found, parts = 0, wanted * tries, 0, []
+    while found < wanted:
+        part = cut_lineage(accepted(low, high))
+        n = part.count()
+        parts.append(part)
+        found += n
+        if not n:
+            break
+        low, high = high, high + 2 * (high - low)
+    if not parts:
+        return accepted(0, 0)
+    tried = reduce(DataFrame.unionByName, parts)
+    marked = tried.withColumn("_order", F.col("pid").cast("double")).withColumn("_one", F.lit(1).cast("bigint"))
+    ranked = running_totals(marked, "_order", {"_rank": "_one"}, None, ["pid"], _even_splits(0.0, float(high), default_buckets(tried)))
+    return ranked.where(F.col("_rank") <= wanted).drop("_order", "_one", "_rank")
+
+
+def wanted_points(fires: DataFrame, rules: Negatives = Negatives()) -> int:
+    return int(fires.count() * rules.ratio)
 
 
-def _size(fires: DataFrame, rules: Negatives) -> tuple[int, int]:
-    wanted = int(fires.count() * rules.ratio)
-    return wanted, wanted * rules.tries_per_point
+def shortfall(fires: DataFrame, negatives: DataFrame, rules: Negatives = Negatives()) -> DataFrame:
+    """One row: how many points were wanted, how many found."""
+    return negatives.agg(F.count(F.lit(1)).alias("found")).select(F.lit(wanted_points(fires, rules)).cast("bigint").alias("wanted"), "found")
 
 
-def negatives_in_space(fires: DataFrame, rules: Negatives = Negatives(), rain_of=None) -> DataFrame:
+def negatives_in_space(fires: DataFrame, rules: Negatives = Negatives(), rain_of=None, seed: int = 42) -> DataFrame:
     """Uniform places and days, far from every fire; with ``rain_of``, on days that are not wet.
 
-    ``rain_of(candidates)`` must add a column ``mm``. At most ``tries_per_point`` tries per wanted point
-    are made, and the first accepted ones are kept.
+    ``rain_of(candidates)`` must add a column ``mm``. As many as wanted are found wherever there is room for them;
+    see ``shortfall``.
     """
-    wanted, tries = _size(fires, rules)
+    spark, wanted = fires.sparkSession, wanted_points(fires, rules)
     first, last = fires.agg(F.min("date"), F.max("date")).first()
     if not wanted:
-        return candidates(fires, 0, rules.box).withColumn("date", F.lit(None).cast("date")).withColumn("is_fire", F.lit(False))
+        return candidates(spark, 0, 0, rules.box).withColumn("date", F.lit(None).cast("date")).withColumn("is_fire", F.lit(False))
     span = max((last - first).days, 1)
-    day = F.date_add(F.lit(first), (draw(F.col("pid"), DAY_MULTIPLIER) % span).cast("int"))
-    tried = candidates(fires, tries, rules.box).withColumn("date", day)
-    if rain_of is not None:
-        tried = rain_of(tried).where(F.coalesce(F.col("mm"), F.lit(0.0)) < rules.max_rain_mm).drop("mm")
-    kept = exclude_near(tried, fires, rules.min_km)
-    return _first(kept, wanted, tries).withColumn("is_fire", F.lit(False))
+
+    def accepted(low: int, high: int) -> DataFrame:
+        day = F.date_add(F.lit(first), (draw(F.col("pid"), f"{seed}:day") % span).cast("int"))
+        tried = candidates(spark, low, high, rules.box, seed).withColumn("date", day)
+        if rain_of is not None:
+            tried = rain_of(tried).where(F.coalesce(F.col("mm"), F.lit(0.0)) < rules.max_rain_mm).drop("mm")
+        return exclude_near(tried, fires, rules.min_km)
+
+    return _first(spark, wanted, rules.tries_per_point, accepted).withColumn("is_fire", F.lit(False))
 
 
 def month_shares(fires: DataFrame, date: str = "date") -> DataFrame:
@@ -124,37 +147,40 @@ def month_dates(fires: DataFrame, date: str = "date") -> DataFrame:
     return days.select("month", number.cast("bigint").alias("_k"), "date")
 
 
-def negatives_by_month(fires: DataFrame, rules: Negatives = Negatives(tries_per_point=20)) -> DataFrame:
+def negatives_by_month(fires: DataFrame, rules: Negatives = Negatives(tries_per_point=20), seed: int = 42) -> DataFrame:
     """Places in the fires' extent, days drawn so that months come up as often as among the fires."""
-    wanted, tries = _size(fires, rules)
+    spark, wanted = fires.sparkSession, wanted_points(fires, rules)
     s, n, w, e = fires.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
-    tried = candidates(fires, tries, Box(s or 0.0, n or 0.0, w or 0.0, e or 0.0))
-    tried = tried.withColumn("_u", uniform(F.col("pid"), MONTH_MULTIPLIER))
+    box = Box(s or 0.0, n or 0.0, w or 0.0, e or 0.0)
     # Twelve rows at most: the months and their shares.
     months = month_shares(fires).collect()
-    month, n_dates = F.lit(None).cast("int"), F.lit(None).cast("bigint")
-    for row in months:
-        here = (F.col("_u") >= row["share_low"]) & (F.col("_u") < row["share_high"])
-        month = F.when(here, F.lit(row["month"])).otherwise(month)
-        n_dates = F.when(here, F.lit(row["n_dates"]).cast("bigint")).otherwise(n_dates)
-    dated = (
-        tried.withColumn("month", month)
-        .withColumn("_k", draw(F.col("pid"), DAY_MULTIPLIER) % n_dates)
-        # Distinct days of the fires: the calendar bounds this table.
-        .join(F.broadcast(month_dates(fires)), ["month", "_k"])
-        .select("pid", "lat", "lon", "date")
-    )
-    kept = exclude_near(dated, fires, rules.min_km)
-    return _first(kept, wanted, tries).withColumn("is_fire", F.lit(False))
-
 
-def random_windows(points: DataFrame, low: int = 1, high: int = 14, date: str = "date", pid: str = "pid") -> DataFrame:
+    def accepted(low: int, high: int) -> DataFrame:
+        tried = candidates(spark, low, high, box, seed).withColumn("_u", uniform(F.col("pid"), f"{seed}:month"))
+        month, n_dates = F.lit(None).cast("int"), F.lit(None).cast("bigint")
+        for row in months:
+            here = (F.col("_u") >= row["share_low"]) & (F.col("_u") < row["share_high"])
+            month = F.when(here, F.lit(row["month"])).otherwise(month)
+            n_dates = F.when(here, F.lit(row["n_dates"]).cast("bigint")).otherwise(n_dates)
+        dated = (
+            tried.withColumn("month", month)
+            .withColumn("_k", draw(F.col("pid"), f"{seed}:day") % n_dates)
+            # Distinct days of the fires: the calendar bounds this table.
+            .join(F.broadcast(month_dates(fires)), ["month", "_k"])
+            .select("pid", "lat", "lon", "date")
+        )
+        return exclude_near(dated, fires, rules.min_km)
+
+    return _first(spark, wanted, rules.tries_per_point, accepted).withColumn("is_fire", F.lit(False))
+
+
+def random_windows(points: DataFrame, low: int = 1, high: int = 14, date: str = "date", pid: str = "pid", seed: int = 42) -> DataFrame:
     """Windows of a drawn length of low..high days, to reproduce the variant that leaks the label."""
-    days = (F.lit(low) + draw(F.col(pid), WINDOW_MULTIPLIER) % (high - low + 1)).cast("int")
+    days = (F.lit(low) + draw(F.col(pid), f"{seed}:window") % (high - low + 1)).cast("int")
     return points.withColumns({"dtw_start": F.date_sub(F.col(date), days), "dtw_end": F.col(date), "dtw_length": days})
 
 
-def spread_over_months(points: DataFrame, fires: DataFrame, pid: str = "pid") -> DataFrame:
+def spread_over_months(points: DataFrame, fires: DataFrame, pid: str = "pid", seed: int = 42) -> DataFrame:
     """New dates for points: equally many in each month that has fires (the first months one more when
     it does not divide), drawn with replacement from the month's distinct fire days, in mixed order."""
     dates = month_dates(fires)
@@ -163,7 +189,7 @@ def spread_over_months(points: DataFrame, fires: DataFrame, pid: str = "pid") ->
     months = per_month.withColumn("_m", F.row_number().over(by_month) - 1)
     total, n_months = points.count(), months.count()
     base, extra = divmod(total, max(n_months, 1))
-    ranked = rank_by_draw(points, draw(F.col(pid), LAT_MULTIPLIER), [pid])
+    ranked = rank_by_draw(points, draw(F.col(pid), f"{seed}:mix"), [pid])
     place = F.col("_rank") - 1
     head = extra * (base + 1)
     slot = F.when(place < head, F.floor(place / F.lit(base + 1))).otherwise(
@@ -173,7 +199,7 @@ def spread_over_months(points: DataFrame, fires: DataFrame, pid: str = "pid") ->
         ranked.withColumn("_m", slot.cast("int"))
         .drop("date", "_rank")
         .join(F.broadcast(months), "_m")
-        .withColumn("_k", draw(F.col(pid), DAY_MULTIPLIER) % F.col("_n_dates"))
+        .withColumn("_k", draw(F.col(pid), f"{seed}:day") % F.col("_n_dates"))
         .join(F.broadcast(dates), ["month", "_k"])
         .drop("_m", "_k", "_n_dates", "month")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderspark.functions.risk import LAST_DATA_DAY, confidence, request_error, risk_level
-from cinderspark.operators.clean import complete_columns
+from cinderspark.operators.clean import clean_for_scoring, complete_columns
 from cinderspark.operators.matrix import Observations, extract_features
 from cinderspark.operators.training import predict
 from cinderspark.params import FEATURES, REGION, Box
@@ -18,7 +18,8 @@ def score_requests(
 ) -> DataFrame:
     """(pid, lat, lon, date, probability, risk_level, confidence, features_used, error), a row per request.
 
-    Requests bring their cell columns. Refused ones keep their reason; there is no limit on how many come
+    Requests bring their cell columns. Gaps in the features are zeros, as the medians of the training rows are not
+    at hand. Refused ones keep their reason; there is no limit on how many come
     at once. Equal places and days share one look-back.
     """
     day = F.current_date() if today is None else today
@@ -26,7 +27,7 @@ def score_requests(
     good = checked.where("error IS NULL").withColumn("day", F.to_date("date"))
     made = extract_features(good, obs, date="day")
     keep = ["pid", "lat", "lon", "date"]
-    scored = predict(complete_columns(made, FEATURES, keep), model, scaler, features, keep)
+    scored = predict(clean_for_scoring(complete_columns(made, FEATURES, keep), FEATURES), model, scaler, features, keep)
     answered = scored.select(
         *keep,
         F.col("p").alias("probability"),

@@ -4,13 +4,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cinderspark.operators.clean import exact_quantiles
+from cinderspark.operators.quantiles import exact_quantiles
 
 
 def split_instant(df: DataFrame, date: str = "date", share: float = 0.8) -> float | None:
     """Linear quantile of the instants, in microseconds."""
     micros = df.select(F.unix_micros(F.col(date).cast("timestamp")).cast("double").alias("us"))
-    return exact_quantiles(micros, ["us"], share)["us"]
+    return exact_quantiles(micros, ["us"], [share])["us"][0]
 
 
 def temporal_split(df: DataFrame, date: str = "date", share: float = 0.8, at: str | None = None) -> DataFrame:

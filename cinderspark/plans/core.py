@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from cinderspark.functions.values import temperature_k
 from cinderspark.operators import bands as band_ops
 from cinderspark.operators import lookback, windowstats
+from cinderspark.operators.sampling import draw
 from cinderspark.operators.skew import lookup
 from cinderspark.plans import fixtures as fx
-from cinderspark.plans.registry import query
+from cinderspark.plans.registry import draw_sql, query
 
 KEY = ["cell"]
 ON = ["cell", "date"]
@@ -72,18 +73,20 @@ def t3(spark, folder):
     return lookback.with_fallback(a, found, KEY).select("pid", "date", "dtw_start", "dtw_end", "dtw_length")
 
 
+FALLBACK_SQL = f"CAST(7 + {draw_sql('42:fallback')} % 23 AS INTEGER)"
+
+
 @query(
     "t3_window_random_fallback",
     fx.ctes("windows")
-    + """SELECT pid, date, a.date - CAST(7 + (pid * 48271) % 2147483647 % 23 AS INTEGER) AS dtw_start, a.date AS dtw_end,
-    CAST(7 + (pid * 48271) % 2147483647 % 23 AS INTEGER) AS dtw_length FROM anchors a WHERE cell NOT IN (SELECT cell FROM rain WHERE mm >= 100)
+    + f"""SELECT pid, date, a.date - {FALLBACK_SQL} AS dtw_start, a.date AS dtw_end, {FALLBACK_SQL} AS dtw_length FROM anchors a WHERE cell NOT IN (SELECT cell FROM rain WHERE mm >= 100)
     UNION ALL SELECT pid, date, dtw_start, dtw_end, dtw_length FROM windows JOIN anchors USING (cell, date) WHERE cell IN (SELECT cell FROM rain WHERE mm >= 100)""",
 )
 def t3_random(spark, folder):
     a, rain = fx.anchors(spark, folder), fx.rain(spark, folder)
     measured = rain.where("mm >= 100").select("cell").distinct()
     found = windows(spark, folder).join(measured, "cell", "left_semi")
-    days = (F.lit(7) + (F.col("pid") * 48271) % 2147483647 % 23).cast("int")
+    days = (F.lit(7) + draw(F.col("pid"), "42:fallback") % 23).cast("int")
     return lookback.with_fallback(a, found, KEY, days=days).select("pid", "date", "dtw_start", "dtw_end", "dtw_length")
 
 

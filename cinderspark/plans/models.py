@@ -10,7 +10,7 @@ from cinderspark.params import FEATURES
 from cinderspark.plans import fixtures as fx
 from cinderspark.plans.core import KEY, ON, rounded, stats_sql
 from cinderspark.plans.files import scratch
-from cinderspark.plans.registry import query
+from cinderspark.plans.registry import draw_sql, query, uniform_sql
 from cinderspark.plans.reports import HORN_SQL, terrain_table
 
 
@@ -96,7 +96,7 @@ def _mi_sql() -> str:
     parts, blocks = [], []
     psi = lambda n: f"(ln({n} + 8e0) - 5e-1 / ({n} + 8e0) - 1 / (12 * power({n} + 8e0, 2)) + 1 / (120 * power({n} + 8e0, 4)) - 1 / (252 * power({n} + 8e0, 6)) - ({' + '.join(f'1 / ({n} + {i}e0)' for i in range(8))}))"
     for i, c in enumerate(LINE_FEATURES):
-        noise = f"(sqrt(-2 * ln((((pid + {42 + i}) * 48271) % 2147483647 + 1) / 2147483648e0)) * cos(((pid + {42 + i}) * 69621) % 2147483647 / 2147483647e0 * 6283185307179586e-15))"
+        noise = f"(sqrt(-2 * ln(({draw_sql(f'{42 + i}:u1')} + 1) / 281474976710656e0)) * cos({uniform_sql(f'{42 + i}:u2')} * 6283185307179586e-15))"
         gaps = ", ".join([f"abs(x - lag(x, {j}) OVER w)" for j in (1, 2, 3)] + [f"abs(x - lead(x, {j}) OVER w)" for j in (1, 2, 3)])
         blocks.append(f"""x{i} AS (SELECT pid, y, floor(({c} / s + {noise} * (1e-10 * greatest(1, round(m / s, 6)))) * power(2e0, 51 - ceil(log2(top / s + 1))) + 5e-1) AS x
           FROM labelled_lines, (SELECT round(stddev_pop({c}), 6) AS s, avg(abs({c})) AS m, max(abs({c})) AS top FROM labelled_lines)),

@@ -8,17 +8,13 @@ from cinderspark.operators import lookback, sampling, spatial
 from cinderspark.params import CONFIGURED_REGION, REGION
 from cinderspark.plans import fixtures as fx
 from cinderspark.plans.core import rounded
-from cinderspark.plans.registry import query
+from cinderspark.plans.registry import draw_sql, query, uniform_sql
 
 BOXES_SQL = """tile_boxes(ord, tile, lon_min, lon_max, lat_min, lat_max) AS (VALUES
   (0, 'h24v05', 69.28e0, 91.38e0, 3e1, 4e1), (1, 'h24v06', 63.85e0, 80.83e0, 2e1, 3e1), (2, 'h25v06', 74.49e0, 92.38e0, 2e1, 3e1))"""
 IN_BOX = "lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max"
 
 
-def uniform_sql(multiplier: int, low: str, width: str) -> str:
-    return f"{low} + ((pid * {multiplier}) % 2147483647) / 2147483647e0 * {width}"
-
-
 # The same draws as the engine's; far from fires is checked against fires in the 5 km cells around.
 NEGATIVE_SQL = (
     """, ids AS (SELECT unnest(range({tries} * (SELECT count(*) FROM fires))) AS pid),
@@ -33,9 +29,12 @@ NEGATIVE_SQL = (
     negatives AS (SELECT pid, lat, lon, date, false AS is_fire FROM (SELECT *, row_number() OVER (ORDER BY pid) AS r FROM kept), ext WHERE r <= n_fires)
     """
 )
-PLACE_SQL = f"{uniform_sql(48271, '28.7e0', '(31.5e0 - 28.7e0)')} AS lat, {uniform_sql(69621, '77.5e0', '(81e0 - 77.5e0)')} AS lon"
-DAY_SQL = "d0 + CAST((pid * 16807) % 2147483647 % greatest(d1 - d0, 1) AS INTEGER) AS date"
-SPACE_SQL = fx.ctes("fires") + NEGATIVE_SQL.format(tries=10, tried=f"SELECT pid, {PLACE_SQL}, {DAY_SQL} FROM ids, ext")
+PLACE_SQL = f"28.7e0 + {uniform_sql('42:lat')} * (31.5e0 - 28.7e0) AS lat, 77.5e0 + {uniform_sql('42:lon')} * (81e0 - 77.5e0) AS lon"
+DAY_SQL = f"d0 + CAST({draw_sql('42:day')} % greatest(d1 - d0, 1) AS INTEGER) AS date"
+WINDOW_SQL = f"CAST(1 + {draw_sql('42:window')} % 14 AS INTEGER)"
+# Tries for each point that are enough on the test tables.
+TRIES = 200
+SPACE_SQL = fx.ctes("fires") + NEGATIVE_SQL.format(tries=TRIES, tried=f"SELECT pid, {PLACE_SQL}, {DAY_SQL} FROM ids, ext")
 OUT_SQL = "SELECT pid, round(lat, 6) AS lat, round(lon, 6) AS lon, date, is_fire FROM negatives"
 
 
@@ -177,17 +176,17 @@ def j9_edges(spark, folder):
 
 @query(
     "n1_fixed_size_sample",
-    fx.ctes("fires") + "SELECT pid, lat, lon, date FROM fires ORDER BY (pid * 48271) % 2147483647, pid LIMIT 5000",
+    fx.ctes("fires") + f"SELECT pid, lat, lon, date FROM fires ORDER BY {draw_sql('42:sample')}, pid LIMIT 300",
 )
 def n1(spark, folder):
-    return sampling.fixed_sample(fx.fires(spark, folder), 5000).select("pid", "lat", "lon", "date")
+    return sampling.fixed_sample(fx.fires(spark, folder), 300).select("pid", "lat", "lon", "date")
 
 
 @query(
     "n2_negatives_space_and_dryness",
     fx.ctes("fires", "rain")
     + NEGATIVE_SQL.format(
-        tries=10,
+        tries=TRIES,
         tried=f"""SELECT t.pid, t.lat, t.lon, t.date FROM (SELECT *, {CELL_SQL} AS cell FROM (SELECT pid, {PLACE_SQL}, {DAY_SQL} FROM ids, ext)) t
         LEFT JOIN rain r ON t.cell = r.cell AND t.date = r.day WHERE coalesce(r.mm, 0) < 10""",
     )
@@ -199,6 +198,12 @@ def n2(spark, folder):
     return rounded(sampling.negatives_in_space(fx.fires(spark, folder), rain_of=rain_of))
 
 
+@query("n3_negatives_reached", fx.ctes("fires") + "SELECT count(*) AS wanted, count(*) AS found FROM fires")
+def n3_reached(spark, folder):
+    fires = fx.fires(spark, folder)
+    return sampling.shortfall(fires, sampling.negatives_in_space(fires))
+
+
 @query("n3_negatives_space", SPACE_SQL + OUT_SQL)
 def n3(spark, folder):
     return rounded(sampling.negatives_in_space(fx.fires(spark, folder)))
@@ -211,10 +216,10 @@ def n3(spark, folder):
       FROM (SELECT month(date) AS month, count(*) AS n, count(DISTINCT date) AS n_dates FROM fires GROUP BY 1)),
     month_dates AS (SELECT month(date) AS month, date, row_number() OVER (PARTITION BY month(date) ORDER BY date) - 1 AS k FROM (SELECT DISTINCT date FROM fires))"""
     + NEGATIVE_SQL.format(
-        tries=20,
-        tried=f"""SELECT i.pid, {uniform_sql(48271, 's', '(n - s)')} AS lat, {uniform_sql(69621, 'w', '(e - w)')} AS lon, x.date
-        FROM ids i JOIN months m ON (i.pid * 39373) % 2147483647 / 2147483647e0 >= share_low AND (i.pid * 39373) % 2147483647 / 2147483647e0 < share_high
-        JOIN month_dates x ON x.month = m.month AND x.k = (i.pid * 16807) % 2147483647 % m.n_dates, ext""",
+        tries=TRIES,
+        tried=f"""SELECT i.pid, s + {uniform_sql('42:lat', 'i.pid')} * (n - s) AS lat, w + {uniform_sql('42:lon', 'i.pid')} * (e - w) AS lon, x.date
+        FROM ids i JOIN months m ON {uniform_sql('42:month', 'i.pid')} >= share_low AND {uniform_sql('42:month', 'i.pid')} < share_high
+        JOIN month_dates x ON x.month = m.month AND x.k = {draw_sql('42:day', 'i.pid')} % m.n_dates, ext""",
     )
     + OUT_SQL,
 )
@@ -225,8 +230,7 @@ def n4(spark, folder):
 @query(
     "n5_negatives_random_window",
     SPACE_SQL
-    + """SELECT pid, date, date - CAST(1 + (pid * 40692) % 2147483647 % 14 AS INTEGER) AS dtw_start, date AS dtw_end,
-    CAST(1 + (pid * 40692) % 2147483647 % 14 AS INTEGER) AS dtw_length FROM negatives""",
+    + f"SELECT pid, date, date - {WINDOW_SQL} AS dtw_start, date AS dtw_end, {WINDOW_SQL} AS dtw_length FROM negatives",
 )
 def n5(spark, folder):
     drawn = sampling.random_windows(sampling.negatives_in_space(fx.fires(spark, folder)))
@@ -236,21 +240,20 @@ def n5(spark, folder):
 @query(
     "t9_random_windows",
     fx.ctes("anchors")
-    + """SELECT pid, date - CAST(1 + (pid * 40692) % 2147483647 % 14 AS INTEGER) AS dtw_start, date AS dtw_end,
-    CAST(1 + (pid * 40692) % 2147483647 % 14 AS INTEGER) AS dtw_length FROM anchors WHERE NOT is_fire""",
+    + f"SELECT pid, date - {WINDOW_SQL} AS dtw_start, date AS dtw_end, {WINDOW_SQL} AS dtw_length FROM anchors WHERE NOT is_fire",
 )
 def t9(spark, folder):
     points = sampling.random_windows(fx.anchors(spark, folder).where("NOT is_fire"))
     return points.select("pid", "dtw_start", "dtw_end", "dtw_length")
 
 
-N6_SQL = """, month_dates AS (SELECT month(date) AS month, date, row_number() OVER (PARTITION BY month(date) ORDER BY date) - 1 AS k FROM (SELECT DISTINCT date FROM fires)),
+N6_SQL = f""", month_dates AS (SELECT month(date) AS month, date, row_number() OVER (PARTITION BY month(date) ORDER BY date) - 1 AS k FROM (SELECT DISTINCT date FROM fires)),
     months AS (SELECT month, count(*) AS n_dates, row_number() OVER (ORDER BY month) - 1 AS m FROM month_dates GROUP BY 1),
-    neg AS (SELECT pid, cell, row_number() OVER (ORDER BY (pid * 48271) % 2147483647, pid) - 1 AS r FROM anchors WHERE NOT is_fire),
+    neg AS (SELECT pid, cell, row_number() OVER (ORDER BY {draw_sql('42:mix')}, pid) - 1 AS r FROM anchors WHERE NOT is_fire),
     z AS (SELECT count(*) // (SELECT count(*) FROM months) AS base, count(*) % (SELECT count(*) FROM months) AS extra FROM neg),
     redated AS (SELECT neg.pid, neg.cell, x.date FROM neg, z
       JOIN months ON months.m = CASE WHEN r < extra * (base + 1) THEN r // (base + 1) ELSE extra + (r - extra * (base + 1)) // greatest(base, 1) END
-      JOIN month_dates x ON x.month = months.month AND x.k = (neg.pid * 16807) % 2147483647 % months.n_dates)"""
+      JOIN month_dates x ON x.month = months.month AND x.k = {draw_sql('42:day', 'neg.pid')} % months.n_dates)"""
 
 
 @query("n6_even_months", fx.ctes("fires") + N6_SQL + "SELECT pid, date FROM redated")
@@ -294,7 +297,7 @@ def n8(spark, folder):
 @query(
     "c7_stratified_split",
     fx.ctes("scores")
-    + """SELECT pid, y, row_number() OVER (PARTITION BY y ORDER BY (pid * 48271) % 2147483647, pid) <= floor(count(*) OVER (PARTITION BY y) * 8e-1) AS in_train FROM scores""",
+    + f"""SELECT pid, y, row_number() OVER (PARTITION BY y ORDER BY {draw_sql('42:split')}, pid) <= floor(count(*) OVER (PARTITION BY y) * 8e-1) AS in_train FROM scores""",
 )
 def c7(spark, folder):
     return sampling.stratified_split(fx.scores(spark, folder).select("pid", "y"), "y")

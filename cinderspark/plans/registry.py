@@ -20,3 +20,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return function
 
     return register
+
+
+def draw_sql(stream: str, pid: str = "pid") -> str:
+    """The engine's draws: 48 bits of a hash."""
+    return f"CAST('0x' || substr(md5('{stream}:' || {pid}), 1, 12) AS BIGINT)"
+
+
+def uniform_sql(stream: str, pid: str = "pid") -> str:
+    return f"({draw_sql(stream, pid)} / 281474976710656e0)"

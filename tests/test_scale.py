@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cinderspark.operators import clean, evaluation, information, sampling, skew, spatial, terrain
+from cinderspark.operators import evaluation, information, quantiles, sampling, skew, spatial, terrain
 
 
 def test_lookup_splits_hot_keys(spark):
@@ -28,16 +28,23 @@ def test_running_totals_match_a_plain_window(spark):
             assert got[i] == total
 
 
-@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.8, 1.0])
-def test_exact_quantiles_beyond_the_small_size(spark, q):
+@pytest.mark.parametrize("bracket", [1, 50, 100_000])
+def test_exact_quantiles_whatever_the_brackets(spark, bracket):
     rng = np.random.default_rng(4)
-    data = rng.normal(size=3001)
+    wide = rng.normal(size=3001) * 10.0 ** rng.integers(-12, 200, 3001)
     ties = rng.integers(0, 5, 3001).astype(float)
-    df = spark.createDataFrame([(float(a), float(b), None if i % 3 else float(a)) for i, (a, b) in enumerate(zip(data, ties))], "a double, b double, c double")
-    got = clean.exact_quantiles(df, ["a", "b", "c"], q, small_rows=100)
-    assert got["a"] == pytest.approx(np.quantile(data, q), abs=1e-12)
-    assert got["b"] == pytest.approx(np.quantile(ties, q))
-    assert got["c"] == pytest.approx(np.quantile(data[::3], q), abs=1e-12)
+    infinite = np.where(ties == 0, -np.inf, np.where(ties == 4, np.inf, wide))
+    rows = [(float(a), float(b), None if i % 3 else float(a), float(c), None, float("nan") if i else 3.0) for i, (a, b, c) in enumerate(zip(wide, ties, infinite))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.8, 1.0]
+    got = quantiles.exact_quantiles(df, list("abcdef"), shares, bracket)
+    assert got["a"] == pytest.approx(np.quantile(wide, shares).tolist(), rel=1e-12)
+    assert got["b"] == np.quantile(ties, shares).tolist()
+    assert got["c"] == pytest.approx(np.quantile(wide[::3], shares).tolist(), rel=1e-12)
+    ordered = np.sort(infinite)
+    assert [got["d"][0], got["d"][1], got["d"][-1]] == [-np.inf, -np.inf, np.inf]
+    assert got["d"][3] == ordered[1500]
+    assert got["e"] == [None] * 6 and got["f"] == [3.0] * 6
 
 
 def _clustered(rng, n, hot):
