@@ -159,10 +159,10 @@ def implied_confusion(metrics: DataFrame, positives: int = 500, negatives: int =
 
 
 def ranked(scores: DataFrame, score: str, name: str = "feature", k: int | None = None) -> DataFrame:
-    """Rows of a small score table (one per feature or model) with their rank; the first k if given."""
+    """Rows of a small score table (one per feature or model) with their rank; the first k of a table of any size."""
     place = F.row_number().over(Window.partitionBy().orderBy(F.desc(score), name))
-    out = scores.withColumn("rank", place)
-    return out if k is None else out.where(F.col("rank") <= k)
+    first = scores if k is None else scores.orderBy(F.desc(score), name).limit(k)
+    return first.withColumn("rank", place)
 
 
 def score_buckets(df: DataFrame, column: str, buckets: int) -> DataFrame:

@@ -1,8 +1,10 @@
 """Scaling, model fits, model search, ensembles, prediction."""
 
+import warnings
 from collections import Counter
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException, IllegalArgumentException, SparkRuntimeException
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Model
 from pyspark.ml.classification import (
@@ -164,8 +166,9 @@ def search(df: DataFrame, features: list[str], label: str = "target", pid: str =
                 best = tuner.fit(train).bestModel
                 kind, auc = type(best).__name__, roc_auc(predictions(best.transform(held), label), "p", "y").first()["auc"]
                 found.append((name, kind, best, auc))
-            except Exception:
-                continue
+            except (IllegalArgumentException, SparkRuntimeException) as e:
+                # An algorithm that refuses these data; anything else is raised.
+                warnings.warn(f"{name} left out: {str(e).splitlines()[0]}", stacklevel=2)
         if not found:
             return Ensemble([("random_forest", random_forest(label).fit(data), 1.0)], features=features)
         top = sorted(found, key=lambda f: -f[3])[: s.keep]
@@ -237,7 +240,7 @@ def resolve_spec(spark: SparkSession, paths: list[str]) -> list[str]:
     for path in paths:
         try:
             return load_spec(spark, path)
-        except Exception:
+        except AnalysisException:  # no such file
             continue
     return list(DEFAULT_SELECTION)
 

@@ -90,7 +90,7 @@ def bands(spark: SparkSession, folder: str) -> DataFrame:
 
 def daily_bands(spark: SparkSession, folder: str) -> DataFrame:
     """Raw reflectances over the whole date range of the anchors; raw 7 stands for no data."""
-    number = F.col("l_linenumber")
+    number = (F.col("l_linenumber") - 1) % 5 + 1
     band = (
         F.when(number == 1, "red")
         .when(number == 2, "nir")
@@ -100,7 +100,6 @@ def daily_bands(spark: SparkSession, folder: str) -> DataFrame:
     )
     return (
         table(spark, folder, "lineitem")
-        .where("l_linenumber <= 5")
         .groupBy((F.col("l_suppkey") % 25).cast("int").alias("cell"), F.to_date("l_shipdate").alias("day"), band.alias("band"))
         .agg((F.sum(F.col("l_partkey") * 37) % 9973).cast("int").alias("raw"))
     )
@@ -224,9 +223,9 @@ SOURCES: dict[str, tuple[str, list[str]]] = {
         [],
     ),
     "daily_bands": (
-        f"""SELECT {CELL_DAY}, CASE l_linenumber WHEN 1 THEN 'red' WHEN 2 THEN 'nir' WHEN 3 THEN 'blue'
+        f"""SELECT {CELL_DAY}, CASE (l_linenumber - 1) % 5 + 1 WHEN 1 THEN 'red' WHEN 2 THEN 'nir' WHEN 3 THEN 'blue'
         WHEN 4 THEN 'swir1' WHEN 5 THEN 'swir2' END AS band, CAST(sum(l_partkey * 37) % 9973 AS INTEGER) AS raw
-        FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1, 2, 3""",
+        FROM lineitem GROUP BY 1, 2, 3""",
         [],
     ),
     "index_points": (

@@ -139,10 +139,10 @@ def m2(spark, folder):
 
 @query(
     "m4_majority_vote",
-    """SELECT p_brand AS feature, count(DISTINCT p_size % 10) AS votes, count(DISTINCT p_size % 10) > 5 AS selected FROM part WHERE p_retailprice > 995 GROUP BY 1""",
+    """SELECT p_brand AS feature, count(DISTINCT p_size % 10) AS votes, count(DISTINCT p_size % 10) > 5 AS selected FROM part GROUP BY 1""",
 )
 def m4_vote(spark, folder):
-    part = fx.table(spark, folder, "part").where("p_retailprice > 995")
+    part = fx.table(spark, folder, "part")
     return selection.majority(part.select((F.col("p_size") % 10).alias("run"), F.col("p_brand").alias("feature")), 10)
 
 
@@ -213,17 +213,17 @@ def m6(spark, folder):
 
 @query(
     "m7_save_load_selection",
-    "SELECT unnest(list_sort(list(p_brand))) AS feature FROM (SELECT DISTINCT p_brand FROM part WHERE p_size > 25)",
+    "SELECT unnest(list_sort(list(p_brand))) AS feature FROM (SELECT DISTINCT p_brand FROM part)",
 )
 def m7(spark, folder):
     # A selection is a list of names; the brands are few.
-    names = [r[0] for r in fx.table(spark, folder, "part").where("p_size > 25").select("p_brand").distinct().orderBy("p_brand").collect()]
+    names = [r[0] for r in fx.table(spark, folder, "part").select("p_brand").distinct().orderBy("p_brand").collect()]
     path = scratch(spark, "selection")
     selection.save_selection(spark, names, path)
     return spark.createDataFrame([(n,) for n in selection.load_selection(spark, path)], "feature string")
 
 
-MODEL_FEATURES = ["prec_mean", "prec_sum", "ndvi_mean", "lst_mean", "elevation", "slope"]
+MODEL_FEATURES = FEATURES
 
 
 @query("m9_random_forest")
@@ -234,6 +234,15 @@ def m9(spark, folder):
     return spark.createDataFrame(out, "side string, metric string, value double")
 
 
+@query("e7_model_importances")
+def e7_model(spark, folder):
+    """Importances of a fitted forest, highest first; one row per feature."""
+    train, _, _ = scaled_sides(training_rows(spark, folder), MODEL_FEATURES)
+    found = training.random_forest(trees=20, max_depth=8).fit(train).featureImportances.toArray()
+    scores = [(name, float(value)) for name, value in zip(MODEL_FEATURES, found, strict=True)]
+    return evaluation.ranked(spark.createDataFrame(scores, "feature string, importance double"), "importance")
+
+
 SMALL_SEARCH = training.Search(trees=10, max_depth=5, max_iter=15)
 
 
