@@ -19,10 +19,10 @@ ROW_IDS = ["pid", "_id"]
 def lookup(
     big: DataFrame, table: DataFrame, on: list[str], how: str = "left", rows_per_salt: int = ROWS_PER_SALT, counted: DataFrame | None = None
 ) -> DataFrame:
-    """Join ``big`` to ``table``, which has at most one row per key.
+    """Join ``big`` to ``table``, which has one row or a few rows per key.
 
-    Keys of ``big`` with more than ``rows_per_salt`` rows are split into salts, and only their row of
-    ``table`` is repeated. At most rows(big) / rows_per_salt keys can be that hot, which bounds the
+    Keys of ``big`` with more than ``rows_per_salt`` rows are split into salts, and only their rows of
+    ``table`` are repeated. At most rows(big) / rows_per_salt keys can be that hot, which bounds the
     broadcast list of hot keys. Rows without a key match nothing and are spread. When the whole table is
     known to be small the planner's own size check turns the join into a broadcast one. Rows are spread by
     their id where they have one, so that no other column has to be read for it.

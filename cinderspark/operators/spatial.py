@@ -28,10 +28,15 @@ def sample_cells(points: DataFrame, cells: DataFrame, on: list[str], values: lis
     return lookup(points, cells.select(*on, *values), on)
 
 
-def _index(targets: DataFrame, lat: str, lon: str, south: float, west: float, side: float, levels: int) -> DataFrame:
-    """Distinct targets with their finest cell (_i, _j); a coarser cell is the same numbers shifted."""
+def _places(targets: DataFrame, lat: str, lon: str) -> DataFrame:
+    """The distinct places of targets, written once for all that is asked of them."""
+    return cut_lineage(targets.select(F.col(lat).alias("_tlat"), F.col(lon).alias("_tlon")).distinct())
+
+
+def _index(places: DataFrame, south: float, west: float, side: float, levels: int) -> DataFrame:
+    """Places with their finest cell (_i, _j); a coarser cell is the same numbers shifted."""
     finest = side / FAN**levels
-    return targets.select(F.col(lat).alias("_tlat"), F.col(lon).alias("_tlon")).distinct().withColumns(
+    return places.withColumns(
         {
             "_i": F.floor((F.col("_tlat") - F.lit(south)) / F.lit(finest)).cast("bigint"),
             "_j": F.floor((F.col("_tlon") - F.lit(west)) / F.lit(finest)).cast("bigint"),
@@ -39,14 +44,18 @@ def _index(targets: DataFrame, lat: str, lon: str, south: float, west: float, si
     )
 
 
-def _levels_needed(targets: DataFrame, lat: str, lon: str, south: float, west: float, side: float, limit: int) -> int:
-    """Smallest depth at which no finest cell holds more than ``limit`` distinct targets."""
-    for levels in range(1, MAX_LEVELS):
-        cells = _index(targets, lat, lon, south, west, side, levels).groupBy("_i", "_j").count()
-        fullest = cells.agg(F.max("count")).first()[0] or 0
-        if fullest <= limit:
-            return levels
-    return MAX_LEVELS
+def _levels_needed(places: DataFrame, south: float, west: float, side: float, limit: int) -> int:
+    """Smallest depth at which no finest cell holds more than ``limit`` places: counted at the greatest depth and
+    summed upwards, in one job."""
+    deepest = _index(places, south, west, side, MAX_LEVELS).groupBy("_i", "_j").agg(F.count(F.lit(1)).alias("n"))
+    up = [
+        F.struct(F.lit(d).alias("depth"), F.shiftright("_i", FAN_BITS * (MAX_LEVELS - d)).alias("i"), F.shiftright("_j", FAN_BITS * (MAX_LEVELS - d)).alias("j"))
+        for d in range(1, MAX_LEVELS + 1)
+    ]
+    cells = deepest.select("n", F.inline(F.array(*up))).groupBy("depth", "i", "j").agg(F.sum("n").alias("n"))
+    # One row for each depth.
+    fullest = {row["depth"]: row["n"] for row in cells.groupBy("depth").agg(F.max("n").alias("n")).collect()}
+    return next((d for d in range(1, MAX_LEVELS) if fullest.get(d, 0) <= limit), MAX_LEVELS)
 
 
 def _children(index: DataFrame, level: int, levels: int) -> DataFrame:
@@ -98,8 +107,9 @@ def near_ids(
     bounded however many targets share a place.
     """
     radius = km / KM_PER_DEGREE
-    levels = _levels_needed(targets, lat, lon, 0.0, 0.0, radius, limit)
-    index = cut_lineage(_index(targets, lat, lon, 0.0, 0.0, radius, levels))
+    places = _places(targets, lat, lon)
+    levels = _levels_needed(places, 0.0, 0.0, radius, limit)
+    index = _index(places, 0.0, 0.0, radius, levels)
     finest = radius / FAN**levels
     ring = F.sequence(F.lit(-1), F.lit(1))
     small = radius / math.sqrt(2.0) * (1 - 1e-6)
@@ -141,7 +151,7 @@ def near_ids(
         if level + 1 < levels:
             pairs = cut_lineage(pairs)
     distance = planar_km(F.col("_lat"), F.col("_lon"), F.col("_tlat"), F.col("_tlon"))
-    exact = pairs.join(index, ["_i", "_j"]).where(distance < km).select("_id")
+    exact = lookup(pairs, index, ["_i", "_j"], "inner").where(distance < km).select("_id")
     return decided.unionByName(exact).distinct().withColumnRenamed("_id", pid)
 
 
@@ -158,13 +168,14 @@ def nearest_km(points: DataFrame, targets: DataFrame, pid: str = "pid", lat: str
     still hold its nearest target, judged by the best farthest-corner distance so far, and compares itself
     with the targets of the finest ones only.
     """
-    box = targets.agg(F.min(lat), F.max(lat), F.min(lon), F.max(lon)).first()
+    places = _places(targets, lat, lon)
+    box = places.agg(F.min("_tlat"), F.max("_tlat"), F.min("_tlon"), F.max("_tlon")).first()
     if box[0] is None:
         return points.select(F.col(pid), F.lit(None).cast("double").alias("nearest_km"))
     south, west = box[0], box[2]
     side = max(box[1] - south, box[3] - west, 1e-6) * (1 + 1e-9)
-    levels = _levels_needed(targets, lat, lon, south, west, side, limit)
-    index = cut_lineage(_index(targets, lat, lon, south, west, side, levels))
+    levels = _levels_needed(places, south, west, side, limit)
+    index = _index(places, south, west, side, levels)
     place = points.select(F.col(pid).alias("_id"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
     distance = planar_km(F.col("_lat"), F.col("_lon"), F.col("_tlat"), F.col("_tlon"))
     finest = side / FAN**levels
@@ -180,7 +191,7 @@ def nearest_km(points: DataFrame, targets: DataFrame, pid: str = "pid", lat: str
     )
     # A target nearer than one cell side cannot be outside the ring of cells around a point.
     settled = cut_lineage(
-        around.join(index, ["_i", "_j"])
+        lookup(around, index, ["_i", "_j"], "inner")
         .groupBy("_id")
         .agg(F.min(distance).alias("nearest_km"))
         .where(F.col("nearest_km") < (finest - SLACK) * KM_PER_DEGREE)
@@ -212,7 +223,7 @@ def nearest_km(points: DataFrame, targets: DataFrame, pid: str = "pid", lat: str
         )
         if level + 1 < levels:
             pairs = cut_lineage(pairs)
-    rest = pairs.join(index, ["_i", "_j"]).groupBy("_id").agg(F.min(distance).alias("nearest_km"))
+    rest = lookup(pairs, index, ["_i", "_j"], "inner").groupBy("_id").agg(F.min(distance).alias("nearest_km"))
     return settled.unionByName(rest).withColumnRenamed("_id", pid)
 
 

@@ -1,5 +1,7 @@
 """The paths that only large or skewed data take give the same results as the plain ones."""
 
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,7 +56,7 @@ def _clustered(rng, n, hot):
 
 
 @pytest.mark.parametrize("limit", [64, 4])
-def test_near_and_nearest_match_brute_force(spark, limit):
+def test_near_and_nearest_match_brute_force(spark, limit, monkeypatch):
     rng = np.random.default_rng(5)
     fires, points = _clustered(rng, 300, 0.4), _clustered(rng, 500, 0.3)
     points[-1] = [10.0, 10.0]
@@ -64,6 +66,8 @@ def test_near_and_nearest_match_brute_force(spark, limit):
     f = spark.createDataFrame([(float(a), float(b)) for a, b in fires], "lat double, lon double")
     near = {r["pid"] for r in spatial.near_ids(p, f, 5.0, limit=limit).collect()}
     assert near == set(np.flatnonzero((distance < 5).any(1)))
+    monkeypatch.setattr(spatial, "lookup", partial(skew.lookup, rows_per_salt=20))
+    assert {r["pid"] for r in spatial.near_ids(p, f, 5.0, limit=limit).collect()} == near
     kept = {r["pid"] for r in spatial.exclude_near(p, f, 5.0, limit=limit).collect()}
     assert kept == set(range(500)) - near
     got = spatial.nearest_km(p, f, limit=limit).toPandas().set_index("pid")["nearest_km"]
