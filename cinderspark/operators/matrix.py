@@ -1,6 +1,6 @@
 """The 24-column feature matrix."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +28,16 @@ class Observations:
     vegetation_key: tuple[str, ...] = ("cell",)
     terrain_key: tuple[str, ...] = ("terrain_row", "terrain_col")
 
+    def written(self, folder: str) -> "Observations":
+        """The same tables, worked out once and read back, for many small uses such as micro-batches."""
+
+        def keep(name: str) -> DataFrame:
+            df: DataFrame = getattr(self, name)
+            df.write.parquet(f"{folder}/{name}")
+            return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+        return replace(self, **{name: keep(name) for name in ("rain", "temperature", "vegetation", "terrain")})
+
 
 def label_points(positives: DataFrame, negatives: DataFrame | None = None) -> DataFrame:
     """Union of fire and no-fire points with ``is_fire``."""

@@ -163,12 +163,14 @@ def m8(spark, folder):
 
 
 def training_rows(spark, folder):
-    """Cleaned matrix with a label its own features explain, written once and read back."""
+    """Cleaned matrix with a label its own features explain, written once and read back; medians are those of the
+    training rows."""
     path = scratch(spark, "training")
     made = full_matrix(spark, folder)
     label = (F.coalesce("prec_mean", F.lit(0.0)) * 2 - F.coalesce("ndvi_mean", F.lit(0.0)) * 10 + F.col("pid") % 7 > 12).cast("int")
     made.withColumn("target", label).write.parquet(path)
-    return clean.clean_for_training(spark.read.parquet(path), FEATURES)
+    rows = spark.read.parquet(path)
+    return clean.clean_for_training(rows, FEATURES, splits.temporal_split(rows).where("in_train"))
 
 
 def scaled_sides(rows, features):
@@ -307,7 +309,7 @@ def q2(spark, folder):
     from cinderspark.streaming.requests import read_requests, score_stream
 
     _, model, scaler = _fitted(spark, folder)
-    wanted, obs = fx.requests(spark, folder), observations(spark, folder)
+    wanted, obs = fx.requests(spark, folder), observations(spark, folder).written(scratch(spark, "observations"))
     source, output = scratch(spark, "requests"), scratch(spark, "scores")
     wanted.repartition(3).write.json(source)
     stream = read_requests(spark, source, wanted.schema)

@@ -181,6 +181,18 @@ def a12(spark, folder):
     return quality.validation(fx.detections(spark, folder), CONFIGURED_REGION, "1995-01-01", "2001-12-31")
 
 
+@query(
+    "a12_validation_incomplete",
+    fx.ctes("detections")
+    + f""", c AS (SELECT {INSIDE_SQL} >= 80 AS place FROM detections)
+    SELECT 'schema' AS "check", false AS passed FROM c UNION ALL SELECT 'dates', false FROM c UNION ALL SELECT 'place', place FROM c
+    UNION ALL SELECT 'quality', true FROM c UNION ALL SELECT 'all', false FROM c""",
+)
+def a12_incomplete(spark, folder):
+    """A feed without dates fails its checks instead of the job."""
+    return quality.validation(fx.detections(spark, folder).drop("acq_date"), CONFIGURED_REGION, "1995-01-01", "2001-12-31")
+
+
 @query(
     "a13_tile_counts",
     fx.ctes("anchors")

@@ -55,6 +55,16 @@ def test_same_as_the_walk(spark, p):
     assert all(r["dtw_end"] == ends[i] and 0 <= r["dtw_length"] <= p.max_days for i, r in got.items())
 
 
+@pytest.mark.parametrize("lags", [lookback.MAX_LAGS, 0])
+def test_thresholds_that_do_not_divide_in_binary(spark, monkeypatch, lags):
+    monkeypatch.setattr(lookback, "MAX_LAGS", lags)
+    rain = {DAY0 + timedelta(days=d): 0.1 for d in range(60)}
+    ends = [DAY0 + timedelta(days=d) for d in range(5, 70)]
+    for p in (Lookback(daily_min=0.1, cum_min=0.8), Lookback(daily_min=0.1, cum_min=0.3)):
+        got = starts(spark, rain, ends, p)
+        assert {i: r["dtw_start"] for i, r in got.items()} == {i: walk(rain, d, p) for i, d in enumerate(ends)}
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(0, 60), min_size=20, max_size=120), st.integers(10, 60))
 def test_properties(spark, halves, more):
