@@ -5,8 +5,9 @@ signatures are compared batch by batch, and it is dropped as soon as the posteri
 similarity reaches the threshold falls below the chosen miss probability. What is left is compared on the
 full sets.
 
-Within a band's bucket, pairs are not all listed. First each bucket compares its members to one of them;
-then only members that are still in different components meet.
+Within a band's bucket, pairs are not all listed. First each bucket compares its members to one of them.
+Then members that are still in different components are compared inside the tasks, block by block, and
+only pairs that pass come out.
 """
 
 import math
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderspark.llm.common import Scratch, slices
+from cinderspark.llm.common import Scratch, slices, tasks_of, whole_groups
 from cinderspark.llm.components import components
 
 MEMO_WORDS = 500_000
@@ -31,7 +32,8 @@ MEMO_WORDS = 500_000
 class NearDuplicates:
     """Shingles of ``words`` words; pairs with 100 * intersection >= ``percent`` * union are linked. With 56 bands of
     7, a pair at 0.8 is missed by all bands with probability 2e-6; ``miss`` is that of each batch of the
-    verification. ``stars`` pivots are tried in a bucket before members of different components meet."""
+    verification. ``stars`` pivots are tried in a bucket before members of different components meet, at most
+    ``block`` against ``block`` at a time."""
 
     words: int = 5
     percent: int = 80
@@ -40,6 +42,7 @@ class NearDuplicates:
     batch: int = 56
     miss: float = 1e-7
     stars: int = 2
+    block: int = 512
     seed: int = 20
 
 
@@ -166,11 +169,19 @@ def least_matches(rules: NearDuplicates) -> list[tuple[int, int]]:
     return steps
 
 
-def _verify(pairs: DataFrame, short: DataFrame, sets: DataFrame, rules: NearDuplicates) -> DataFrame:
-    """The (``a``, ``b``) whose full sets are similar enough."""
+def _beside(pairs: DataFrame, table: DataFrame, **columns: str) -> DataFrame:
+    """Columns of both classes of a pair."""
+    for side in "ab":
+        named = table.select(F.col("class").alias(side), *[F.col(c).alias(f"{new}{side}") for new, c in columns.items()])
+        pairs = pairs.join(named, side)
+    return pairs
+
+
+def _likely(pairs: DataFrame, short: DataFrame, rules: NearDuplicates) -> DataFrame:
+    """The (``a``, ``b``) that the batches of their signatures leave."""
     steps = least_matches(rules)
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):
             left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
@@ -183,7 +194,59 @@ def _verify(pairs: DataFrame, short: DataFrame, sets: DataFrame, rules: NearDupl
             take = pa.array(alive, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _beside(pairs, short, s="signature", n="n_shingles").mapInArrow(run, "a bigint, b bigint")
+
+
+def _likely_within(buckets: DataFrame, short: DataFrame, scratch: Scratch, rules: NearDuplicates) -> DataFrame:
+    """The (``a``, ``b``) of different ``label`` that share a ``key`` and pass the batches. Buckets of over ``block`` members
+    are dealt out as pairs of blocks; no pair is a row before it has passed."""
+    steps = least_matches(rules)
+
+    def passing(i: np.ndarray, j: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        matches = np.zeros(len(i), np.int64)
+        for n, least in steps:
+            part = slice(n - rules.batch, n)
+            matches += (signatures[i, part] == signatures[j, part]).sum(1)
+            alive = matches >= least
+            i, j, matches = i[alive], j[alive], matches[alive]
+        return i, j
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "group", 2048):
+            group, classes, label, n, block = (table.column(c).to_numpy() for c in ("group", "class", "label", "n_shingles", "block"))
+            inner = table.column("i").to_numpy() == table.column("j").to_numpy()
+            signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(group), -1)
+            edges = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+            for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                here = slice(begin, end)
+                meet = label[here, None] != label[None, here]
+                meet &= 100 * np.minimum(n[here, None], n[None, here]) >= rules.percent * np.maximum(n[here, None], n[None, here])
+                if not inner[begin]:
+                    meet &= block[here, None] != block[None, here]
+                i, j = np.nonzero(np.triu(meet, 1))
+                for k in range(0, len(i), 65_536):
+                    x, y = passing(i[k : k + 65_536] + begin, j[k : k + 65_536] + begin, signatures)
+                    if len(x):
+                        low, high = np.minimum(classes[x], classes[y]), np.maximum(classes[x], classes[y])
+                        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+
+    large = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rules.block)
+    large = scratch.keep(large.select("key", F.ceil(F.col("n") / rules.block).cast("int").alias("blocks")), "large")
+    dealt = buckets.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class", "key"), F.col("blocks")).cast("int"))
+    paired = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
+        {"i": F.least("block", "_other"), "j": F.greatest("block", "_other")}
+    )
+    signed = paired.join(short.select("class", "signature"), "class")
+    grouped = signed.select(F.xxhash64("key", "i", "j").alias("group"), "class", "label", "n_shingles", "block", "i", "j", "signature")
+    tasks = tasks_of(buckets.sparkSession)
+    return grouped.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, rules: NearDuplicates) -> DataFrame:
+    """The (``a``, ``b``) whose full sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             take = []
             for row, (x, y) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)):
@@ -194,14 +257,7 @@ def _verify(pairs: DataFrame, short: DataFrame, sets: DataFrame, rules: NearDupl
             take = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
 
-    def beside(pairs: DataFrame, table: DataFrame, **columns: str) -> DataFrame:
-        for side in "ab":
-            named = table.select(F.col("class").alias(side), *[F.col(c).alias(f"{new}{side}") for new, c in columns.items()])
-            pairs = pairs.join(named, side)
-        return pairs
-
-    kept = beside(pairs, short, s="signature", n="n_shingles").mapInArrow(likely, "a bigint, b bigint")
-    return beside(kept, sets, s="set").mapInArrow(similar, "a bigint, b bigint")
+    return _beside(pairs, sets, s="set").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -> DataFrame:
@@ -229,34 +285,27 @@ def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -
     # Rows that repeat a doc_id are one row here again.
     sets = scratch.keep(full_sets(texts, rules.words).groupBy("class").agg(F.first("set").alias("set")), "sets")
 
-    buckets, links, tested = members, None, None
-    labels = None
+    buckets, links = members.withColumn("label", F.col("class")), None
     for step in range(rules.stars + 1):
-        if labels is not None:
-            found = buckets.join(labels, F.col("class") == F.col("node"), "left")
-            labelled = scratch.keep(found.select("key", "class", "n_shingles", F.coalesce("component", "class").alias("label")), f"labelled-{step}")
-            mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where(F.col("l") != F.col("h"))
-            mixed = scratch.keep(mixed.select("key"), f"mixed-{step}")
-            buckets = labelled.join(mixed, "key")
-        else:
-            buckets = buckets.withColumn("label", F.col("class"))
-        left = buckets.select("key", F.col("class").alias("a"), F.col("n_shingles").alias("m"), F.col("label").alias("la"))
         if step < rules.stars:
-            turn = F.struct(F.xxhash64("a", F.lit(step)).alias("turn"), "a", "m", "la")
-            pivots = scratch.keep(left.groupBy("key").agg(F.min(turn).alias("p")).select("key", "p.a", "p.m", "p.la"), f"pivots-{step}")
-            left = pivots
-        right = buckets.select("key", F.col("class").alias("b"), F.col("n_shingles").alias("n"), F.col("label").alias("lb"))
-        ordered = F.lit(True) if step < rules.stars else F.col("a") < F.col("b")
-        alike = (F.col("la") != F.col("lb")) & ordered & (100 * F.least("m", "n") >= rules.percent * F.greatest("m", "n"))
-        pairs = left.join(right, "key").where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, f"pairs-{step}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        more = scratch.keep(_verify(pairs, short, sets, rules), f"links-{step}", rows=500)
+            turn = F.struct(F.xxhash64("class", F.lit(step)).alias("turn"), "class", "n_shingles", "label")
+            pivots = buckets.groupBy("key").agg(F.min(turn).alias("p"))
+            pivots = scratch.keep(pivots.select("key", F.col("p.class").alias("a"), F.col("p.n_shingles").alias("m"), F.col("p.label").alias("la")), f"pivots-{step}")
+            alike = (F.col("la") != F.col("label")) & (100 * F.least("m", "n_shingles") >= rules.percent * F.greatest("m", "n_shingles"))
+            pairs = pivots.join(buckets, "key").where(alike)
+            pairs = pairs.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
+            likely = _likely(scratch.keep(pairs, f"pairs-{step}"), short, rules)
+        else:
+            likely = scratch.keep(_likely_within(buckets, short, scratch, rules), f"pairs-{step}")
+        more = scratch.keep(_similar(likely, sets, rules), f"links-{step}", rows=500)
         links = more if links is None else links.unionByName(more)
         labels = components(links, scratch, f"components-{step}")
-        buckets = buckets.drop("label")
+        if step < rules.stars:
+            found = members.join(labels, F.col("class") == F.col("node"), "left")
+            labelled = scratch.keep(found.select("key", "class", "n_shingles", F.coalesce("component", "class").alias("label")), f"labelled-{step}")
+            # Buckets of one component are over.
+            mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where(F.col("l") != F.col("h"))
+            buckets = labelled.join(scratch.keep(mixed.select("key"), f"mixed-{step}"), "key")
 
     classes = named.groupBy("class").agg(F.min("doc_id").alias("first"))
     rooted = classes.join(labels, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("component", "class"))
