@@ -25,7 +25,7 @@ class LanguageRules:
 
     longest: int = 4
     bits: int = 15
-    fit_rows: int = 4000
+    fit_rows: int = 1600
     epochs: int = 3
     alpha: float = 1.0
     beta: float = 1.0
@@ -155,12 +155,14 @@ def train(labelled: DataFrame, rules: LanguageRules = LanguageRules()) -> Langua
     drawn = rows.withColumn("draw", draw).where(F.col("draw") < share * float(1 << 40)).select("draw", "lang", "text")
     # The bound on fitted rows; the draw keeps to it but for chance.
     sample = drawn.mapInArrow(counted, "draw bigint, lang string, bins binary, counts binary").limit(2 * rules.fit_rows).collect()
-    sample.sort(key=lambda r: (r["draw"], r["lang"], bytes(r["bins"]), bytes(r["counts"])))
-    bias = np.array([1 << rules.bits])
+    sample.sort(key=lambda r: (-r["draw"], r["lang"], bytes(r["bins"][:64]), len(r["bins"]), bytes(r["counts"][:64])))
+    bias = np.array([1 << rules.bits], np.int32)
     points = []
-    for r in sample:
-        bins, counts = np.frombuffer(bytes(r["bins"]), "<i4"), np.frombuffer(bytes(r["counts"]), "<i4")
-        points.append((np.concatenate([bins, bias]), np.concatenate([weighted(bins, counts, idf), [1.0]]), languages.index(r["lang"])))
+    while sample:  # a row goes as soon as it is unpacked, so that the driver holds the sample once
+        r = sample.pop()
+        bins, counts = np.frombuffer(r["bins"], "<i4"), np.frombuffer(r["counts"], "<i4")
+        values = np.concatenate([weighted(bins, counts, idf), [1.0]]).astype(np.float32)
+        points.append((np.concatenate([bins, bias]), values, languages.index(r["lang"])))
     held = points[::5] if len(points) >= 50 else []
     fitted = [p for k, p in enumerate(points) if not held or k % 5]
     weights = fit(fitted, len(languages), rules)
