@@ -16,10 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cinderspark.llm.common import Scratch, remove, slices, tasks_of
-from cinderspark.llm.tokens import with_ids
+from cinderspark.llm.tokens import encoder
 
 LONGEST = 18
 STRIDE = 128
@@ -126,9 +125,9 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2)
     id alone; rows that repeat an id are kept, side by side."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "huffman")
-    kept = scratch.keep(_planes(with_ids(docs, tokenizer, end_id)), "ids")
+    kept = scratch.keep(_encoded(docs, tokenizer, end_id), "ids")
     # One row for each id of the vocabulary.
-    found = kept.mapInArrow(_partial_counts, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    found = kept.where(F.col("seen").isNotNull()).select(F.inline("seen")).groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((row["id"] for row in found), default=0) + 1, np.int64)
     for row in found:
         counts[row["id"]] = row["n"]
@@ -153,27 +152,49 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2)
                 names=["doc_id", "n", "code", "points"],
             )
 
-    rows = kept.mapInArrow(coded, "doc_id bigint, n bigint, code binary, points binary")
-    ordered = rows.repartitionByRange(tasks_of(spark), "doc_id").sortWithinPartitions("doc_id", "n", "code")
+    documents = kept.where(F.col("planes").isNotNull()).select("doc_id", "planes")
+    rows = documents.mapInArrow(coded, "doc_id bigint, n bigint, code binary, points binary")
+    # Ranges of ids come from the ids alone; asking the coded rows for them would code everything twice.
+    parts = tasks_of(spark)
+    steps = documents.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (10 * parts)) if parts > 1 else []
+    below = F.filter(F.array(*[F.lit(b) for b in sorted(set(steps))]).cast("array<double>"), lambda b: b < F.col("doc_id").cast("double"))
+    placed = rows.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(below)).cast("int"))
+    ordered = placed.repartitionById(parts, "part").sortWithinPartitions("part", "doc_id", "n", "code")
     ordered.mapInArrow(_blocks, BLOCK).write.option("compression", "none").parquet(f"{folder}/blocks")
     scratch.drop("ids")
 
 
-def _planes(ids: DataFrame) -> DataFrame:
-    """Low bytes, then the higher ones of all ids: compresses better than ids side by side."""
+def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """``doc_id``, ``planes`` of every document; then, once a task, how often it has ``seen`` each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode_, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+        seen = np.zeros(0, np.int64)
         for batch in slices(batches):
-            planes = [np.frombuffer(x, np.uint8).reshape(-1, 4).T[: 2 if _small(x) else 4].tobytes() for x in batch.column("ids").to_pylist()]
-            counts = [len(x) // 4 for x in batch.column("ids").to_pylist()]
-            both = [np.uint32(n).tobytes() + p for n, p in zip(counts, planes, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(both, pa.binary())], names=["doc_id", "planes"])
+            ids = [x + end for x in encode_(batch.column("_text").to_pylist())]
+            here = np.bincount(np.frombuffer(b"".join(ids), "<u4"))
+            longer, shorter = (seen, here) if len(seen) > len(here) else (here, seen)
+            longer[: len(shorter)] += shorter
+            seen = longer
+            columns = [batch.column("doc_id"), pa.array(map(_planes, ids), pa.binary()), pa.nulls(batch.num_rows, _SEEN)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "planes", "seen"])
+        used = np.flatnonzero(seen)
+        rows = [{"id": i, "n": n} for i, n in zip(used.tolist(), seen[used].tolist(), strict=True)]
+        columns = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([rows], _SEEN)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "planes", "seen"])
 
-    return ids.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids").mapInArrow(run, "doc_id bigint, planes binary")
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    return narrow.mapInArrow(run, "doc_id bigint, planes binary, seen array<struct<id:bigint,n:bigint>>")
 
 
-def _small(ids: bytes) -> bool:
-    return not len(ids) or int(np.frombuffer(ids, "<u4").max()) < 65_536
+_SEEN = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
+
+
+def _planes(ids: bytes) -> bytes:
+    """How many ids, then the low bytes of all, then the higher ones: compresses better than ids side by side."""
+    each = np.frombuffer(ids, np.uint8).reshape(-1, 4)
+    small = not each[:, 2:].any()
+    return np.uint32(len(each)).tobytes() + each.T[: 2 if small else 4].tobytes()
 
 
 def _from_planes(data: bytes) -> np.ndarray:
@@ -185,28 +206,14 @@ def _from_planes(data: bytes) -> np.ndarray:
     return ids
 
 
-def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0, np.int64)
-    for batch in slices(batches):
-        documents = [_from_planes(x) for x in batch.column("planes").to_pylist()]
-        here = np.bincount(np.concatenate([*documents, np.zeros(0, np.uint32)]))
-        if len(here) > len(counts):
-            counts = np.concatenate([counts, np.zeros(len(here) - len(counts), np.int64)])
-        counts[: len(here)] += here
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["id", "n"])
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    part, block, start = TaskContext.get().partitionId(), 0, 0
+    part, block, start = -1, 0, 0
     held: list[tuple] = []
     n = 0
 
     def close() -> pa.RecordBatch:
         base, points = 0, []
-        for _, _, code, own in held:
+        for _, _, code, own, _ in held:
             points.append(np.frombuffer(own, "<u8") + np.uint64(base * 8))
             base += len(code)
         row = {
@@ -217,7 +224,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pylist([row], schema=_BLOCK_ARROW)
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "code", "points")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "code", "points", "part")), strict=True):
+            if row[4] != part:
+                if held:
+                    yield close()
+                part, block, start, held, n = row[4], 0, 0, [], 0
             held.append(row)
             n += row[1]
             if n >= BLOCK_IDS:
@@ -243,9 +254,9 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     for row in lengths_of:
         lengths[row["id"]] = row["bits"]
     blocks = spark.read.schema(BLOCK).parquet(f"{folder}/blocks")
-    # One row per file; the planner broadcasts the offsets while they are few.
-    before = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("_n")).select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # One row for each writing task, whose number the cluster sets.
+    sizes = sorted((row["part"], row["n"]) for row in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    before = dict(zip([part for part, _ in sizes], np.cumsum([0, *[n for _, n in sizes]]).tolist(), strict=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decoding_table(lengths)
@@ -262,14 +273,14 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(row["_before"] + row["start"] + cuts[:-1], pa.int64()),
+                        pa.array(before[row["part"]] + row["start"] + cuts[:-1], pa.int64()),
                         pa.array(n, pa.int64()),
                         pa.array([whole[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                     ],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return blocks.join(parts, "part").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return blocks.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def delete_corpus(spark: SparkSession, folder: str) -> None:
