@@ -16,20 +16,26 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderspark.llm.common import Scratch, bundled, slices, tasks_of, unbundled, whole_groups
 
 
+# Contexts a task remembers; some 50 MB.
+SEEN = 100_000
+
+
 @dataclass(frozen=True)
 class Repeats:
-    """Strings of ``span`` bytes. Grams with more than ``chunk`` occurrences are compared chunk by chunk; from
+    """Strings of ``span`` bytes. Occurrences with the same bytes around them that a task sees stand as
+    one. Grams with more than ``chunk`` occurrences are compared chunk by chunk; from
     ``hot`` on, all strings around them are counted by hash instead, with counts added up before the shuffle."""
 
     span: int = 200
     gram: int = 64
-    chunk: int = 512
+    chunk: int = 4096
     hot: int = 50_000
 
     @property
@@ -224,7 +230,11 @@ def _anchored(docs: DataFrame, rules: Repeats) -> DataFrame:
 
 
 def _cut_out(docs: DataFrame, wanted: DataFrame, rules: Repeats) -> DataFrame:
-    """``gram``, ``chunks``, ``text_id``, ``at``, ``left``, ``right``, ``context`` of every wanted anchor."""
+    """``gram``, ``chunks``, ``text_id``, ``at``, ``left``, ``right``, ``context`` of every wanted anchor.
+
+    Of occurrences with the same full context one keeps it, as a partner for others; all of them are also
+    listed without context, which says that every string around them occurs again.
+    """
     reach = rules.reach
     keys = (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_stands"))
     texts = _keyed(docs.select("doc_id", "text")).join(
@@ -234,30 +244,53 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, rules: Repeats) -> DataFrame:
     once = texts.dropDuplicates(["_k", "_stands"]).select("text_id", "_text", "occurrences.at", "occurrences.gram", "occurrences.chunks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Bytes around an occurrence -> its first row here, and whether a second one has come.
+        seen: dict[bytes, list] = {}
         for batch in slices(batches, 64):
             columns = (batch.column(c).to_pylist() for c in ("text_id", "_text", "at", "gram", "chunks"))
             for text_id, text, at, gram, chunks in zip(*columns, strict=True):
                 data = np.frombuffer(text.encode(), np.uint8)
                 padded = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(rules.span, np.uint8)])
-                for k in range(0, len(at), 2048):
-                    p = np.array(at[k : k + 2048], np.int64)
-                    rows = np.lib.stride_tricks.sliding_window_view(padded, reach + rules.span)[p]
-                    whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(reach + rules.span), len(p), [None, pa.py_buffer(rows.tobytes())])
-                    out = [
-                        pa.array(gram[k : k + 2048], pa.int64()), pa.array(chunks[k : k + 2048], pa.int32()), pa.array([text_id] * len(p), pa.int64()),
-                        pa.array(p, pa.int64()), pa.array(np.minimum(p, reach).astype(np.int32)),
-                        pa.array(np.minimum(len(data) - p - rules.gram, reach).astype(np.int32)), whole.cast(pa.binary()),
-                    ]
-                    yield pa.RecordBatch.from_arrays(out, names=["gram", "chunks", "text_id", "at", "left", "right", "context"])
+                windows = np.lib.stride_tricks.sliding_window_view(padded, reach + rules.span)
+                if len(seen) > SEEN:
+                    seen.clear()
+                out: list[tuple] = []
+                for p, key, parts in zip(at, gram, chunks, strict=True):
+                    left, right = min(p, reach), min(len(data) - p - rules.gram, reach)
+                    context = windows[p].tobytes()
+                    if left == right == reach:
+                        first = seen.setdefault(context, [text_id, p, False])
+                        if (first[0], first[1]) != (text_id, p):
+                            # The common extension covers all that strings around either can reach.
+                            twins = [(text_id, p)] if first[2] else [(first[0], first[1]), (text_id, p)]
+                            out += [(key, 1, twin, q, left, right, None) for twin, q in twins]
+                            first[2] = True
+                            continue
+                    out.append((key, parts, text_id, p, left, right, context))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), _CONTEXT_TYPES, strict=True)] if out else [pa.array([], k) for k in _CONTEXT_TYPES],
+                    names=["gram", "chunks", "text_id", "at", "left", "right", "context"],
+                )
 
     return once.mapInArrow(run, "gram bigint, chunks int, text_id bigint, at bigint, left int, right int, context binary")
 
 
+_CONTEXT_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+
 def _sorted_spans(contexts: DataFrame, rules: Repeats) -> DataFrame:
     """``text_id``, ``begin``, ``end`` of repeated strings, by the suffix sort."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "group"):
+            twins = table.filter(pa.compute.is_null(table.column("context")))
+            if len(twins):
+                at = twins.column("at").to_numpy()
+                columns = [twins.column("text_id").combine_chunks(), pa.array(at - rules.reach), pa.array(at + rules.span)]
+                yield pa.RecordBatch.from_arrays(columns, names=["text_id", "begin", "end"])
+            table = table.filter(pa.compute.is_valid(table.column("context")))
+            if not len(table):
+                continue
             group, text_id, at, left, right = (table.column(c).to_numpy() for c in ("group", "text_id", "at", "left", "right"))
             n = len(group)
             context = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(n, -1)
@@ -268,7 +301,7 @@ def _sorted_spans(contexts: DataFrame, rules: Repeats) -> DataFrame:
     # Every two occurrences of a gram meet in one pair of chunks.
     dealt = contexts.withColumn("chunk", F.pmod(F.xxhash64("text_id", "at"), F.col("chunks")).cast("int"))
     paired = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    group = F.when(F.col("chunks") == 1, F.col("gram")).otherwise(
+    group = F.when(F.col("context").isNull(), F.xxhash64("text_id", "at")).when(F.col("chunks") == 1, F.col("gram")).otherwise(
         F.xxhash64("gram", F.least("chunk", "_other"), F.greatest("chunk", "_other"))
     )
     grouped = paired.select(group.alias("group"), "text_id", "at", "left", "right", "context")
@@ -283,6 +316,8 @@ def _counted_spans(contexts: DataFrame, scratch: Scratch, rules: Repeats) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
+            if not batch.num_rows:
+                continue
             context = np.frombuffer(b"".join(batch.column("context").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             prefix = prefix_hashes(context)
             _, down = _powers(context.shape[1])
@@ -328,7 +363,12 @@ def without_repeats(docs: DataFrame, rules: Repeats = Repeats()) -> DataFrame:
     spans = scratch.keep(spans, "spans")
     hot = again.where(F.col("n") > rules.hot).drop("n")
     if not hot.isEmpty():
-        spans = spans.unionByName(scratch.keep(_counted_spans(contexts(hot, "wanted-hot"), scratch, rules), "spans-hot"))
+        cut = scratch.keep(contexts(hot, "wanted-hot"), "contexts-hot")
+        twins = cut.where(F.col("context").isNull()).select(
+            "text_id", (F.col("at") - rules.reach).alias("begin"), (F.col("at") + rules.span).alias("end")
+        )
+        counted = _counted_spans(cut.where(F.col("context").isNotNull()), scratch, rules)
+        spans = spans.unionByName(scratch.keep(counted, "spans-hot")).unionByName(twins)
     # Spans of one text, which its length bounds.
     listed = spans.distinct().groupBy("text_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= rules.span)
