@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from cinderspark.llm.common import slices
 
-# Pieces a worker remembers, twice; some 200 MB.
-MEMO_PIECES = 600_000
+# Pieces a worker remembers, twice; some 160 MB.
+MEMO_PIECES = 450_000
 BETWEEN_BLANKS = re.compile(r"\s \s")
 BEFORE_BLANK = re.compile(r" \s")
 # Fixed value: what the byte-level splitter keeps together.
