@@ -177,28 +177,9 @@ def _beside(pairs: DataFrame, table: DataFrame, **columns: str) -> DataFrame:
     return pairs
 
 
-def _likely(pairs: DataFrame, short: DataFrame, rules: NearDuplicates) -> DataFrame:
-    """The (``a``, ``b``) that the batches of their signatures leave."""
-    steps = least_matches(rules)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2048):
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            alive = np.flatnonzero(100 * np.minimum(na, nb) >= rules.percent * np.maximum(na, nb))
-            matches = np.zeros(batch.num_rows, np.int64)
-            for n, least in steps:
-                part = slice(n - rules.batch, n)
-                matches[alive] += (left[alive, part] == right[alive, part]).sum(1)
-                alive = alive[matches[alive] >= least]
-            take = pa.array(alive, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
-
-    return _beside(pairs, short, s="signature", n="n_shingles").mapInArrow(run, "a bigint, b bigint")
-
-
-def _likely_within(buckets: DataFrame, short: DataFrame, scratch: Scratch, rules: NearDuplicates) -> DataFrame:
-    """The (``a``, ``b``) of different ``label`` that share a ``key`` and pass the batches. Buckets of over ``block`` members
+def _likely(buckets: DataFrame, short: DataFrame, scratch: Scratch, rules: NearDuplicates, star: int | None) -> DataFrame:
+    """The (``a``, ``b``) of different ``label`` that share a ``key`` and pass the batches: all of them or, in round ``star``,
+    those of one drawn member of each bucket (or pair of blocks) with the others. Buckets of over ``block`` members
     are dealt out as pairs of blocks; no pair is a row before it has passed."""
     steps = least_matches(rules)
 
@@ -223,7 +204,11 @@ def _likely_within(buckets: DataFrame, short: DataFrame, scratch: Scratch, rules
                 meet &= 100 * np.minimum(n[here, None], n[None, here]) >= rules.percent * np.maximum(n[here, None], n[None, here])
                 if not inner[begin]:
                     meet &= block[here, None] != block[None, here]
-                i, j = np.nonzero(np.triu(meet, 1))
+                if star is not None:
+                    pivot = int(np.argmin(_mixed(classes[here].view(np.uint64) + np.uint64(star))))
+                    i, j = np.full(int(meet[pivot].sum()), pivot), np.flatnonzero(meet[pivot])
+                else:
+                    i, j = np.nonzero(np.triu(meet, 1))
                 for k in range(0, len(i), 65_536):
                     x, y = passing(i[k : k + 65_536] + begin, j[k : k + 65_536] + begin, signatures)
                     if len(x):
@@ -231,7 +216,7 @@ def _likely_within(buckets: DataFrame, short: DataFrame, scratch: Scratch, rules
                         yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
 
     large = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rules.block)
-    large = scratch.keep(large.select("key", F.ceil(F.col("n") / rules.block).cast("int").alias("blocks")), "large")
+    large = scratch.keep(large.select("key", F.ceil(F.col("n") / rules.block).cast("int").alias("blocks")), f"large-{star}")
     dealt = buckets.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class", "key"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
@@ -287,16 +272,8 @@ def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -
 
     buckets, links = members.withColumn("label", F.col("class")), None
     for step in range(rules.stars + 1):
-        if step < rules.stars:
-            turn = F.struct(F.xxhash64("class", F.lit(step)).alias("turn"), "class", "n_shingles", "label")
-            pivots = buckets.groupBy("key").agg(F.min(turn).alias("p"))
-            pivots = scratch.keep(pivots.select("key", F.col("p.class").alias("a"), F.col("p.n_shingles").alias("m"), F.col("p.label").alias("la")), f"pivots-{step}")
-            alike = (F.col("la") != F.col("label")) & (100 * F.least("m", "n_shingles") >= rules.percent * F.greatest("m", "n_shingles"))
-            pairs = pivots.join(buckets, "key").where(alike)
-            pairs = pairs.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
-            likely = _likely(scratch.keep(pairs, f"pairs-{step}"), short, rules)
-        else:
-            likely = scratch.keep(_likely_within(buckets, short, scratch, rules), f"pairs-{step}")
+        star = step if step < rules.stars else None
+        likely = scratch.keep(_likely(buckets, short, scratch, rules, star), f"pairs-{step}")
         more = scratch.keep(_similar(likely, sets, rules), f"links-{step}", rows=500)
         links = more if links is None else links.unionByName(more)
         labels = components(links, scratch, f"components-{step}")
