@@ -95,10 +95,10 @@ def j3(spark, folder):
     return rounded(spatial.nearest_km(others, fx.fires(spark, folder)))
 
 
-@query("j4_exclusion_radius", SPACE_SQL + "SELECT pid, round(lat, 6) AS lat, round(lon, 6) AS lon FROM kept")
+@query("j4_exclusion_radius", SPACE_SQL + "SELECT pid, round(lat, 6) AS lat, round(lon, 6) AS lon FROM kept WHERE pid < 10 * (SELECT count(*) FROM fires)")
 def j4(spark, folder):
     fires = fx.fires(spark, folder)
-    tried = sampling.candidates(fires, 10 * fires.count(), REGION)
+    tried = sampling.candidates(spark, 0, 10 * fires.count(), REGION)
     return rounded(spatial.exclude_near(tried, fires, 5.0))
 
 
