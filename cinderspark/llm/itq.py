@@ -2,7 +2,9 @@
 reranking with the original vectors.
 
 Codes are cut into one short piece per table, and vectors that share a piece (and a label) meet. The number
-of tables follows from the length of a piece and the chosen miss probability of a pair at the threshold.
+of tables follows from the length of a piece and the chosen miss probability of a pair at the threshold,
+measured on pairs made around the vectors that the rotations are learnt from. Where no length of a piece
+holds that with ``most`` tables, all vectors of a label and dimension meet.
 """
 
 import math
@@ -21,13 +23,17 @@ from cinderspark.llm.components import components
 @dataclass(frozen=True)
 class NearVectors:
     """Rotations are learnt from at most ``fit_rows`` vectors. A piece of the code is as long as it takes for about
-    ``meet`` vectors to share it, 8 bits at least. Buckets above ``chunk`` vectors are compared chunk by chunk."""
+    ``meet`` vectors to share it, 8 bits at least; it gets shorter where more than ``most`` tables would be needed.
+    Dimensions of ``meet`` vectors or fewer do without codes. Buckets above ``chunk`` vectors are compared chunk by
+    chunk. ``probes`` bounds the numbers in the pairs that misses are measured on."""
 
     cosine: float = 0.98
     fit_rows: int = 8000
     rounds: int = 40
     miss: float = 0.003
     meet: int = 256
+    most: int = 64
+    probes: int = 4_000_000
     chunk: int = 512
     seed: int = 5
 
@@ -74,41 +80,96 @@ def _unit(data: list[bytes], size: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def _tables(bits: int, rules: NearVectors) -> int:
+    """Tables by the angle between the vectors themselves: a bit of two vectors differs with probability angle / pi."""
+    same = (1 - math.acos(rules.cosine) / math.pi) ** bits
+    return math.ceil(math.log(rules.miss) / math.log(1 - same))
+
+
 def pieces_and_tables(rows: int, rules: NearVectors) -> tuple[int, int]:
-    """Bits of a piece and number of tables: a bit of two vectors differs with probability angle / pi."""
+    """Bits of a piece, and tables for vectors without a common direction."""
     bits = max(8, math.ceil(math.log2(max(1, rows / rules.meet))))
-    same = (1 - math.acos(rules.cosine) / math.pi) ** bits
-    return bits, math.ceil(math.log(rules.miss) / math.log(1 - same))
+    return bits, _tables(bits, rules)
+
+
+def threshold_pairs(x: np.ndarray, mean: np.ndarray, rules: NearVectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors of ``x``, others at the threshold from them, and the part each pair counts in: partners lie in any
+    direction or towards another vector, and each kind makes five parts by the distance from the mean, as pairs
+    near the mean are missed most."""
+    rng = np.random.default_rng(rules.seed)
+    a = x[rng.permutation(len(x))[: max(rules.meet, rules.probes // (4 * x.shape[1]))]]
+    fifth = np.argsort(np.argsort(((a - mean) ** 2).sum(1), kind="stable")) * 5 // len(a)
+    b, part = [], []
+    for k in range(4):
+        anywhere = rng.normal(size=a.shape)
+        to = x[rng.integers(len(x), size=len(a))] if k % 2 else anywhere
+        for _ in range(2):
+            to = to - (to * a).sum(1)[:, None] * a
+            length = np.sqrt((to * to).sum(1))[:, None]
+            to = np.where(length > 1e-6, to / np.maximum(length, 1e-6), anywhere)
+        y = rules.cosine * a + math.sqrt(1 - rules.cosine**2) * (to - (to * a).sum(1)[:, None] * a)
+        b.append(y / np.sqrt((y * y).sum(1))[:, None])
+        part.append(fifth + 5 * (k % 2))
+    return np.concatenate([a] * 4), np.concatenate(b), np.concatenate(part)
+
+
+def fit_codes(x: np.ndarray, rows: int, rules: NearVectors) -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean, rotations (``bits`` columns for each table) and ``bits``, learnt from unit vectors ``x`` for ``rows`` vectors: so
+    many tables that ``miss`` holds in every part of threshold_pairs. 0 bits: all vectors meet in one table."""
+    size = x.shape[1]
+    if rows > rules.meet and len(x) > 1:
+        mean = x.mean(0)
+        a, b, part = threshold_pairs(x, mean, rules)
+        of_part = np.maximum(np.bincount(part, minlength=10), 1)
+        turns = np.zeros((size, 0))
+        for bits in range(pieces_and_tables(rows, rules)[0], 0, -1):
+            met = np.zeros(len(a), bool)
+            for table in range(rules.most):
+                while turns.shape[1] < bits * (table + 1):
+                    turns = np.concatenate([turns, learn_rotation(x - mean, rules.rounds, rules.seed + turns.shape[1] // size)], 1)
+                piece = turns[:, bits * table : bits * (table + 1)]
+                met |= (((a - mean) @ piece >= 0) == ((b - mean) @ piece >= 0)).all(1)
+                if table + 1 >= _tables(bits, rules) and (np.bincount(part[~met], minlength=10) <= rules.miss * of_part).all():
+                    return mean, turns[:, : bits * (table + 1)], bits
+    return np.zeros(size), np.zeros((size, 0)), 0
 
 
-def with_codes(vectors: DataFrame, rows: int, rules: NearVectors) -> DataFrame:
-    """Add ``codes``: one piece for each table."""
-    bits, tables = pieces_and_tables(rows, rules)
-    models: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    share = min(1.0, rules.fit_rows / max(rows, 1))
-    draw = F.pmod(F.xxhash64("data", F.lit(rules.seed)), F.lit(1 << 40)) < share * float(1 << 40)
+def with_codes(vectors: DataFrame, rules: NearVectors) -> DataFrame:
+    """Add ``codes``: one piece for each table, of which there are as many as the vectors of a dimension need."""
+    # One row per dimension.
+    of_size = {r["size"]: r["n"] for r in vectors.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    large = [size for size, n in of_size.items() if n > rules.meet]
     # The documented bound on what the rotations are learnt from.
-    fit = vectors.where(draw).select("size", "data").limit(2 * rules.fit_rows).collect()
-    sizes = {r["size"] for r in fit} | {r["size"] for r in vectors.select("size").distinct().collect()}
-    for size in sizes:
+    each = max(rules.meet, rules.fit_rows // max(len(large), 1))
+    fit = []
+    if large:
+        shares = F.create_map(*[F.lit(v) for size in large for v in (size, min(1.0, each / of_size[size]))])
+        draw = F.pmod(F.xxhash64("data", F.lit(rules.seed)), F.lit(1 << 40)) < shares[F.col("size")] * float(1 << 40)
+        fit = vectors.where(draw).select("size", "data").limit(2 * each * len(large)).collect()
+    models: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+    for size, n in of_size.items():
         data = sorted(bytes(r["data"]) for r in fit if r["size"] == size)
-        x = _unit(data, size) if data else np.zeros((0, size))
-        mean = x.mean(0) if len(x) else np.zeros(size)
-        turns = [learn_rotation(x - mean, rules.rounds, rules.seed + k) for k in range(math.ceil(bits * tables / size))]
-        models[size] = mean, np.concatenate(turns, 1)[:, : bits * tables]
+        models[size] = fit_codes(_unit(data, size) if data else np.zeros((0, size)), n, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = 1 << np.arange(bits, dtype=np.int64)
         for batch in slices(batches):
-            codes = np.zeros((batch.num_rows, tables), np.int64)
             data, of = batch.column("data").to_pylist(), batch.column("size").to_numpy()
+            tables = np.zeros(batch.num_rows, np.int64)
+            pieces = {}
             for size in np.unique(of).tolist():
                 here = np.flatnonzero(of == size)
-                mean, turns = models[size]
-                signs = (_unit([data[i] for i in here], size) - mean) @ turns >= 0
-                codes[here] = signs.reshape(len(here), tables, bits).astype(np.int64) @ powers
-            flat = pa.array(codes.reshape(-1), pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, tables), pa.int32()), flat)
+                mean, turns, bits = models[size]
+                if bits:
+                    signs = (_unit([data[i] for i in here], size) - mean) @ turns >= 0
+                    pieces[size] = signs.reshape(len(here), -1, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+                else:
+                    pieces[size] = np.zeros((len(here), 1), np.int64)
+                tables[here] = pieces[size].shape[1]
+            begins = np.concatenate([[0], np.cumsum(tables)])
+            flat = np.zeros(begins[-1], np.int64)
+            for size, codes in pieces.items():
+                flat[begins[:-1][of == size][:, None] + np.arange(codes.shape[1])] = codes
+            lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "codes"])
 
     return vectors.mapInArrow(run, vectors.withColumn("codes", F.array().cast("array<bigint>")).schema)
@@ -120,7 +181,8 @@ def _linked(rules: NearVectors):
             group = table.column("group").to_numpy()
             nodes, weights, table_no, chunk, size = (table.column(c).to_numpy() for c in ("node", "weight", "table", "chunk", "size"))
             i_no, j_no = table.column("i").to_numpy(), table.column("j").to_numpy()
-            codes = np.array(table.column("codes").combine_chunks().flatten().to_numpy()).reshape(len(group), -1)
+            lists = table.column("codes").combine_chunks()
+            begins, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
             data = table.column("data").to_pylist()
             edges = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
             out_node, out_links, out_root = [], [], []
@@ -135,9 +197,10 @@ def _linked(rules: NearVectors):
                     near &= chunk[a:b, None] != chunk[None, a:b]
                 if not near.any():
                     continue
+                codes = flat[begins[a] : begins[b]].reshape(b - a, -1)  # of one dimension
                 links = near.copy()
                 for t in range(int(table_no[a])):  # counted in an earlier table already
-                    links &= codes[a:b, t][:, None] != codes[a:b, t][None, :]
+                    links &= codes[:, t][:, None] != codes[:, t][None, :]
                 label = np.arange(b - a)
                 while True:
                     lower = np.minimum(label, np.where(near, label[None, :], b - a).min(1))
@@ -170,7 +233,7 @@ def near_vectors(table: DataFrame, rules: NearVectors = NearVectors()) -> DataFr
         F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.first("label").alias("label"), F.first("size").alias("size"), F.first("data").alias("data")
     )
     classes = scratch.keep(classes, "classes")
-    coded = scratch.keep(with_codes(classes, classes.count(), rules), "coded")
+    coded = scratch.keep(with_codes(classes, rules), "coded")
 
     piece = F.posexplode("codes").alias("table", "piece")
     keyed = coded.select("node", "weight", "label", "size", "data", "codes", piece)

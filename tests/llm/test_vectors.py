@@ -102,3 +102,22 @@ def test_recall_at_the_threshold():
         turns = np.concatenate([learn_rotation(rng.normal(size=(3000, 64)), 20, k) for k in range(-(-bits * tables // 64))], 1)[:, : bits * tables]
         same = ((x @ turns >= 0) == (y @ turns >= 0)).reshape(len(x), tables, bits).all(2)
         assert same.any(1).mean() >= 0.97
+
+
+@pytest.mark.parametrize("shared", [0.7, 0.9, 0.97])
+def test_recall_of_vectors_with_a_large_mean(spark, shared):
+    """Vectors of length 1 whose mean has the squared length ``shared``, in pairs a little above the threshold."""
+    rng = np.random.default_rng(17)
+    d, n = 32, 1000
+    common = np.eye(d)[0]
+    own = rng.normal(size=(n, d))
+    own[:, 0] = 0
+    x = math.sqrt(shared) * common + math.sqrt(1 - shared) * own / np.linalg.norm(own, axis=1)[:, None]
+    to = rng.normal(size=(n, d))
+    to -= (to * x).sum(1)[:, None] * x
+    y = 0.9802 * x + math.sqrt(1 - 0.9802**2) * to / np.linalg.norm(to, axis=1)[:, None]
+    both = np.concatenate([x, y]).astype(np.float32)
+    unit = both.astype(float) / np.linalg.norm(both.astype(float), axis=1)[:, None]
+    true = int((unit @ unit.T >= 0.98).sum()) - 2 * n
+    got = near_vectors(frame(spark, [(i, v.tolist(), 0) for i, v in enumerate(both)])).agg({"n_links": "sum"}).first()[0]
+    assert 0 <= 1 - got / true <= 0.006
