@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderspark.llm.common import bundled, unbundled
+from cinderspark.llm.common import Scratch, bundled, unbundled
 from cinderspark.llm.langid import UNKNOWN, train, with_language
 from cinderspark.llm.minhash import NearDuplicates, near_duplicates
 from cinderspark.llm.mixing import Mix, mix_sources
@@ -30,9 +30,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8 or more: the smallest doc_id of a group stays. Rows without an id stay."""
-    kept = near_duplicates(docs, NearDuplicates(words=5, percent=80)).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Five-word shingles, similarity 0.8 or more: of each group one row stays, that of the smallest doc_id (rows without
+    an id count last). Rows without a shingle stay.
+
+    Rows are told apart by a hash of id and text, so that one that shares its doc_id has a decision of its own and
+    those without an id take part. Rows that agree in both are one document, of which any row stays.
+    """
+    scratch = Scratch(spark, "near-rows")
+    rows = bundled(docs, "doc_id", "text").withColumn("_row", F.xxhash64("doc_id", "text"))
+    decided = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), NearDuplicates(words=5, percent=80))
+    decided = decided.groupBy(F.col("doc_id").alias("_row")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component")
+    )
+    decided = scratch.keep(decided, "decided")
+    ids = rows.groupBy("_row").agg(F.min("doc_id").alias("doc_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row", "n")
+    best = decided.where("n_shingles > 0").join(ids, "_row").groupBy("component").agg(F.min(order).alias("best"))
+    stay = best.select("best._row", "best.n").unionByName(decided.where("n_shingles = 0").select("_row", F.lit(1).cast("bigint").alias("n")))
+    stay = scratch.keep(stay, "stay")
+    single = rows.join(stay.where("n = 1"), "_row", "left_semi")
+    repeated = stay.where("n > 1")
+    if not repeated.isEmpty():
+        single = single.unionByName(rows.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]))
+    return unbundled(single, docs.columns, "doc_id", "text")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,6 +70,18 @@ def test_stages_with_odd_rows(spark, rows):
     assert pipeline.pack(spark, docs, "").count() >= (0 if rows == [] else len(texts()))
 
 
+def test_repeated_rows_survive_once(spark):
+    """Rows that repeat a document, copies without an id, and another text under the id of a kept one."""
+    rng = random.Random(3)
+    one, two, three, four = (" ".join("".join(rng.choices("abcdefghijk", k=6)) for _ in range(80)) for _ in range(4))
+    rows = [(5, one), (5, one), (5, one), (None, two), (None, two), (7, three), (None, three), (6, four), (5, four), (3, four), (9, ""), (9, "")]
+    docs = with_clashes(frame(spark, [(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(rows)]))
+    once = pipeline.drop_near_duplicates(spark, docs, "")
+    want = sorted([(5, one), (None, two), (7, three), (3, four), (9, ""), (9, "")], key=repr)
+    assert rows_of(once, "doc_id", "text") == want
+    assert rows_of(pipeline.drop_repeated_passages(spark, once, ""), "doc_id", "text") == want
+
+
 def test_run(spark):
     assert pipeline.ORACLE_SQL is None
     got = pipeline.run(spark, "/root/testdata/sf0.001")
