@@ -181,14 +181,13 @@ def scaled_sides(rows, features):
     return prepare(train), prepare(test), scaler
 
 
-QUICK = selection.Selection(k=4, repeats=2, folds=3, trees=8, max_depth=5)
+SELECTION = selection.Selection()
 
 
 @query("m3_recursive_elimination")
 def m3(spark, folder):
     rows = training_rows(spark, folder)
-    picked = ["prec_mean", "prec_sum", "ndvi_mean", "elevation"]
-    found = selection.recursive_elimination(rows, picked, "target", QUICK)
+    found = selection.recursive_elimination(rows, FEATURES, "target", SELECTION)
     out = [(size, float(a), size == len(found["selected"])) for size, a in found["accuracy_by_size"].items()]
     return spark.createDataFrame(out, "n_features int, accuracy double, best boolean")
 
@@ -196,8 +195,7 @@ def m3(spark, folder):
 @query("m4_multi_stage_selection")
 def m4(spark, folder):
     rows = training_rows(spark, folder)
-    wide = ["prec_mean", "prec_sum", "prec_max", "lst_mean", "ndvi_mean", "evi_mean", "elevation", "slope"]
-    return selection.majority(selection.vote(rows, wide, "target", QUICK).where("stage = 'pick'"), QUICK.repeats)
+    return selection.majority(selection.vote(rows, FEATURES, "target", SELECTION).where("stage = 'pick'"), SELECTION.repeats)
 
 
 @query("m5_project_selected", FEATURE_SQL + "SELECT pid, prec_mean, ndvi_mean FROM features WHERE " + NULLS_SQL + " <= 12")
@@ -208,7 +206,7 @@ def m5(spark, folder):
 @query("m6_evaluate_selection")
 def m6(spark, folder):
     rows = splits.temporal_split(training_rows(spark, folder))
-    found = selection.evaluate_selection(rows.where("in_train"), ["prec_mean", "ndvi_mean"], "target", rows.where("NOT in_train"), QUICK)
+    found = selection.evaluate_selection(rows.where("in_train"), FEATURES, "target", rows.where("NOT in_train"), SELECTION)
     out = [(k, float(v)) for k, v in found.items() if isinstance(v, (int, float))]
     return spark.createDataFrame(out, "metric string, value double")
 
@@ -231,7 +229,7 @@ MODEL_FEATURES = FEATURES
 @query("m9_random_forest")
 def m9(spark, folder):
     train, test, _ = scaled_sides(training_rows(spark, folder), MODEL_FEATURES)
-    model = training.random_forest(trees=20, max_depth=8).fit(train)
+    model = training.random_forest().fit(train)
     out = [(side, k, float(v)) for side, rows in (("train", train), ("test", test)) for k, v in training.evaluate(model, rows).items()]
     return spark.createDataFrame(out, "side string, metric string, value double")
 
@@ -240,38 +238,35 @@ def m9(spark, folder):
 def e7_model(spark, folder):
     """Importances of a fitted forest, highest first; one row per feature."""
     train, _, _ = scaled_sides(training_rows(spark, folder), MODEL_FEATURES)
-    found = training.random_forest(trees=20, max_depth=8).fit(train).featureImportances.toArray()
+    found = training.random_forest().fit(train).featureImportances.toArray()
     scores = [(name, float(value)) for name, value in zip(MODEL_FEATURES, found, strict=True)]
     return evaluation.ranked(spark.createDataFrame(scores, "feature string, importance double"), "importance")
 
 
-SMALL_SEARCH = training.Search(trees=10, max_depth=5, max_iter=15)
-
-
 @query("m10_model_search")
 def m10(spark, folder):
     train, test, _ = scaled_sides(training_rows(spark, folder), MODEL_FEATURES)
-    found = training.search(train.drop("features"), MODEL_FEATURES, s=SMALL_SEARCH)
+    found = training.search(train.drop("features"), MODEL_FEATURES)
     return evaluation.classification_metrics(found.predict(test, label="target"))
 
 
 @query("m11_cross_validated_accuracy")
 def m11(spark, folder):
     train, _, _ = scaled_sides(training_rows(spark, folder), MODEL_FEATURES)
-    mean, std = training.cross_validated_accuracy(train, training.random_forest(trees=10, max_depth=5), folds=5)
+    mean, std = training.cross_validated_accuracy(train, training.random_forest(), folds=5)
     return spark.createDataFrame([(mean, std)], "cv_accuracy_mean double, cv_accuracy_std double")
 
 
 @query("m12_leaderboard")
 def m12(spark, folder):
     train, _, _ = scaled_sides(training_rows(spark, folder), MODEL_FEATURES)
-    return training.leaderboard(spark, training.search(train.drop("features"), MODEL_FEATURES, s=SMALL_SEARCH))
+    return training.leaderboard(spark, training.search(train.drop("features"), MODEL_FEATURES))
 
 
 def _fitted(spark, folder):
     rows = training_rows(spark, folder)
     train, _, scaler = scaled_sides(rows, MODEL_FEATURES)
-    return rows, training.random_forest(trees=20, max_depth=8).fit(train), scaler
+    return rows, training.random_forest().fit(train), scaler
 
 
 @query("m13_predict")

@@ -1,5 +1,7 @@
 """Selection, training, scoring and streaming on small tables."""
 
+from unittest.mock import MagicMock
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +96,38 @@ def test_matrix_shape(spark):
     made = models.full_matrix(spark, FOLDER)
     assert [c for c in made.columns if c in FEATURES] == FEATURES and len(FEATURES) == 24
     assert clean.feature_columns(made.select("lat", "lon", "date", *FEATURES, "is_fire", "target")) == FEATURES
+
+
+FITS = {
+    "m3_recursive_elimination": (selection, "recursive_elimination"),
+    "m4_multi_stage_selection": (selection, "vote"),
+    "m6_evaluate_selection": (selection, "evaluate_selection"),
+    "m10_model_search": (training, "search"),
+    "m12_leaderboard": (training, "search"),
+    **dict.fromkeys(
+        ["m9_random_forest", "e7_model_importances", "m11_cross_validated_accuracy", "m13_predict", "m14_save_load_model", "q1_score_requests", "q2_score_request_stream"],
+        (training, "random_forest"),
+    ),
+}
+
+
+@pytest.mark.parametrize("name", FITS)
+def test_registered_queries_use_all_features_and_defaults(spark, monkeypatch, name):
+    class Reached(Exception):
+        pass
+
+    def stop(*args, **named):
+        raise Reached(args, named)
+
+    monkeypatch.setattr(models, "training_rows", MagicMock())
+    monkeypatch.setattr(models, "scaled_sides", lambda *_: (MagicMock(), MagicMock(), MagicMock()))
+    monkeypatch.setattr(models.splits, "temporal_split", MagicMock())
+    monkeypatch.setattr(*FITS[name], stop)
+    with pytest.raises(Reached) as reached:
+        QUERIES[name](spark, FOLDER)
+    args, named = reached.value.args
+    if FITS[name][1] == "random_forest":
+        assert (args, named) == ((), {})
+    else:
+        assert args[1] == FEATURES and named.get("s", training.Search()) == training.Search()
+        assert [a for a in args if isinstance(a, selection.Selection)] == [selection.Selection()] * (FITS[name][0] is selection)
