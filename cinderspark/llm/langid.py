@@ -25,7 +25,7 @@ class LanguageRules:
 
     longest: int = 4
     bits: int = 15
-    fit_rows: int = 1600
+    fit_rows: int = 4000
     epochs: int = 3
     alpha: float = 1.0
     beta: float = 1.0
@@ -139,11 +139,13 @@ def train(labelled: DataFrame, rules: LanguageRules = LanguageRules()) -> Langua
         df[r["bin"]] = r["n"]
     idf = np.log((1 + sum(per_language.values())) / (1 + df)) + 1
 
+    narrow = "<u2" if rules.bits < 16 else "<i4"  # bins, and the bias after them
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             grams = ngram_counts(batch.column("text").to_pylist(), rules)
             columns = [
-                batch.column("draw"), batch.column("lang"), pa.array([b.astype("<i4").tobytes() for b, _ in grams], pa.binary()),
+                batch.column("draw"), batch.column("lang"), pa.array([b.astype(narrow).tobytes() for b, _ in grams], pa.binary()),
                 pa.array([c.astype("<i4").tobytes() for _, c in grams], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["draw", "lang", "bins", "counts"])
@@ -156,11 +158,11 @@ def train(labelled: DataFrame, rules: LanguageRules = LanguageRules()) -> Langua
     # The bound on fitted rows; the draw keeps to it but for chance.
     sample = drawn.mapInArrow(counted, "draw bigint, lang string, bins binary, counts binary").limit(2 * rules.fit_rows).collect()
     sample.sort(key=lambda r: (-r["draw"], r["lang"], bytes(r["bins"][:64]), len(r["bins"]), bytes(r["counts"][:64])))
-    bias = np.array([1 << rules.bits], np.int32)
+    bias = np.array([1 << rules.bits], narrow)
     points = []
     while sample:  # a row goes as soon as it is unpacked, so that the driver holds the sample once
         r = sample.pop()
-        bins, counts = np.frombuffer(r["bins"], "<i4"), np.frombuffer(r["counts"], "<i4")
+        bins, counts = np.frombuffer(r["bins"], narrow), np.frombuffer(r["counts"], "<i4")
         values = np.concatenate([weighted(bins, counts, idf), [1.0]]).astype(np.float32)
         points.append((np.concatenate([bins, bias]), values, languages.index(r["lang"])))
     held = points[::5] if len(points) >= 50 else []

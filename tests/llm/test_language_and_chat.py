@@ -102,3 +102,7 @@ def test_escapes(spark):
     df = spark.createDataFrame([(t,) for t in HARD if t is not None], "t string").withColumn("e", escaped(F.col("t")))
     for r in df.withColumn("back", unescaped(F.col("e"))).collect():
         assert r.back == r.t and "<" not in r.e and "[" not in r.e
+
+
+def test_full_sample_is_fitted():
+    assert LanguageRules().fit_rows == 4000
