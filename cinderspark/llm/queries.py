@@ -5,6 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderspark.llm.alignment import align, default_pair
+from cinderspark.llm.bytebpe import decoded, default_ranks, encoded
 from cinderspark.llm.chat import digests, format_conversations
 from cinderspark.llm.common import Scratch
 from cinderspark.llm.huffman import read_corpus, write_corpus
@@ -17,6 +19,7 @@ from cinderspark.llm.suffix import Repeats, without_repeats
 from cinderspark.llm.token_counts import rollup
 from cinderspark.llm.tokens import default_tokenizer
 from cinderspark.llm.topk import TopK, exact_top_k
+from cinderspark.llm.variants import dropped_letter, spelling_variants, word_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -170,3 +173,24 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op11_tokenizer_alignment")
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), default_pair()).documents
+
+
+@query("op12_spelling_variants")
+def spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), dropped_letter(97)))
+
+
+@query("op13_byte_bpe")
+def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = decoded(encoded(table(spark, sf_dir, "documents"), default_ranks()), default_ranks())
+    return back.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
