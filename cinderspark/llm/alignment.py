@@ -22,8 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderspark.llm.bytebpe import byte_slices
-from cinderspark.llm.common import Scratch, tasks_of
+from cinderspark.llm.common import Scratch, byte_slices, tasks_of
 from cinderspark.llm.tokens import Encoder, default_tokenizer
 
 # Documents of a run, so that a record's place fits beside its pair in 64 bits.
@@ -57,7 +56,7 @@ class PlainEncoder(Encoder):
         self.tokenizer.encode_special_tokens = True
         self.added = []
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        letters = {letter: byte for byte, letter in self.memo.letters.items()}
+        letters = {letter: byte for byte, letter in self.letters.items()}
         parts = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         spelled = [bytes(map(letters.__getitem__, p)) if all(c in letters for c in p) else p.encode() for p in parts]
         self.parts = Parts(spelled)

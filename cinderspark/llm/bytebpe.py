@@ -4,12 +4,10 @@ A batch of texts is one array of code points. Each code point has a class, each
 state before it to the state after it, and such functions are composed in blocks side by side (composition is
 associative), so that every position learns its state without a pass from left to right. States and their
 neighbours tell where pieces begin. Pieces are slices of the UTF-8 bytes; a memo holds the ids of those seen of
-late and pair merging works out the others.
+late and pair merging works out the others, all of a batch together.
 """
 
 import base64
-import heapq
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,17 +17,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinderspark.llm.common import byte_slices
+from cinderspark.llm.merging import rank_file_merger
+
 # Bytes of text that are worked on at a time inside a task; a longer text stands alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 # Code points whose states are worked out at a time.
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 # Positions that a block of the scan composes.
 BLOCK = 64
-# The memo holds pieces of at most MEMO_BYTES and is emptied beyond MEMO_PIECES: some 80 MB.
-MEMO_PIECES, MEMO_BYTES = 400_000, 32
-# Pieces up to this many bytes are merged by looking through a list, longer ones by a heap.
-SHORT_BYTES = 64
-NO_RANK = 1 << 62
+# The memo holds pieces of at most MEMO_BYTES, about twice MEMO_PIECES of them: some 60 MB.
+MEMO_PIECES, MEMO_BYTES = 150_000, 32
 
 # The splitting pattern this module carries out, and the endings it keeps together.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -164,7 +162,8 @@ class ByteBPE:
     """Ids of byte strings by merge ranks, and back."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.memo = ranks, {}
+        self.ranks, self.memo, self.older = ranks, {}, {}
+        self.merger = rank_file_merger(ranks)
         size = max(ranks.values()) + 1
         parts = [b""] * size
         for part, rank in ranks.items():
@@ -176,63 +175,20 @@ class ByteBPE:
         self.places = np.concatenate([[0], np.cumsum(self.lengths)])
         self.vocabulary = np.frombuffer(b"".join(parts), np.uint8)
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The pair of lowest rank is joined, the leftmost of equal ones, until no pair has a rank."""
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        return self._merge_short(piece) if len(piece) <= SHORT_BYTES else self._merge_long(piece)
-
-    def _merge_short(self, piece: bytes) -> list[int]:
-        rank_of, n = self.ranks.get, len(piece)
-        cuts = list(range(n + 1))
-        joined = [rank_of(piece[i : i + 2], NO_RANK) for i in range(n - 1)]
-        while joined:
-            least = min(joined)
-            if least == NO_RANK:
-                break
-            i = joined.index(least)
-            del cuts[i + 1], joined[i]
-            if i < len(joined):
-                joined[i] = rank_of(piece[cuts[i] : cuts[i + 2]], NO_RANK)
-            if i:
-                joined[i - 1] = rank_of(piece[cuts[i - 1] : cuts[i + 1]], NO_RANK)
-        return [self.ranks[piece[i:j]] for i, j in zip(cuts, cuts[1:], strict=False)]
-
-    def _merge_long(self, piece: bytes) -> list[int]:
-        """The same with a heap: O(n log n)."""
-        ranks, n = self.ranks, len(piece)
-        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        alive = bytearray(b"\x01") * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or end[j] != stop:
-                continue
-            alive[j], end[i], after[i] = 0, stop, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                r = ranks.get(piece[i : end[after[i]]])
-                if r is not None:
-                    heapq.heappush(heap, (r, i, end[after[i]]))
-            h = before[i]
-            if h >= 0:
-                r = ranks.get(piece[h:stop])
-                if r is not None:
-                    heapq.heappush(heap, (r, h, stop))
-        ids, i = [], 0
-        while i < n:
-            ids.append(ranks[piece[i : end[i]]])
-            i = after[i]
-        return ids
-
-    def _piece(self, piece: bytes) -> bytes:
-        ids = array("I", self.merge(piece)).tobytes()
-        if len(piece) <= MEMO_BYTES:
-            if len(self.memo) >= MEMO_PIECES:
-                self.memo.clear()
-            self.memo[piece] = ids
+    def remember(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of all ``pieces``: those seen of late, and the others merged together."""
+        if len(self.memo) >= MEMO_PIECES:
+            # What is in use comes back from the older half.
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        known = {p: older[p] for p in pieces - memo.keys() if p in older}
+        memo.update(known)
+        new = [p for p in pieces if p not in memo]
+        whole = [p for p in new if p in self.ranks]
+        ids = dict(zip(whole, np.array([self.ranks[p] for p in whole], "<u4").view("V4").tolist(), strict=True)) if whole else {}
+        parts = [p for p in new if p not in ids]
+        ids.update(zip(parts, self.merger.merge_many(parts), strict=True))
+        memo.update((p, i) for p, i in ids.items() if len(p) <= MEMO_BYTES)
         return ids
 
     def encode(self, data: bytes, codes: np.ndarray, first: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -243,12 +199,12 @@ class ByteBPE:
         cuts = at[piece_starts(codes, first)]
         upto = np.searchsorted(cuts, ends).tolist()
         cuts = [*cuts.tolist(), len(data)]
-        get, make = self.memo.get, self._piece
-        out, a = [], 0
-        for b in upto:
-            out.append(b"".join([get(p) or make(p) for p in (data[i:j] for i, j in zip(cuts[a:b], cuts[a + 1 : b + 1], strict=True))]))
-            a = b
-        return out
+        pieces = [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        new = self.remember(set(pieces))
+        # Pieces too long for the memo are among the new ones only.
+        get, also = self.memo.get, new.get
+        ids = [get(p) or also(p) for p in pieces]
+        return [b"".join(ids[a:b]) for a, b in zip([0, *upto[:-1]], upto, strict=True)]
 
     def offsets(self, ids: bytes) -> np.ndarray:
         """Where each token begins in the bytes of its text."""
@@ -285,18 +241,6 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def byte_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose ``column`` has about ``most`` bytes; a longer value stands alone."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends, begin = np.cumsum(sizes), 0
-        while begin < batch.num_rows:
-            done = int(ends[begin - 1]) if begin else 0
-            end = max(int(np.searchsorted(ends, done + most, "right")), begin + 1)
-            yield batch.slice(begin, end - begin)
-            begin = end
-
-
 def texts_as_codes(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """(UTF-8 of all texts, their code points, which of them begin a text, ends of texts in the UTF-8)."""
     whole = texts.to_pylist()
@@ -311,7 +255,7 @@ def texts_as_codes(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.n
 
 
 def encoded(docs: DataFrame, ranks: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keys``, ``ids`` and ``offsets`` (binary: little-endian unsigned 32-bit ids, unsigned 64-bit byte offsets of the
+    """``keys``, ``ids`` and ``offsets`` (binary: little-endian unsigned 32-bit ids, unsigned 32-bit byte offsets of the
     tokens in the text).
 
     A null text is an empty one, which has no tokens. Repeated rows and keys that are null or equal stay as they are; other
@@ -321,9 +265,9 @@ def encoded(docs: DataFrame, ranks: str, keys: tuple[str, ...] = ("doc_id",), te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(ranks)
-        for batch in byte_slices(batches, "_text"):
+        for batch in byte_slices(batches, "_text", SLICE_BYTES):
             ids = bpe.encode(*texts_as_codes(batch.column("_text")))
-            offsets = [bpe.offsets(x).astype("<u8").tobytes() for x in ids]
+            offsets = [bpe.offsets(x).astype("<u4").tobytes() for x in ids]
             columns = [*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, "ids", "offsets"])
 
@@ -337,9 +281,9 @@ def decoded(tokens: DataFrame, ranks: str, keys: tuple[str, ...] = ("doc_id",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(ranks)
-        for batch in byte_slices(batches, "ids"):
+        for batch in byte_slices(batches, "ids", SLICE_BYTES):
             parts = [
-                bpe.decode(np.frombuffer(i, "<u4"), np.frombuffer(o, "<u8")).tobytes()
+                bpe.decode(np.frombuffer(i, "<u4"), np.frombuffer(o, "<u4")).tobytes()
                 for i, o in zip(batch.column("ids").to_pylist(), batch.column("offsets").to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(parts, pa.binary())], names=[*keys, "ids", "bytes"])

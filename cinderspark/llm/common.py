@@ -5,6 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(begin, rows)
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose ``column`` has about ``most`` bytes; a longer value stands alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, begin = np.cumsum(sizes), 0
+        while begin < batch.num_rows:
+            done = int(ends[begin - 1]) if begin else 0
+            end = max(int(np.searchsorted(ends, done + most, "right")), begin + 1)
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 4096) -> Iterator[pa.Table]:
     """Runs of rows, sorted by ``key``, cut only where the key changes; about ``rows`` rows each."""
     held: list[pa.RecordBatch] = []

@@ -5,8 +5,8 @@ except where a blank stands between two other white-space characters; texts with
 token in them, are encoded whole, and so is everything under another splitter.
 """
 
+import json
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,10 +16,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderspark.llm.common import slices
+from cinderspark.llm.common import byte_slices
+from cinderspark.llm.merging import Merger
 
-# Pieces a worker remembers, twice; some 160 MB.
-MEMO_PIECES = 450_000
+# Pieces of at most MEMO_LETTERS that a worker remembers, twice; some 70 MB.
+MEMO_PIECES, MEMO_LETTERS = 150_000, 32
+# Bytes of text that are encoded together.
+ENCODED_BYTES = 1 << 20
 BETWEEN_BLANKS = re.compile(r"\s \s")
 BEFORE_BLANK = re.compile(r" \s")
 # Fixed value: what the byte-level splitter keeps together.
@@ -35,33 +38,56 @@ def _bytes_to_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class _Memo(dict):
-    """Ids of pieces seen of late. When full it becomes the older half, from which pieces in use come back."""
+def _merger(tokenizer: str, letters: dict[int, str]) -> Merger | None:
+    """The merges of a plain byte-level BPE file; None for other models."""
+    with open(tokenizer, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    extras = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")
+    if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in extras) or not all(c in model["vocab"] for c in letters.values()):
+        return None
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    ids = model["vocab"]
+    left, right, joined = (np.array([ids[x] for x in side], np.int64) for side in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs]))
+    return Merger(left, right, joined, np.arange(len(pairs)), np.array([ids[letters[b]] for b in range(256)]))
 
-    def __init__(self, tokenizer):
-        self.model, self.older = tokenizer.model, {}
-        self.letters, self.pattern = _bytes_to_letters(), regex.compile(SPLITTER)
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO_PIECES:
-            self.older = dict(self)
-            self.clear()
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self._new(piece)
-        self[piece] = ids
-        return ids
+class _Memo:
+    """Ids of pieces seen of late, in two halves. When the newer one is full it becomes the older one, from which pieces in
+    use come back."""
 
-    def _new(self, piece: str) -> bytes:
+    def __init__(self, merger: Merger):
+        self.merger, self.pattern = merger, regex.compile(SPLITTER)
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _parts(self, piece: str) -> list[str]:
+        """What the splitter makes of a piece."""
         if not piece[piece[:1] == " " :].isalpha():
             bare = piece.rstrip(MARKS)
-            if len(bare) < len(piece) and bare[-1:].isalpha():
-                return self[bare] + self[piece[len(bare) :]]
-            parts = self.pattern.findall(piece)
-            if len(parts) > 1:
-                return b"".join(map(self.__getitem__, parts))
-        word = piece.encode().decode("latin-1").translate(self.letters)
-        return array("I", [token.id for token in self.model.tokenize(word)]).tobytes()
+            if len(bare) < len(piece) and bare[bare[:1] == " " :].isalpha():
+                return [bare, piece[len(bare) :]]
+            return self.pattern.findall(piece)
+        return [piece]
+
+    def _known(self, pieces: set[str]) -> dict[str, bytes]:
+        newer, older = self.newer, self.older
+        newer.update({p: older[p] for p in pieces - newer.keys() if p in older})
+        return newer
+
+    def ids(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of those of ``pieces`` that were not remembered; the others are in ``newer``."""
+        if len(self.newer) >= MEMO_PIECES:
+            self.older, self.newer = self.newer, {}
+        missing = [p for p in pieces if p not in self._known(pieces)]
+        parts = list(map(self._parts, missing))
+        words = {w for ws in parts for w in ws}
+        new = [w for w in words if w not in self._known(words)]
+        found = dict(zip(new, self.merger.merge_many([w.encode() for w in new]), strict=True))
+        for piece, ws in zip(missing, parts, strict=True):
+            if len(ws) != 1:
+                found[piece] = b"".join([self.newer.get(w) or found[w] for w in ws])
+        self.newer.update((p, i) for p, i in found.items() if len(p) <= MEMO_LETTERS)
+        return found
 
 
 class Encoder:
@@ -72,23 +98,28 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = _bytes_to_letters()
         splitter = repr(self.tokenizer.pre_tokenizer)
-        self.splits = self.tokenizer.normalizer is None and splitter == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
-        self.memo = _Memo(self.tokenizer)
+        merger = _merger(path, self.letters)
+        plain = self.tokenizer.normalizer is None and splitter == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
+        self.memo = _Memo(merger) if merger is not None and plain else None
 
     def _apart(self, text: str) -> bool:
         """Whether pieces before blanks get the same ids alone."""
-        if not self.splits or "\x00" in text or any(token in text for token in self.added):
+        if self.memo is None or "\x00" in text or any(token in text for token in self.added):
             return False
         return BEFORE_BLANK.search(text) is None or BETWEEN_BLANKS.search(text) is None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get = self.memo.__getitem__
+        pieces = [text.replace(" ", "\x00 ").split("\x00") if self._apart(text) else None for text in texts]
+        found = self.memo.ids({p for ps in pieces if ps for p in ps if p}) if self.memo else {}
+        # Pieces too long to be remembered are among those found now; the empty one has no ids.
+        get, also = (self.memo.newer.get if self.memo else found.get), found.get
         return [
-            b"".join(map(get, text.replace(" ", "\x00 ").split("\x00")))
-            if self._apart(text)
+            b"".join([get(p) or also(p, b"") for p in ps])
+            if ps is not None
             else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            for text in texts
+            for text, ps in zip(texts, pieces, strict=True)
         ]
 
 
@@ -111,7 +142,7 @@ def with_ids(docs: DataFrame, tokenizer: str, end_id: int | None = None, keys: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for batch in slices(batches):
+        for batch in byte_slices(batches, "_text", ENCODED_BYTES):
             ids = [x + closing for x in encode(batch.column("_text").to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], names=[*keys, "ids"])
 

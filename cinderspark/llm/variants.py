@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderspark.llm.bytebpe import byte_slices
-from cinderspark.llm.common import Scratch, tasks_of
+from cinderspark.llm.common import Scratch, byte_slices, tasks_of
 
 # What a word is made of, and which letters are lower-cased.
 RUN = re.compile("[A-Za-zÀ-ÿ]+")

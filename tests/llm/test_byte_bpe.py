@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from cinderspark.llm import bytebpe
+from cinderspark.llm import bytebpe, merging
 from cinderspark.llm.bytebpe import ByteBPE, byte_bpe, decoded, default_ranks, encoded, piece_starts, scan, texts_as_codes
 from tests.llm.cases import texts, with_clashes
 
@@ -58,12 +58,14 @@ def test_a_stretch_of_tokens_decodes_alone_and_faults_raise():
         bpe.decode(np.array([10**6]), np.array([0]))
 
 
-def test_short_and_long_merges_agree():
-    bpe = ByteBPE(byte_bpe(default_ranks()).ranks)
+@pytest.mark.parametrize("cells", [1 << 19, 40])
+def test_many_pieces_merge_as_one_does(monkeypatch, cells):
+    monkeypatch.setattr(merging, "CELLS", cells)
+    merger = ByteBPE(byte_bpe(default_ranks()).ranks).merger
     rng = random.Random(7)
-    for _ in range(300):
-        piece = bytes(rng.choice(b"abtheringo\xc3\xa9") for _ in range(rng.randint(1, 40)))
-        assert bpe._merge_short(piece) == bpe._merge_long(piece)
+    pieces = [bytes(rng.choice(b"abtheringo\xc3\xa9 ") for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    assert merger.merge_many(pieces) == [merger._merge_long(p) for p in pieces]
+    assert merger.merge_many([]) == []
 
 
 def test_classes_of_empty_and_border_texts():
