@@ -62,7 +62,7 @@ class PlainEncoder(Encoder):
         self.parts = Parts(spelled)
 
 
-class PieceEncoder:
+class SentenceEncoder:
     """Ids of a sentencepiece model that spells blanks as U+2581, puts one before each text and has no piece where one
     follows another letter; a text may then be cut before each run of blanks, and what was cut is remembered. Models
     that normalise or are of another kind encode texts whole."""
@@ -137,9 +137,9 @@ def default_pair() -> Tokenizers:
 
 
 @lru_cache(maxsize=1)
-def _encoders(files: Tokenizers) -> tuple[PlainEncoder, PieceEncoder]:
+def _encoders(files: Tokenizers) -> tuple[PlainEncoder, SentenceEncoder]:
     """One pair per Python worker."""
-    return PlainEncoder(files.a), PieceEncoder(files.b)
+    return PlainEncoder(files.a), SentenceEncoder(files.b)
 
 
 @lru_cache(maxsize=1)

@@ -8,17 +8,16 @@ late and pair merging works out the others, all of a batch together.
 """
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderspark.llm.common import byte_slices
-from cinderspark.llm.merging import rank_file_merger
+from cinderspark.llm.merging import Merger, rank_file_merger
 
 # Bytes of text that are worked on at a time inside a task; a longer text stands alone.
 SLICE_BYTES = 1 << 20
@@ -26,8 +25,8 @@ SLICE_BYTES = 1 << 20
 WINDOW = 1 << 19
 # Positions that a block of the scan composes.
 BLOCK = 64
-# The memo holds pieces of at most MEMO_BYTES, about twice MEMO_PIECES of them: some 60 MB.
-MEMO_PIECES, MEMO_BYTES = 150_000, 32
+# The memo holds pieces of at most MEMO_BYTES, about twice MEMO_PIECES of them: some 80 MB.
+MEMO_PIECES, MEMO_BYTES = 200_000, 32
 
 # The splitting pattern this module carries out, and the endings it keeps together.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -86,18 +85,13 @@ def _machine() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _transition_functions()
 
 
-@lru_cache(maxsize=1)
-def code_point_classes() -> np.ndarray:
-    """Class of every code point. What is a letter, a number or white space is asked of the library whose ids are
-    to be matched, as Unicode versions differ."""
-    import tiktoken
-
+def class_table(matches: Callable[[str, str], str]) -> np.ndarray:
+    """Class of every code point. ``matches(pattern, text)`` gives all that a pattern matches in a text: what is a letter, a
+    number or white space is asked of the library whose ids are to be matched, as Unicode versions differ."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    single = {bytes([b]): b for b in range(256)}
     table = np.full(0x110000, OTHER, np.uint8)
     for pattern, what in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
-        found = tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)
-        table[np.frombuffer(bytes(found).decode().encode("utf-32-le"), np.uint32)] = what
+        table[np.frombuffer(matches(pattern, every).encode("utf-32-le"), np.uint32)] = what
     table[ord(" ")], table[ord("'")] = BLANK, QUOTE
     for ending in ENDINGS:
         if len(ending) == 1:
@@ -106,6 +100,19 @@ def code_point_classes() -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=1)
+def code_point_classes() -> np.ndarray:
+    """As the tiktoken library sees them; the tokenizers library sees the same, which a test holds."""
+    import tiktoken
+
+    single = {bytes([b]): b for b in range(256)}
+
+    def matches(pattern: str, text: str) -> str:
+        return bytes(tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(text)).decode()
+
+    return class_table(matches)
+
+
 def scan(functions: np.ndarray, composed: np.ndarray) -> np.ndarray:
     """Each position's composition of all functions up to it. Blocks are composed side by side, then the totals of the
     blocks in the same way, then each block after the total before it."""
@@ -128,10 +135,9 @@ def scan(functions: np.ndarray, composed: np.ndarray) -> np.ndarray:
     return out.T.reshape(-1)[:n]
 
 
-def piece_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Which code points begin a piece. ``first`` marks the first one of each text."""
+def piece_starts(codes: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which code points begin a piece. ``first`` marks the first one of each text, ``table`` has the classes."""
     per_class, composed, functions = _machine()
-    table = code_point_classes()
     n = len(codes)
     out = np.zeros(n, bool)
     state = BEGIN
@@ -158,34 +164,24 @@ def piece_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-class ByteBPE:
-    """Ids of byte strings by merge ranks, and back."""
+class PieceEncoder:
+    """Ids of the pieces of texts. ``whole`` maps pieces that have an id of their own, whatever merging would make of them."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.memo, self.older = ranks, {}, {}
-        self.merger = rank_file_merger(ranks)
-        size = max(ranks.values()) + 1
-        parts = [b""] * size
-        for part, rank in ranks.items():
-            parts[rank] = part
-        self.known = np.zeros(size, bool)
-        self.known[list(ranks.values())] = True
-        # The vocabulary in one buffer.
-        self.lengths = np.array([len(p) for p in parts], np.int64)
-        self.places = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.vocabulary = np.frombuffer(b"".join(parts), np.uint8)
+    def __init__(self, merger: Merger, table: np.ndarray, whole: dict[bytes, int]):
+        self.merger, self.table, self.whole = merger, table, whole
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def remember(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of all ``pieces``: those seen of late, and the others merged together."""
+        """Ids of those of ``pieces`` that are not remembered, which are merged together; those of the others are in ``memo``."""
         if len(self.memo) >= MEMO_PIECES:
             # What is in use comes back from the older half.
             self.older, self.memo = self.memo, {}
         memo, older = self.memo, self.older
-        known = {p: older[p] for p in pieces - memo.keys() if p in older}
-        memo.update(known)
-        new = [p for p in pieces if p not in memo]
-        whole = [p for p in new if p in self.ranks]
-        ids = dict(zip(whole, np.array([self.ranks[p] for p in whole], "<u4").view("V4").tolist(), strict=True)) if whole else {}
+        memo.update({p: older[p] for p in pieces - memo.keys() if p in older})
+        new = list(pieces - memo.keys())
+        whole = [p for p in new if p in self.whole]
+        ids = {p: self.whole[p].to_bytes(4, "little") for p in whole}
         parts = [p for p in new if p not in ids]
         ids.update(zip(parts, self.merger.merge_many(parts), strict=True))
         memo.update((p, i) for p, i in ids.items() if len(p) <= MEMO_BYTES)
@@ -196,7 +192,7 @@ class ByteBPE:
         points, ``first`` marks those that begin a text, ``ends`` are the ends of texts in ``data``."""
         width = 1 + (codes >= 0x80).astype(np.int8) + (codes >= 0x800) + (codes >= 0x10000)
         at = np.cumsum(width, dtype=np.int64) - width
-        cuts = at[piece_starts(codes, first)]
+        cuts = at[piece_starts(codes, first, self.table)]
         upto = np.searchsorted(cuts, ends).tolist()
         cuts = [*cuts.tolist(), len(data)]
         pieces = [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
@@ -206,6 +202,24 @@ class ByteBPE:
         ids = [get(p) or also(p) for p in pieces]
         return [b"".join(ids[a:b]) for a, b in zip([0, *upto[:-1]], upto, strict=True)]
 
+
+class ByteBPE(PieceEncoder):
+    """Ids of texts by merge ranks, and back."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__(rank_file_merger(ranks), code_point_classes(), ranks)
+        self.ranks = ranks
+        size = max(ranks.values()) + 1
+        parts = [b""] * size
+        for part, rank in ranks.items():
+            parts[rank] = part
+        self.known = np.zeros(size, bool)
+        self.known[list(ranks.values())] = True
+        # The vocabulary in one buffer.
+        self.lengths = np.array([len(p) for p in parts], np.int64)
+        self.places = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.vocabulary = np.frombuffer(b"".join(parts), np.uint8)
+
     def offsets(self, ids: bytes) -> np.ndarray:
         """Where each token begins in the bytes of its text."""
         lengths = self.lengths[np.frombuffer(ids, "<u4")]
@@ -241,16 +255,15 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def texts_as_codes(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+def texts_as_codes(whole: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """(UTF-8 of all texts, their code points, which of them begin a text, ends of texts in the UTF-8)."""
-    whole = texts.to_pylist()
     joined = "".join(whole)
     data = joined.encode()
     codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     first = np.zeros(len(codes) + 1, bool)
     lengths = np.array([len(t) for t in whole], np.int64)
     first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.cumsum(np.array([len(t) if t.isascii() else len(t.encode()) for t in whole], np.int64))
     return data, codes, first[:-1], ends
 
 
@@ -266,7 +279,7 @@ def encoded(docs: DataFrame, ranks: str, keys: tuple[str, ...] = ("doc_id",), te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(ranks)
         for batch in byte_slices(batches, "_text", SLICE_BYTES):
-            ids = bpe.encode(*texts_as_codes(batch.column("_text")))
+            ids = bpe.encode(*texts_as_codes(batch.column("_text").to_pylist()))
             offsets = [bpe.offsets(x).astype("<u4").tobytes() for x in ids]
             columns = [*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, "ids", "offsets"])

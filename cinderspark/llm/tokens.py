@@ -1,34 +1,20 @@
-"""Token ids of whole texts by the tokenizers library, with a memo of pieces that come again.
-
-Text is cut before blanks. With the byte-level splitter such pieces get the same ids alone as in the text,
-except where a blank stands between two other white-space characters; texts with that, or with an added
-token in them, are encoded whole, and so is everything under another splitter.
-"""
+"""Token ids of whole texts, as the tokenizers library gives them."""
 
 import json
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinderspark.llm.bytebpe import PieceEncoder, code_point_classes, texts_as_codes
 from cinderspark.llm.common import byte_slices
 from cinderspark.llm.merging import Merger
 
-# Pieces of at most MEMO_LETTERS that a worker remembers, twice; some 70 MB.
-MEMO_PIECES, MEMO_LETTERS = 150_000, 32
 # Bytes of text that are encoded together.
 ENCODED_BYTES = 1 << 20
-BETWEEN_BLANKS = re.compile(r"\s \s")
-BEFORE_BLANK = re.compile(r" \s")
-# Fixed value: what the byte-level splitter keeps together.
-SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Marks that the splitter keeps apart from a letter before them.
-MARKS = ".,;:!?"
 
 
 def _bytes_to_letters() -> dict[int, str]:
@@ -51,47 +37,9 @@ def _merger(tokenizer: str, letters: dict[int, str]) -> Merger | None:
     return Merger(left, right, joined, np.arange(len(pairs)), np.array([ids[letters[b]] for b in range(256)]))
 
 
-class _Memo:
-    """Ids of pieces seen of late, in two halves. When the newer one is full it becomes the older one, from which pieces in
-    use come back."""
-
-    def __init__(self, merger: Merger):
-        self.merger, self.pattern = merger, regex.compile(SPLITTER)
-        self.newer: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _parts(self, piece: str) -> list[str]:
-        """What the splitter makes of a piece."""
-        if not piece[piece[:1] == " " :].isalpha():
-            bare = piece.rstrip(MARKS)
-            if len(bare) < len(piece) and bare[bare[:1] == " " :].isalpha():
-                return [bare, piece[len(bare) :]]
-            return self.pattern.findall(piece)
-        return [piece]
-
-    def _known(self, pieces: set[str]) -> dict[str, bytes]:
-        newer, older = self.newer, self.older
-        newer.update({p: older[p] for p in pieces - newer.keys() if p in older})
-        return newer
-
-    def ids(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of those of ``pieces`` that were not remembered; the others are in ``newer``."""
-        if len(self.newer) >= MEMO_PIECES:
-            self.older, self.newer = self.newer, {}
-        missing = [p for p in pieces if p not in self._known(pieces)]
-        parts = list(map(self._parts, missing))
-        words = {w for ws in parts for w in ws}
-        new = [w for w in words if w not in self._known(words)]
-        found = dict(zip(new, self.merger.merge_many([w.encode() for w in new]), strict=True))
-        for piece, ws in zip(missing, parts, strict=True):
-            if len(ws) != 1:
-                found[piece] = b"".join([self.newer.get(w) or found[w] for w in ws])
-        self.newer.update((p, i) for p, i in found.items() if len(p) <= MEMO_LETTERS)
-        return found
-
-
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes."""
+    """Ids as little-endian unsigned 32-bit bytes. Pieces of a plain byte-level model are found and merged here; texts with an
+    added token in them, and all texts under another model, are encoded by the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -102,24 +50,15 @@ class Encoder:
         splitter = repr(self.tokenizer.pre_tokenizer)
         merger = _merger(path, self.letters)
         plain = self.tokenizer.normalizer is None and splitter == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
-        self.memo = _Memo(merger) if merger is not None and plain else None
-
-    def _apart(self, text: str) -> bool:
-        """Whether pieces before blanks get the same ids alone."""
-        if self.memo is None or "\x00" in text or any(token in text for token in self.added):
-            return False
-        return BEFORE_BLANK.search(text) is None or BETWEEN_BLANKS.search(text) is None
+        self.pieces = PieceEncoder(merger, code_point_classes(), {}) if merger is not None and plain else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [text.replace(" ", "\x00 ").split("\x00") if self._apart(text) else None for text in texts]
-        found = self.memo.ids({p for ps in pieces if ps for p in ps if p}) if self.memo else {}
-        # Pieces too long to be remembered are among those found now; the empty one has no ids.
-        get, also = (self.memo.newer.get if self.memo else found.get), found.get
+        mine = [self.pieces is not None and not any(token in text for token in self.added) for text in texts]
+        plain = [text for text, m in zip(texts, mine, strict=True) if m]
+        ids = iter(self.pieces.encode(*texts_as_codes(plain)) if plain else [])
         return [
-            b"".join([get(p) or also(p, b"") for p in ps])
-            if ps is not None
-            else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            for text, ps in zip(texts, pieces, strict=True)
+            next(ids) if m else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            for text, m in zip(texts, mine, strict=True)
         ]
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from cinderspark.llm.alignment import PieceEncoder, PlainEncoder, Spill, align, default_pair
+from cinderspark.llm.alignment import SentenceEncoder, PlainEncoder, Spill, align, default_pair
 from tests.llm.cases import texts, with_clashes
 
 LETTERS = " \n\t\r  ''''stremvld.,!?abcÀß½²Ⅷ०中😀́\x00<|> Ᲊ▁"
@@ -22,7 +22,7 @@ def odd_texts(n: int) -> list[str]:
 
 @pytest.fixture(scope="module")
 def pair():
-    return PlainEncoder(default_pair().a), PieceEncoder(default_pair().b)
+    return PlainEncoder(default_pair().a), SentenceEncoder(default_pair().b)
 
 
 def test_ids_are_those_of_the_libraries(pair):

@@ -7,7 +7,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Regex
+from tokenizers.pre_tokenizers import Split
 
+from cinderspark.llm.bytebpe import class_table, code_point_classes
 from cinderspark.llm.huffman import canonical_codes, code_lengths, decode, decoding_table, encode, read_corpus, write_corpus
 from cinderspark.llm.ledger import Ledger, deletes, document_counts, inserts, revisions
 from cinderspark.llm.mixing import word_count
@@ -35,6 +38,14 @@ def test_pieces_get_the_ids_they_have_in_the_text(tokenizer):
         assert np.frombuffer(ids, "<u4").tolist() == plain(tokenizer, text)
 
 
+def test_both_libraries_see_the_same_classes():
+    def matches(pattern, text):
+        spans = [span for _, span in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text)]
+        return "".join(text[a:b] for a, b in spans)
+
+    assert (class_table(matches) == code_point_classes()).all()
+
+
 @pytest.mark.parametrize("capacity", [7, 100, 1024])
 def test_plan_places_as_plain_best_fit_does(capacity):
     rng = random.Random(capacity)
