@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cinderspark.operators.freearea import DEPTH, MAX_DEPTH, TARGET_BITS, drawn_places, free_area
 from cinderspark.operators.skew import default_buckets, running_totals
 from cinderspark.operators.spatial import exclude_near
 from cinderspark.params import Box, Negatives
@@ -73,26 +74,44 @@ def candidates(spark: SparkSession, low: int, high: int, box: Box, seed: int = 4
     )
 
 
-def _first(spark: SparkSession, wanted: int, tries: int, accepted: Callable[[int, int], DataFrame]) -> DataFrame:
-    """The ``wanted`` accepted candidates with the lowest ids.
+def _first(fires: DataFrame, wanted: int, rules: Negatives, box: Box, seed: int, dated: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The ``wanted`` accepted places with the lowest ids, drawn from the free area of ``box``.
 
-    Ranges of ids, each twice as long as the one before, are tried until enough are accepted or a whole range
-    yields nothing. ``accepted(low, high)`` gives those of a range.
+    Only places in cells that a radius cuts are compared with the fires. Ranges of ids are tried until enough are accepted, each
+    as long as the share accepted so far asks for. A range that yields nothing halves the cells: either room is found, or no
+    cell is left, or cells have become so small that what room there is counts as none. ``dated`` adds days to
+    ids and may drop some once they have a place.
     """
-    low, high, found, parts = 0, wanted * tries, 0, []
-    while found < wanted:
-        part = cut_lineage(accepted(low, high))
+    spark = fires.sparkSession
+    depth, area = DEPTH, free_area(spark, fires, rules.min_km, box)
+    low, size, found, tried, parts = 0, 2 * wanted, 0, 0, []
+    while found < wanted and area.total:
+        ids = spark.range(low, low + size).withColumnRenamed("id", "pid")
+        places = drawn_places(ids, area, *[uniform(F.col("pid"), f"{seed}:{s}") for s in ("leaf", "lat", "lon")])
+        placed = cut_lineage(dated(places))
+        far = exclude_near(placed.where("cut"), fires, rules.min_km)
+        part = cut_lineage(placed.where("NOT cut").unionByName(far).drop("cut"))
         n = part.count()
         parts.append(part)
-        found += n
-        if not n:
-            break
-        low, high = high, high + 2 * (high - low)
+        low, tried, found = low + size, tried + size, found + n
+        if n:
+            size = max(wanted, int(1.2 * (wanted - found) * tried / found))
+            # A share this small would take ranges ever longer; smaller cells raise it.
+            shrink = found < wanted and 50 * found < tried
+        else:
+            shrink, size = True, 2 * wanted
+        if shrink:
+            if depth == MAX_DEPTH and not n:
+                break
+            if depth < MAX_DEPTH:
+                depth += 1
+                area = free_area(spark, fires, rules.min_km, box, depth, TARGET_BITS + depth - DEPTH)
+                found, tried, low, parts, size = 0, 0, 0, [], 2 * wanted
     if not parts:
-        return accepted(0, 0)
-    tried = reduce(DataFrame.unionByName, parts)
-    marked = tried.withColumn("_order", F.col("pid").cast("double")).withColumn("_one", F.lit(1).cast("bigint"))
-    ranked = running_totals(marked, "_order", {"_rank": "_one"}, None, ["pid"], _even_splits(0.0, float(high), default_buckets(tried)))
+        return dated(spark.range(0).select(F.col("id").alias("pid"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.lit(False).alias("cut"))).drop("cut")
+    every = reduce(DataFrame.unionByName, parts)
+    marked = every.withColumn("_order", F.col("pid").cast("double")).withColumn("_one", F.lit(1).cast("bigint"))
+    ranked = running_totals(marked, "_order", {"_rank": "_one"}, None, ["pid"], _even_splits(0.0, float(low), default_buckets(every)))
     return ranked.where(F.col("_rank") <= wanted).drop("_order", "_one", "_rank")
 
 
@@ -117,14 +136,14 @@ def negatives_in_space(fires: DataFrame, rules: Negatives = Negatives(), rain_of
         return candidates(spark, 0, 0, rules.box).withColumn("date", F.lit(None).cast("date")).withColumn("is_fire", F.lit(False))
     span = max((last - first).days, 1)
 
-    def accepted(low: int, high: int) -> DataFrame:
+    def dated(places: DataFrame) -> DataFrame:
         day = F.date_add(F.lit(first), (draw(F.col("pid"), f"{seed}:day") % span).cast("int"))
-        tried = candidates(spark, low, high, rules.box, seed).withColumn("date", day)
-        if rain_of is not None:
-            tried = rain_of(tried).where(F.coalesce(F.col("mm"), F.lit(0.0)) < rules.max_rain_mm).drop("mm")
-        return exclude_near(tried, fires, rules.min_km)
+        tried = places.withColumn("date", day)
+        if rain_of is None:
+            return tried
+        return rain_of(tried).where(F.coalesce(F.col("mm"), F.lit(0.0)) < rules.max_rain_mm).select("pid", "lat", "lon", "cut", "date")
 
-    return _first(spark, wanted, rules.tries_per_point, accepted).withColumn("is_fire", F.lit(False))
+    return _first(fires, wanted, rules, rules.box, seed, dated).withColumn("is_fire", F.lit(False))
 
 
 def month_shares(fires: DataFrame, date: str = "date") -> DataFrame:
@@ -155,23 +174,22 @@ def negatives_by_month(fires: DataFrame, rules: Negatives = Negatives(tries_per_
     # Twelve rows at most: the months and their shares.
     months = month_shares(fires).collect()
 
-    def accepted(low: int, high: int) -> DataFrame:
-        tried = candidates(spark, low, high, box, seed).withColumn("_u", uniform(F.col("pid"), f"{seed}:month"))
+    def dated(places: DataFrame) -> DataFrame:
+        tried = places.withColumn("_u", uniform(F.col("pid"), f"{seed}:month"))
         month, n_dates = F.lit(None).cast("int"), F.lit(None).cast("bigint")
         for row in months:
             here = (F.col("_u") >= row["share_low"]) & (F.col("_u") < row["share_high"])
             month = F.when(here, F.lit(row["month"])).otherwise(month)
             n_dates = F.when(here, F.lit(row["n_dates"]).cast("bigint")).otherwise(n_dates)
-        dated = (
+        return (
             tried.withColumn("month", month)
             .withColumn("_k", draw(F.col("pid"), f"{seed}:day") % n_dates)
             # Distinct days of the fires: the calendar bounds this table.
             .join(F.broadcast(month_dates(fires)), ["month", "_k"])
-            .select("pid", "lat", "lon", "date")
+            .select("pid", "lat", "lon", "cut", "date")
         )
-        return exclude_near(dated, fires, rules.min_km)
 
-    return _first(spark, wanted, rules.tries_per_point, accepted).withColumn("is_fire", F.lit(False))
+    return _first(fires, wanted, rules, box, seed, dated).withColumn("is_fire", F.lit(False))
 
 
 def random_windows(points: DataFrame, low: int = 1, high: int = 14, date: str = "date", pid: str = "pid", seed: int = 42) -> DataFrame:

@@ -132,8 +132,8 @@ def s7(spark, folder):
 @query(
     "s8_granule_renames",
     FILES
-    + """SELECT name, replace(name, '.A', '.AA') AS new_name FROM files WHERE regexp_matches(name, '\\.A[0-9]{7}\\.') AND name NOT LIKE '%.AA%'
-    AND replace(name, '.A', '.AA') NOT IN (SELECT name FROM files)""",
+    + """, renamed AS (SELECT name, replace(name, '.A', '.AA') AS new_name FROM files WHERE regexp_matches(name, '\\.A[0-9]{7}\\.') AND name NOT LIKE '%.AA%')
+    SELECT name, new_name FROM renamed ANTI JOIN (SELECT DISTINCT name AS new_name FROM files) USING (new_name)""",
 )
 def s8(spark, folder):
     return granules.normalise_names(file_listing(spark, folder))

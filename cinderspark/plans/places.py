@@ -15,26 +15,53 @@ BOXES_SQL = """tile_boxes(ord, tile, lon_min, lon_max, lat_min, lat_max) AS (VAL
 IN_BOX = "lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max"
 
 
-# The same draws as the engine's; far from fires is checked against fires in the 5 km cells around.
-NEGATIVE_SQL = (
-    """, ids AS (SELECT unnest(range({tries} * (SELECT count(*) FROM fires))) AS pid),
-    ext AS (SELECT min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e, min(date) AS d0, max(date) AS d1, count(*) AS n_fires FROM fires),
-    tried AS ({tried}),
-    fire_cells AS (SELECT lat, lon, CAST(floor(lat * 111 / 5) AS BIGINT) AS i, CAST(floor(lon * 111 / 5) AS BIGINT) AS j FROM fires),
+# Far from fires is checked against fires in the 5 km cells around.
+KEPT_SQL = """fire_cells AS (SELECT lat, lon, CAST(floor(lat * 111 / 5) AS BIGINT) AS i, CAST(floor(lon * 111 / 5) AS BIGINT) AS j FROM fires),
     around AS (SELECT pid, lat, lon, CAST(floor(lat * 111 / 5) AS BIGINT) + di AS i, CAST(floor(lon * 111 / 5) AS BIGINT) + dj AS j
       FROM tried, (VALUES (-1), (0), (1)) a(di), (VALUES (-1), (0), (1)) b(dj)),
     near AS (SELECT DISTINCT a.pid FROM around a JOIN fire_cells f USING (i, j)
       WHERE sqrt((a.lat - f.lat) * (a.lat - f.lat) + (a.lon - f.lon) * (a.lon - f.lon)) * 111 < 5),
-    kept AS (SELECT * FROM tried WHERE pid NOT IN (SELECT pid FROM near)),
-    negatives AS (SELECT pid, lat, lon, date, false AS is_fire FROM (SELECT *, row_number() OVER (ORDER BY pid) AS r FROM kept), ext WHERE r <= n_fires)
+    kept AS (SELECT * FROM tried ANTI JOIN near USING (pid))"""
+# The same draws as the engine's, from the eighths of 5 km cells that are not wholly within 5 km of a fire.
+NEGATIVE_SQL = (
+    """, ids AS (SELECT unnest(range({tries} * (SELECT count(*) FROM fires))) AS pid),
+    ext AS (SELECT min(date) AS d0, max(date) AS d1, count(*) AS n_fires FROM fires),
+    box AS ({box}),
+    grid AS (SELECT *, 5e0 / 111e0 AS r, greatest(1, CAST(ceil((n - s) / (5e0 / 111e0)) AS BIGINT)) AS ni, greatest(1, CAST(ceil((e - w) / (5e0 / 111e0)) AS BIGINT)) AS nj FROM box),
+    sides AS (SELECT *, (n - s) / (ni * 8) AS fi, (e - w) / (nj * 8) AS fj FROM grid),
+    marks AS (SELECT DISTINCT CAST(floor(lat / (r / 32)) AS BIGINT) AS a, CAST(floor(lon / (r / 32)) AS BIGINT) AS b FROM fires, sides),
+    fine AS (SELECT i, j, s + i * fi AS c_s, s + (i + 1) * fi AS c_n, w + j * fj AS c_w, w + (j + 1) * fj AS c_e
+      FROM sides, (SELECT unnest(range((SELECT ni * 8 FROM grid))) AS i), (SELECT unnest(range((SELECT nj * 8 FROM grid))) AS j)),
+    inside AS (SELECT DISTINCT c.i, c.j FROM
+      (SELECT fine.*, CAST(floor((c_s + c_n) / 2 / r) AS BIGINT) + di AS ti, CAST(floor((c_w + c_e) / 2 / r) AS BIGINT) + dj AS tj, r
+        FROM fine, sides, (VALUES (-1), (0), (1)) a(di), (VALUES (-1), (0), (1)) b(dj)) c
+      JOIN marks ON ti = a >> 5 AND tj = b >> 5
+      WHERE sqrt(pow(greatest(c_n - a * (r / 32), (a + 1) * (r / 32) - c_s), 2) + pow(greatest(c_e - b * (r / 32), (b + 1) * (r / 32) - c_w), 2)) < r - 1e-9),
+    free AS (SELECT i, j, row_number() OVER (ORDER BY (i // 8) * nj + j // 8,
+        (i >> 2 & 1) * 32 + (j >> 2 & 1) * 16 + (i >> 1 & 1) * 8 + (j >> 1 & 1) * 4 + (i & 1) * 2 + (j & 1)) - 1 AS k
+      FROM (SELECT i, j FROM fine ANTI JOIN inside USING (i, j)), grid),
+    drawn AS (SELECT pid, s + (i + {lat}) * fi AS lat, w + (j + {lon}) * fj AS lon
+      FROM (SELECT pid, CAST(floor({leaf} * (SELECT count(*) FROM free)) AS BIGINT) AS k FROM ids) JOIN free USING (k), sides),
+    tried AS ({tried}),
+    """
+    + KEPT_SQL
+    + """, negatives AS (SELECT pid, lat, lon, date, false AS is_fire FROM (SELECT *, row_number() OVER (ORDER BY pid) AS r FROM kept), ext WHERE r <= n_fires)
     """
 )
+REGION_SQL = "SELECT 28.7e0 AS s, 31.5e0 AS n, 77.5e0 AS w, 81e0 AS e"
+
+
+def negative_sql(tried: str, box: str = REGION_SQL) -> str:
+    places = {name: uniform_sql(f"42:{name}") for name in ("leaf", "lat", "lon")}
+    return NEGATIVE_SQL.format(tries=TRIES, tried=tried, box=box, **places)
+
+
 PLACE_SQL = f"28.7e0 + {uniform_sql('42:lat')} * (31.5e0 - 28.7e0) AS lat, 77.5e0 + {uniform_sql('42:lon')} * (81e0 - 77.5e0) AS lon"
 DAY_SQL = f"d0 + CAST({draw_sql('42:day')} % greatest(d1 - d0, 1) AS INTEGER) AS date"
 WINDOW_SQL = f"CAST(1 + {draw_sql('42:window')} % 14 AS INTEGER)"
 # Tries for each point that are enough on the test tables.
-TRIES = 200
-SPACE_SQL = fx.ctes("fires") + NEGATIVE_SQL.format(tries=TRIES, tried=f"SELECT pid, {PLACE_SQL}, {DAY_SQL} FROM ids, ext")
+TRIES = 20
+SPACE_SQL = fx.ctes("fires") + negative_sql(f"SELECT pid, lat, lon, {DAY_SQL} FROM drawn, ext")
 OUT_SQL = "SELECT pid, round(lat, 6) AS lat, round(lon, 6) AS lon, date, is_fire FROM negatives"
 
 
@@ -95,7 +122,12 @@ def j3(spark, folder):
     return rounded(spatial.nearest_km(others, fx.fires(spark, folder)))
 
 
-@query("j4_exclusion_radius", SPACE_SQL + "SELECT pid, round(lat, 6) AS lat, round(lon, 6) AS lon FROM kept WHERE pid < 10 * (SELECT count(*) FROM fires)")
+@query(
+    "j4_exclusion_radius",
+    fx.ctes("fires")
+    + f", tried AS (SELECT pid, {PLACE_SQL} FROM (SELECT unnest(range(10 * (SELECT count(*) FROM fires))) AS pid)), {KEPT_SQL}"
+    + "SELECT pid, round(lat, 6) AS lat, round(lon, 6) AS lon FROM kept",
+)
 def j4(spark, folder):
     fires = fx.fires(spark, folder)
     tried = sampling.candidates(spark, 0, 10 * fires.count(), REGION)
@@ -185,10 +217,9 @@ def n1(spark, folder):
 @query(
     "n2_negatives_space_and_dryness",
     fx.ctes("fires", "rain")
-    + NEGATIVE_SQL.format(
-        tries=TRIES,
-        tried=f"""SELECT t.pid, t.lat, t.lon, t.date FROM (SELECT *, {CELL_SQL} AS cell FROM (SELECT pid, {PLACE_SQL}, {DAY_SQL} FROM ids, ext)) t
-        LEFT JOIN rain r ON t.cell = r.cell AND t.date = r.day WHERE coalesce(r.mm, 0) < 10""",
+    + negative_sql(
+        f"""SELECT t.pid, t.lat, t.lon, t.date FROM (SELECT *, {CELL_SQL} AS cell FROM (SELECT pid, lat, lon, {DAY_SQL} FROM drawn, ext)) t
+        LEFT JOIN rain r ON t.cell = r.cell AND t.date = r.day WHERE coalesce(r.mm, 0) < 10"""
     )
     + OUT_SQL,
 )
@@ -215,11 +246,11 @@ def n3(spark, folder):
     + """, months AS (SELECT month, n_dates, (sum(n) OVER (ORDER BY month) - n) / sum(n) OVER () AS share_low, sum(n) OVER (ORDER BY month) / sum(n) OVER () AS share_high
       FROM (SELECT month(date) AS month, count(*) AS n, count(DISTINCT date) AS n_dates FROM fires GROUP BY 1)),
     month_dates AS (SELECT month(date) AS month, date, row_number() OVER (PARTITION BY month(date) ORDER BY date) - 1 AS k FROM (SELECT DISTINCT date FROM fires))"""
-    + NEGATIVE_SQL.format(
-        tries=TRIES,
-        tried=f"""SELECT i.pid, s + {uniform_sql('42:lat', 'i.pid')} * (n - s) AS lat, w + {uniform_sql('42:lon', 'i.pid')} * (e - w) AS lon, x.date
-        FROM ids i JOIN months m ON {uniform_sql('42:month', 'i.pid')} >= share_low AND {uniform_sql('42:month', 'i.pid')} < share_high
-        JOIN month_dates x ON x.month = m.month AND x.k = {draw_sql('42:day', 'i.pid')} % m.n_dates, ext""",
+    + negative_sql(
+        f"""SELECT i.pid, i.lat, i.lon, x.date
+        FROM drawn i JOIN months m ON {uniform_sql('42:month', 'i.pid')} >= share_low AND {uniform_sql('42:month', 'i.pid')} < share_high
+        JOIN month_dates x ON x.month = m.month AND x.k = {draw_sql('42:day', 'i.pid')} % m.n_dates""",
+        "SELECT min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM fires",
     )
     + OUT_SQL,
 )
