@@ -245,6 +245,79 @@ def _similar(pairs: DataFrame, sets: DataFrame, rules: NearDuplicates) -> DataFr
     return _beside(pairs, sets, s="set").mapInArrow(run, "a bigint, b bigint")
 
 
+def _joining(buckets: DataFrame, short: DataFrame, named: DataFrame, sets: DataFrame, scratch: Scratch, rules: NearDuplicates) -> DataFrame:
+    """Links (``a``, ``b``) that join what is left: all pairs of different ``label`` that share a ``key``.
+
+    A pair is looked at only in the first band it shares, and there with its full sets, in the task. Each task joins the
+    labels of its bucket as it finds links and passes over pairs that are joined already, so that it gives fewer
+    links than the bucket has members; no pair that could join two labels is left out. Buckets of over ``block`` members
+    are dealt out as pairs of blocks.
+    """
+    steps = least_matches(rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "group", 512):
+            group, key, classes, label, n, block = (table.column(c).to_numpy() for c in ("group", "key", "class", "label", "n_shingles", "block"))
+            inner = table.column("i").to_numpy() == table.column("j").to_numpy()
+            signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(group), -1)
+            bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(group), -1)
+            full = table.column("set")
+            edges = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+            for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                here = slice(begin, end)
+                meet = label[here, None] != label[None, here]
+                meet &= 100 * np.minimum(n[here, None], n[None, here]) >= rules.percent * np.maximum(n[here, None], n[None, here])
+                if not inner[begin]:
+                    meet &= block[here, None] != block[None, here]
+                i, j = np.nonzero(np.triu(meet, 1))
+                above: dict[int, int] = {}
+
+                def root(x: int, above: dict[int, int] = above) -> int:
+                    while x in above:
+                        x = above[x]
+                    return x
+
+                found = []
+                for k in range(0, len(i), 16_384):
+                    x, y = i[k : k + 16_384] + begin, j[k : k + 16_384] + begin
+                    first = (bands[x] == bands[y]).argmax(axis=1)
+                    mine = bands[x, first] == key[x]
+                    x, y = x[mine], y[mine]
+                    matches = np.zeros(len(x), np.int64)
+                    for upto, least in steps:
+                        part = slice(upto - rules.batch, upto)
+                        matches += (signatures[x, part] == signatures[y, part]).sum(1)
+                        alive = matches >= least
+                        x, y, matches = x[alive], y[alive], matches[alive]
+                    for a, b in zip(x.tolist(), y.tolist(), strict=True):
+                        one, other = root(int(label[a])), root(int(label[b]))
+                        if one == other:
+                            continue
+                        left, right = (np.frombuffer(full[r].as_py(), np.uint64) for r in (a, b))
+                        common = len(np.intersect1d(left, right, assume_unique=True))
+                        if 100 * common >= rules.percent * (len(left) + len(right) - common):
+                            above[one] = other
+                            found.append((min(classes[a], classes[b]), max(classes[a], classes[b])))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([f[side] for f in found], pa.int64()) for side in (0, 1)], names=["a", "b"])
+
+    large = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rules.block)
+    large = scratch.keep(large.select("key", F.ceil(F.col("n") / rules.block).cast("int").alias("blocks")), "large-last")
+    dealt = buckets.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class", "key"), F.col("blocks")).cast("int"))
+    paired = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
+        {"i": F.least("block", "_other"), "j": F.greatest("block", "_other")}
+    )
+    left = scratch.keep(buckets.select("class").distinct(), "left")
+    of_class = named.join(left, "class").groupBy("class").agg(F.first("bands").alias("bands"))
+    of_class = of_class.join(short.select("class", "signature"), "class").join(sets, "class")
+    grouped = paired.join(scratch.keep(of_class, "left-sets", rows=500), "class").select(
+        F.xxhash64("key", "i", "j").alias("group"), "key", "class", "label", "n_shingles", "block", "i", "j", "signature", "bands", "set"
+    )
+    tasks = tasks_of(buckets.sparkSession)
+    return grouped.repartition(tasks, "group").sortWithinPartitions("group", "key").mapInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id reachable over links) and ``kept`` (it is the doc_id).
 
@@ -272,9 +345,11 @@ def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -
 
     buckets, links = members.withColumn("label", F.col("class")), None
     for step in range(rules.stars + 1):
-        star = step if step < rules.stars else None
-        likely = scratch.keep(_likely(buckets, short, scratch, rules, star), f"pairs-{step}")
-        more = scratch.keep(_similar(likely, sets, rules), f"links-{step}", rows=500)
+        if step < rules.stars:
+            likely = scratch.keep(_likely(buckets, short, scratch, rules, step), f"pairs-{step}")
+            more = scratch.keep(_similar(likely, sets, rules), f"links-{step}", rows=500)
+        else:
+            more = scratch.keep(_joining(buckets, short, named, sets, scratch, rules), "links-last", rows=500)
         links = more if links is None else links.unionByName(more)
         labels = components(links, scratch, f"components-{step}")
         if step < rules.stars:
