@@ -11,6 +11,7 @@ records of each run as they stream by.
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,8 +30,8 @@ from cinderspark.llm.tokens import Encoder, default_tokenizer
 RUN_DOCS = 1 << 20
 # Parts a run is cut into, by the low digits of the A id.
 RADIX = 128
-# Pieces a worker remembers.
-MEMO_PIECES = 300_000
+# Pieces a worker remembers, twice; some 100 MB.
+MEMO_PIECES = 250_000
 
 
 @dataclass(frozen=True)
@@ -82,29 +83,30 @@ class SentenceEncoder:
         same = "a   ﬁ① é "
         self.splits = all(self.BLANK not in p.lstrip(self.BLANK) for p in pieces) and self.model.normalize(same) == (" " + same).replace(" ", self.BLANK)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.blank = np.array([self.model.piece_to_id(self.BLANK)], "<u4").tobytes()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, num_threads=1) if text else [], "<u4").tobytes()
 
-    def _part(self, part: str) -> bytes:
+    def _remember(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of those of ``parts`` that are not remembered, asked of the model together."""
+        if len(self.memo) >= MEMO_PIECES:
+            # What is in use comes back from the older half.
+            self.older, self.memo = self.memo, {}
+        self.memo.update({p: self.older[p] for p in parts - self.memo.keys() if p in self.older})
+        new = list(parts - self.memo.keys())
         # The model puts back the blank that is taken off here; of nothing it makes nothing.
-        ids = self._whole(part[1:]) if len(part) > 1 else self.blank
-        if len(part) <= 32:
-            if len(self.memo) >= MEMO_PIECES:
-                self.memo.clear()
-            self.memo[part] = ids
-        return ids
+        ids = self.model.encode([p[1:] for p in new], num_threads=1)
+        found = {p: array("I", i).tobytes() if len(p) > 1 else self.blank for p, i in zip(new, ids, strict=True)}
+        self.memo.update((p, i) for p, i in found.items() if len(p) <= 32)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get, make = self.memo.get, self._part
-
-        def ids(text: str) -> bytes:
-            if not text or not self.splits or self.BLANK in text:
-                return self._whole(text)
-            return b"".join([get(p) or make(p) for p in ONE_BLANK_RUN.findall(" " + text)])
-
-        return list(map(ids, texts))
+        cut = [ONE_BLANK_RUN.findall(" " + t) if t and self.splits and self.BLANK not in t else None for t in texts]
+        also = self._remember({p for parts in cut if parts for p in parts}).get
+        get = self.memo.get
+        return [self._whole(t) if parts is None else b"".join([get(p) or also(p) for p in parts]) for t, parts in zip(texts, cut, strict=True)]
 
 
 class Parts:
