@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderspark.llm.common import Scratch, byte_slices, tasks_of
-from cinderspark.llm.tokens import Encoder, default_tokenizer
+from cinderspark.llm.scanned import ScanEncoder
+from cinderspark.llm.tokens import default_tokenizer
 
 # Documents of a run, so that a record's place fits beside its pair in 64 bits.
 RUN_DOCS = 1 << 20
@@ -49,7 +50,7 @@ class Spill:
 ONE_BLANK_RUN = re.compile(r" +[^ ]*")
 
 
-class PlainEncoder(Encoder):
+class PlainEncoder(ScanEncoder):
     """Token ids where control strings are plain text."""
 
     def __init__(self, path: str):
