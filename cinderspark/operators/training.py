@@ -4,6 +4,7 @@ import warnings
 from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.errors import AnalysisException, IllegalArgumentException, SparkRuntimeException
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Model
@@ -22,6 +23,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationS
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderspark.operators import forests
 from cinderspark.operators.evaluation import classification_metrics, roc_auc
 from cinderspark.operators.sampling import stratified_folds
 from cinderspark.params import DEFAULT_SELECTION
@@ -85,6 +87,15 @@ def cross_validated_accuracy(df: DataFrame, estimator, label: str = "target", fo
     return float(model.avgMetrics[0]), float(model.stdMetrics[0])
 
 
+def cross_validated_forest(
+    df: DataFrame, features: list[str], label: str = "target", folds: int = 5, pid: str = "pid", trees: int = 200, max_depth: int = 20, min_leaf: int = 2, seed: int = 42
+) -> tuple[float, float]:
+    """As ``cross_validated_accuracy`` for the forest of ``random_forest``, the forests of all folds grown together."""
+    growth = forests.Growth(trees=trees, max_depth=max_depth, min_leaf=min_leaf, bins=128)
+    scores = forests.cross_validated(df, features, label, folds, pid, seed, growth)
+    return float(np.mean(scores)), float(np.std(scores))
+
+
 def evaluate(model: Model, df: DataFrame, label: str = "target") -> dict[str, float]:
     """Accuracy, precision, recall, F1 and AUC."""
     scored = predictions(model.transform(df), label)

@@ -186,8 +186,11 @@ SELECTION = selection.Selection()
 
 @query("m3_recursive_elimination")
 def m3(spark, folder):
+    """Elimination among the features that rank highest by mutual information."""
     rows = training_rows(spark, folder)
-    found = selection.recursive_elimination(rows, FEATURES, "target", SELECTION)
+    scores = information.mutual_information(rows, FEATURES, "target", seed=SELECTION.seed)
+    ranked = [r["feature"] for r in information.top_features(scores, SELECTION.k).collect()]
+    found = selection.recursive_elimination(rows, ranked, "target", SELECTION)
     out = [(size, float(a), size == len(found["selected"])) for size, a in found["accuracy_by_size"].items()]
     return spark.createDataFrame(out, "n_features int, accuracy double, best boolean")
 
@@ -253,7 +256,7 @@ def m10(spark, folder):
 @query("m11_cross_validated_accuracy")
 def m11(spark, folder):
     train, _, _ = scaled_sides(training_rows(spark, folder), MODEL_FEATURES)
-    mean, std = training.cross_validated_accuracy(train, training.random_forest(), folds=5)
+    mean, std = training.cross_validated_forest(train, MODEL_FEATURES)
     return spark.createDataFrame([(mean, std)], "cv_accuracy_mean double, cv_accuracy_std double")
 
 

@@ -104,8 +104,9 @@ FITS = {
     "m6_evaluate_selection": (selection, "evaluate_selection"),
     "m10_model_search": (training, "search"),
     "m12_leaderboard": (training, "search"),
+    "m11_cross_validated_accuracy": (training, "cross_validated_forest"),
     **dict.fromkeys(
-        ["m9_random_forest", "e7_model_importances", "m11_cross_validated_accuracy", "m13_predict", "m14_save_load_model", "q1_score_requests", "q2_score_request_stream"],
+        ["m9_random_forest", "e7_model_importances", "m13_predict", "m14_save_load_model", "q1_score_requests", "q2_score_request_stream"],
         (training, "random_forest"),
     ),
 }
@@ -122,12 +123,17 @@ def test_registered_queries_use_all_features_and_defaults(spark, monkeypatch, na
     monkeypatch.setattr(models, "training_rows", MagicMock())
     monkeypatch.setattr(models, "scaled_sides", lambda *_: (MagicMock(), MagicMock(), MagicMock()))
     monkeypatch.setattr(models.splits, "temporal_split", MagicMock())
+    monkeypatch.setattr(models.information, "mutual_information", MagicMock())
+    ranked = [{"feature": f} for f in FEATURES[5:] + FEATURES[:5]]
+    monkeypatch.setattr(models.information, "top_features", lambda _, k: MagicMock(collect=lambda: ranked if k == 12 else None))
     monkeypatch.setattr(*FITS[name], stop)
     with pytest.raises(Reached) as reached:
         QUERIES[name](spark, FOLDER)
     args, named = reached.value.args
     if FITS[name][1] == "random_forest":
         assert (args, named) == ((), {})
+    elif name == "m3_recursive_elimination":
+        assert args[1] == FEATURES[5:] + FEATURES[:5] and args[2:] == ("target", selection.Selection()) and not named
     else:
         assert args[1] == FEATURES and named.get("s", training.Search()) == training.Search()
         assert [a for a in args if isinstance(a, selection.Selection)] == [selection.Selection()] * (FITS[name][0] is selection)
