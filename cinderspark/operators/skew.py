@@ -76,17 +76,18 @@ def running_totals(
     by: list[str] | None = None,
     ties: list[str] | None = None,
     splits: list[float] | None = None,
+    placed: bool = False,
 ) -> DataFrame:
     """Add, for each ``{out: in}`` of ``sums``, the running sum of ``in`` in rising ``order``.
 
     The order is global (per ``by``), yet no task sees more than one value range: sums run inside
     ranges, and each range starts from the total of the ranges before it. The table of range totals has
     one row per range and ``by`` key; ``by`` must have few values (a label, a feature name).
-    ``order`` with ``ties`` must be a total order.
+    ``order`` with ``ties`` must be a total order. ``placed`` says that ``_bucket`` is there already, rising with
+    ``order`` for each ``by`` key, so that keys can have ranges of their own.
     """
     by, ties = by or [], ties or []
-    splits = splits or range_splits(df, order, default_buckets(df))
-    bucketed = with_bucket(df, order, splits)
+    bucketed = df if placed else with_bucket(df, order, splits or range_splits(df, order, default_buckets(df)))
     totals = bucketed.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{out}") for out, c in sums.items()])
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
