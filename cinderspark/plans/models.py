@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cinderspark.functions.values import temperature_k
 from cinderspark.operators import bands as band_ops
-from cinderspark.operators import clean, evaluation, information, matrix, scoring, selection, splits, training
+from cinderspark.operators import chain, clean, evaluation, information, matrix, scoring, selection, splits, training
 from cinderspark.operators.skew import lookup
 from cinderspark.params import FEATURES
 from cinderspark.plans import fixtures as fx
@@ -287,6 +287,30 @@ def m14(spark, folder):
     return training.predict(rows, loaded, stored, features, ["pid"])
 
 
+def raw_rows(spark, folder):
+    """The matrix with the label of ``training_rows`` and its gaps, written once and read back."""
+    path = scratch(spark, "matrix")
+    made = full_matrix(spark, folder)
+    label = (F.coalesce("prec_mean", F.lit(0.0)) * 2 - F.coalesce("ndvi_mean", F.lit(0.0)) * 10 + F.col("pid") % 7 > 12).cast("int")
+    made.select("pid", "lat", "lon", "date", *FEATURES, label.alias("target")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("m16_train_chain")
+def m16(spark, folder):
+    """From the matrix to a measured model in one call, selection by vote included."""
+    found = chain.train(raw_rows(spark, folder), p=SELECTION)
+    return spark.createDataFrame([(k, float(v)) for k, v in found.results.items()], "metric string, value double")
+
+
+@query("m17_evaluate_saved_model")
+def m17(spark, folder):
+    """Confusion of a saved model on the rows after the split."""
+    rows, path = raw_rows(spark, folder), scratch(spark, "saved")
+    chain.train(rows, p=None, path=path)
+    return rounded(chain.evaluate_saved(rows, path).confusion)
+
+
 @query(
     "m15_resolve_spec",
     FEATURE_SQL + "SELECT pid, ndvi_max, prec_mean, prec_max, prec_sum, elevation, ndvi_median, evi_max, ndvi_mean, evi_median FROM features WHERE " + NULLS_SQL + " <= 12",
