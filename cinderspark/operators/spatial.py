@@ -1,26 +1,25 @@
 """Joins by place: raster samples, exclusion radius, nearest target, tile coverage."""
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cinderspark.functions.grid import KM_PER_DEGREE, matching_boxes, planar_km
+from cinderspark.functions.grid import KM_PER_DEGREE, matching_boxes
+from cinderspark.operators.boxtree import BoxTree
 from cinderspark.operators.skew import lookup
 from cinderspark.session import cut_lineage
 
-# Each level of a place index splits a cell into FAN x FAN cells.
-FAN_BITS = 3
-FAN = 1 << FAN_BITS
-
-# Distinct targets that one finest cell may hold before the index gets one level deeper.
-CELL_LIMIT = 64
-MAX_LEVELS = 9
-
-# Slack (degrees) that keeps rounding from deciding a cell test; exact tests follow.
-SLACK = 1e-9
+# Places of a leaf of the place index, most leaves (they are sent to every task), and points of a leaf searched at once.
+LEAF_PLACES = 4096
+MAX_LEAVES = 4096
+CHUNK = 50_000
+CURVE_BITS = 24
 
 
 def sample_cells(points: DataFrame, cells: DataFrame, on: list[str], values: list[str]) -> DataFrame:
@@ -28,203 +27,168 @@ def sample_cells(points: DataFrame, cells: DataFrame, on: list[str], values: lis
     return lookup(points, cells.select(*on, *values), on)
 
 
-def _places(targets: DataFrame, lat: str, lon: str) -> DataFrame:
-    """The distinct places of targets, written once for all that is asked of them."""
-    return cut_lineage(targets.select(F.col(lat).alias("_tlat"), F.col(lon).alias("_tlon")).distinct())
-
-
-def _index(places: DataFrame, south: float, west: float, side: float, levels: int) -> DataFrame:
-    """Places with their finest cell (_i, _j); a coarser cell is the same numbers shifted."""
-    finest = side / FAN**levels
-    return places.withColumns(
-        {
-            "_i": F.floor((F.col("_tlat") - F.lit(south)) / F.lit(finest)).cast("bigint"),
-            "_j": F.floor((F.col("_tlon") - F.lit(west)) / F.lit(finest)).cast("bigint"),
-        }
-    )
-
-
-def _levels_needed(places: DataFrame, south: float, west: float, side: float, limit: int) -> int:
-    """Smallest depth at which no finest cell holds more than ``limit`` places: counted at the greatest depth and
-    summed upwards, in one job."""
-    deepest = _index(places, south, west, side, MAX_LEVELS).groupBy("_i", "_j").agg(F.count(F.lit(1)).alias("n"))
-    up = [
-        F.struct(F.lit(d).alias("depth"), F.shiftright("_i", FAN_BITS * (MAX_LEVELS - d)).alias("i"), F.shiftright("_j", FAN_BITS * (MAX_LEVELS - d)).alias("j"))
-        for d in range(1, MAX_LEVELS + 1)
-    ]
-    cells = deepest.select("n", F.inline(F.array(*up))).groupBy("depth", "i", "j").agg(F.sum("n").alias("n"))
-    # One row for each depth.
-    fullest = {row["depth"]: row["n"] for row in cells.groupBy("depth").agg(F.max("n").alias("n")).collect()}
-    return next((d for d in range(1, MAX_LEVELS) if fullest.get(d, 0) <= limit), MAX_LEVELS)
-
-
-def _children(index: DataFrame, level: int, levels: int) -> DataFrame:
-    """Occupied cells one level down, as an array of at most FAN * FAN per cell of ``level``."""
-    down = FAN_BITS * (levels - level - 1)
-    child = index.select(F.shiftright("_i", down).alias("_ci"), F.shiftright("_j", down).alias("_cj")).distinct()
-    return (
-        child.withColumns({"_i": F.shiftright("_ci", FAN_BITS), "_j": F.shiftright("_cj", FAN_BITS)})
-        .groupBy("_i", "_j")
-        .agg(F.collect_list(F.struct(F.col("_ci").alias("i"), F.col("_cj").alias("j"))).alias("_kids"))
-    )
-
-
-def _box_distances(cell: Column, lat: Column, lon: Column, south: float, west: float, side: float) -> tuple[Column, Column]:
-    """(nearest, farthest) distance in degrees from a place to a cell, with slack."""
-    def gaps(x: Column, low: Column) -> tuple[Column, Column]:
-        high = low + F.lit(side)
-        return F.greatest(low - x, x - high, F.lit(0.0)), F.greatest(F.abs(x - low), F.abs(high - x))
-
-    near_i, far_i = gaps(lat, F.lit(south) + cell["i"] * F.lit(side))
-    near_j, far_j = gaps(lon, F.lit(west) + cell["j"] * F.lit(side))
-    near = F.sqrt(near_i * near_i + near_j * near_j) - F.lit(SLACK)
-    far = F.sqrt(far_i * far_i + far_j * far_j) + F.lit(SLACK)
-    return near, far
-
-
-def bound_to(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once per row, also where lambdas refer to it."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _measured(kids: Column, lat: Column, lon: Column, south: float, west: float, side: float) -> Column:
-    def measure(cell: Column) -> Column:
-        near, far = _box_distances(cell, lat, lon, south, west, side)
-        return F.struct(cell["i"].alias("i"), cell["j"].alias("j"), near.alias("near"), far.alias("far"))
-
-    return F.transform(kids, measure)
+def _ordered(lat: np.ndarray, lon: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
+    """Number of each place along a curve through a box, halving it by turns."""
+    code = np.zeros(len(lat), np.int64)
+    for shift, values, low, high in ((1, lat, box[0], box[2]), (0, lon, box[1], box[3])):
+        cells = np.clip((values - low) / max(high - low, 1e-9) * (1 << CURVE_BITS), 0, (1 << CURVE_BITS) - 1).astype(np.int64)
+        for bit in range(CURVE_BITS):
+            code |= ((cells >> bit) & 1) << (2 * bit + shift)
+    return code
+
+
+@dataclass(frozen=True)
+class PlaceIndex:
+    """The distinct places of targets in ranges of a curve: ``places`` (_leaf, _tlat, _tlon), written once, and the ``boxes``
+    around the ranges (south, west, north, east), at most ``MAX_LEAVES`` rows."""
+
+    places: DataFrame
+    boxes: np.ndarray
+
+
+def place_index(targets: DataFrame, lat: str = "lat", lon: str = "lon", limit: int = LEAF_PLACES) -> PlaceIndex | None:
+    """Index of the targets' places, or nothing if no target has one. A leaf holds about ``limit`` places, or one in
+    ``MAX_LEAVES`` of them all where that is more."""
+    named = targets.select(F.col(lat).cast("double").alias("_tlat"), F.col(lon).cast("double").alias("_tlon"))
+    somewhere = F.col("_tlat") + F.col("_tlon")
+    places = cut_lineage(named.where(somewhere.isNotNull() & ~F.isnan(somewhere)).distinct())
+    n, *box = places.agg(F.count(F.lit(1)), F.min("_tlat"), F.min("_tlon"), F.max("_tlat"), F.max("_tlon")).first()
+    if not n:
+        return None
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = _ordered(batch.column("_tlat").to_numpy(), batch.column("_tlon").to_numpy(), tuple(box))
+            yield pa.RecordBatch.from_arrays([pa.array(code), *batch.columns], names=["_code", "_tlat", "_tlon"])
+
+    on_curve = places.mapInArrow(coded, "_code bigint, _tlat double, _tlon double")
+    leaves = max(1, min(MAX_LEAVES, math.ceil(n / limit)))
+    cuts = sorted(set(on_curve.approxQuantile("_code", [i / leaves for i in range(1, leaves)], 0.1 / leaves))) if leaves > 1 else []
+    edges = np.array(cuts, np.float64).astype(np.int64)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = np.searchsorted(edges, batch.column("_code").to_numpy(), side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns[1:]], names=["_leaf", "_tlat", "_tlon"])
+
+    laid = cut_lineage(on_curve.mapInArrow(placed, "_leaf int, _tlat double, _tlon double"))
+    # At most MAX_LEAVES rows.
+    hulls = laid.groupBy("_leaf").agg(F.min("_tlat"), F.min("_tlon"), F.max("_tlat"), F.max("_tlon")).collect()
+    boxes = np.full((leaves, 4), np.inf)
+    for hull in hulls:
+        boxes[hull[0]] = hull[1:]
+    return PlaceIndex(laid, boxes)
+
+
+def _searched(points: DataFrame, index: PlaceIndex, radius: float | None, search: Callable, schema: str, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that ``search(ids, lat, lon, tree)`` gives for the points of a leaf that needs to be looked into, and the rows
+    (_id, _lat, _lon) that need no look: settled by a whole box or, without a radius, without a place.
+
+    Points are dealt to the leaves that can matter to them. Leaves with more than ``chunk`` points are split, each part
+    with a copy of the leaf's places, so that no leaf, hot place or id makes a large task.
+    """
+    kept = np.flatnonzero(np.isfinite(index.boxes[:, 0]))
+    boxes = index.boxes[kept]
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, row = BoxTree(boxes), 0
+        for batch in batches:
+            lat, lon = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_lat", "_lon"))
+            for place, item, settled in tree.candidates(lat, lon, radius):
+                if radius is None:
+                    settled = np.array([], np.int64)
+                take = np.concatenate([place, settled])
+                leaf = np.concatenate([kept[item], np.full(len(settled), -1)]).astype(np.int32)
+                part = batch.take(pa.array(take))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaf), pa.array(np.arange(row, row + len(take)))], names=[*part.schema.names, "_leaf", "_row"])
+                row += len(take)
+            if radius is None and (missing := np.flatnonzero(np.isnan(lat + lon))).size:
+                part = batch.take(pa.array(missing))
+                leaf, zero = pa.array(np.full(len(missing), -1, np.int32)), pa.array(np.zeros(len(missing), np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns, leaf, zero], names=[*part.schema.names, "_leaf", "_row"])
+
+    kind = points.schema["_id"].dataType.simpleString()
+    dealt = cut_lineage(points.mapInArrow(asked, f"_id {kind}, _lat double, _lon double, _leaf int, _row bigint"))
+    inside, outside = dealt.where("_leaf >= 0"), dealt.where("_leaf < 0").select("_id", "_lat", "_lon")
+    # Leaves: at most MAX_LEAVES rows.
+    parts = F.broadcast(inside.groupBy("_leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("_parts")))
+    split = inside.join(parts, "_leaf").withColumn("_part", F.pmod("_row", "_parts").cast("int"))
+    copied = index.places.join(parts, "_leaf").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+
+    def within(left: pa.Table, right: pa.Table) -> pa.Table:
+        y, x = (right.column(c).to_numpy() for c in ("_tlat", "_tlon"))
+        lat, lon = (left.column(c).to_numpy() for c in ("_lat", "_lon"))
+        return search(left.column("_id"), lat, lon, BoxTree(np.column_stack([y, x, y, x])))
+
+    grouped = split.select("_leaf", "_part", "_id", "_lat", "_lon").groupBy("_leaf", "_part")
+    found = grouped.cogroup(copied.select("_leaf", "_part", "_tlat", "_tlon").groupBy("_leaf", "_part")).applyInArrow(within, schema.format(kind=kind))
+    return found, outside
+
+
+def _kilometres(lat: np.ndarray, lon: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    dlat, dlon = lat - boxes[:, 0], lon - boxes[:, 1]
+    return np.sqrt(dlat * dlat + dlon * dlon) * KM_PER_DEGREE
+
+
+def _asking(points: DataFrame, pid: str, lat: str, lon: str) -> DataFrame:
+    return points.select(F.col(pid).alias("_id"), F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"))
 
 
 def near_ids(
-    points: DataFrame, targets: DataFrame, km: float, pid: str = "pid", lat: str = "lat", lon: str = "lon", limit: int = CELL_LIMIT
+    points: DataFrame, targets: DataFrame, km: float, pid: str = "pid", lat: str = "lat", lon: str = "lon", limit: int = LEAF_PLACES, chunk: int = CHUNK
 ) -> DataFrame:
     """Distinct ids of points closer than ``km`` (planar) to any target.
 
-    Two places in one cell whose diagonal is shorter than ``km`` are near, which settles points among
-    many targets by one key. For the others, cells of side ``km`` are split level by level. A point with a cell wholly inside its radius is
-    decided without a look at the targets in it; cells wholly outside are dropped; only targets of
-    finest cells cut by the radius are compared, and such a cell holds few. The work per point is thus
-    bounded however many targets share a place.
+    Points with a whole leaf of targets inside their radius are settled by the boxes of the leaves; the others go, in one
+    shuffle, to the leaves that their radius cuts, and are searched there by a tree. Points and targets without a
+    place are near nothing.
     """
+    asking = _asking(points, pid, lat, lon)
+    index = place_index(targets, lat, lon, limit)
+    if index is None:
+        return asking.limit(0).select(F.col("_id").alias(pid))
     radius = km / KM_PER_DEGREE
-    places = _places(targets, lat, lon)
-    levels = _levels_needed(places, 0.0, 0.0, radius, limit)
-    index = _index(places, 0.0, 0.0, radius, levels)
-    finest = radius / FAN**levels
-    ring = F.sequence(F.lit(-1), F.lit(1))
-    small = radius / math.sqrt(2.0) * (1 - 1e-6)
-    shared = index.select(
-        F.floor(F.col("_tlat") / F.lit(small)).alias("_si"), F.floor(F.col("_tlon") / F.lit(small)).alias("_sj"), F.lit(True).alias("_hit")
-    ).distinct()
-    everywhere = points.select(F.col(pid).alias("_id"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).withColumns(
-        {"_si": F.floor(F.col("_lat") / F.lit(small)), "_sj": F.floor(F.col("_lon") / F.lit(small))}
-    )
-    marked = cut_lineage(lookup(everywhere, shared, ["_si", "_sj"]))
-    decided = marked.where("_hit").select("_id")
-    place = marked.where("_hit IS NULL").drop("_si", "_sj", "_hit").withColumns(
-        {
-            "_i0": F.shiftright(F.floor(F.col("_lat") / F.lit(finest)).cast("bigint"), FAN_BITS * levels),
-            "_j0": F.shiftright(F.floor(F.col("_lon") / F.lit(finest)).cast("bigint"), FAN_BITS * levels),
-        }
-    )
-    pairs = (
-        place.withColumn("_di", F.explode(ring))
-        .withColumn("_dj", F.explode(ring))
-        .select("_id", "_lat", "_lon", (F.col("_i0") + F.col("_di")).alias("_i"), (F.col("_j0") + F.col("_dj")).alias("_j"))
-    )
-    for level in range(levels):
-        side = radius / FAN ** (level + 1)
-        children = _children(index, level, levels)
-
-        def reach(cell: Column) -> tuple[Column, Column]:
-            return _box_distances(cell, F.col("_lat"), F.col("_lon"), 0.0, 0.0, side)
-
-        inside = F.exists("_kids", lambda k: reach(k)[1] < radius)
-        found = cut_lineage(lookup(pairs, children, ["_i", "_j"], "inner").where(inside).select("_id").distinct())
-        decided = decided.unionByName(found)
-        open_pairs = lookup(pairs.join(found, "_id", "left_anti"), children, ["_i", "_j"], "inner")
-        cut = F.filter("_kids", lambda k: reach(k)[0] < radius)
-        pairs = (
-            open_pairs.select("_id", "_lat", "_lon", F.explode(cut).alias("_k"))
-            .select("_id", "_lat", "_lon", F.col("_k.i").alias("_i"), F.col("_k.j").alias("_j"))
-        )
-        if level + 1 < levels:
-            pairs = cut_lineage(pairs)
-    distance = planar_km(F.col("_lat"), F.col("_lon"), F.col("_tlat"), F.col("_tlon"))
-    exact = lookup(pairs, index, ["_i", "_j"], "inner").where(distance < km).select("_id")
-    return decided.unionByName(exact).distinct().withColumnRenamed("_id", pid)
-
-
-def exclude_near(points: DataFrame, targets: DataFrame, km: float, pid: str = "pid", lat: str = "lat", lon: str = "lon", limit: int = CELL_LIMIT) -> DataFrame:
+
+    def search(ids: pa.ChunkedArray, y: np.ndarray, x: np.ndarray, tree: BoxTree) -> pa.Table:
+        hit = np.zeros(len(ids), bool)
+        for place, item, settled in tree.candidates(y, x, radius):
+            hit[settled] = True
+            hit[place[_kilometres(y[place], x[place], tree.boxes[item]) < km]] = True
+        return pa.table({"_id": ids.filter(pa.array(hit))})
+
+    found, settled = _searched(asking, index, radius, search, "_id {kind}", chunk)
+    return found.unionByName(settled.select("_id")).distinct().withColumnRenamed("_id", pid)
+
+
+def exclude_near(
+    points: DataFrame, targets: DataFrame, km: float, pid: str = "pid", lat: str = "lat", lon: str = "lon", limit: int = LEAF_PLACES, chunk: int = CHUNK
+) -> DataFrame:
     """Points that are at least ``km`` from every target."""
-    return points.join(near_ids(points, targets, km, pid, lat, lon, limit), pid, "left_anti")
+    return points.join(near_ids(points, targets, km, pid, lat, lon, limit, chunk), pid, "left_anti")
 
 
-def nearest_km(points: DataFrame, targets: DataFrame, pid: str = "pid", lat: str = "lat", lon: str = "lon", limit: int = CELL_LIMIT) -> DataFrame:
-    """(pid, nearest_km): exact planar distance to the nearest target.
+def nearest_km(
+    points: DataFrame, targets: DataFrame, pid: str = "pid", lat: str = "lat", lon: str = "lon", limit: int = LEAF_PLACES, chunk: int = CHUNK
+) -> DataFrame:
+    """(pid, nearest_km): exact planar distance to the nearest target; NULL without a target or a place.
 
-    Points with a target in the ring of finest cells around them, nearer than a cell side, are settled at
-    once. For the others the targets' extent is split level by level; a point keeps the cells that can
-    still hold its nearest target, judged by the best farthest-corner distance so far, and compares itself
-    with the targets of the finest ones only.
+    The boxes of the leaves bound each point's distance; it goes, in one shuffle, to the leaves that can hold its
+    nearest target and is searched there by a tree.
     """
-    places = _places(targets, lat, lon)
-    box = places.agg(F.min("_tlat"), F.max("_tlat"), F.min("_tlon"), F.max("_tlon")).first()
-    if box[0] is None:
+    asking = _asking(points, pid, lat, lon)
+    index = place_index(targets, lat, lon, limit)
+    if index is None:
         return points.select(F.col(pid), F.lit(None).cast("double").alias("nearest_km"))
-    south, west = box[0], box[2]
-    side = max(box[1] - south, box[3] - west, 1e-6) * (1 + 1e-9)
-    levels = _levels_needed(places, south, west, side, limit)
-    index = _index(places, south, west, side, levels)
-    place = points.select(F.col(pid).alias("_id"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
-    distance = planar_km(F.col("_lat"), F.col("_lon"), F.col("_tlat"), F.col("_tlon"))
-    finest = side / FAN**levels
-    ring = F.sequence(F.lit(-1), F.lit(1))
-    around = (
-        place.withColumn("_di", F.explode(ring))
-        .withColumn("_dj", F.explode(ring))
-        .select(
-            "_id", "_lat", "_lon",
-            (F.floor((F.col("_lat") - F.lit(south)) / F.lit(finest)).cast("bigint") + F.col("_di")).alias("_i"),
-            (F.floor((F.col("_lon") - F.lit(west)) / F.lit(finest)).cast("bigint") + F.col("_dj")).alias("_j"),
-        )
-    )
-    # A target nearer than one cell side cannot be outside the ring of cells around a point.
-    settled = cut_lineage(
-        lookup(around, index, ["_i", "_j"], "inner")
-        .groupBy("_id")
-        .agg(F.min(distance).alias("nearest_km"))
-        .where(F.col("nearest_km") < (finest - SLACK) * KM_PER_DEGREE)
-    )
-    root = [F.lit(0).cast("bigint").alias("_i"), F.lit(0).cast("bigint").alias("_j")]
-    pairs = place.join(settled, "_id", "left_anti").select("_id", "_lat", "_lon", *root)
-    mine = Window.partitionBy("_id")
-    for level in range(levels):
-        step = side / FAN ** (level + 1)
-        kids = _measured(F.col("_kids"), F.col("_lat"), F.col("_lon"), south, west, step)
-        children = _children(index, level, levels)
-
-        def closest(measured: Column, bound: Column) -> Column:
-            return bound_to(bound, lambda b: F.filter(measured, lambda k: k["near"] <= b))
-
-        if level == 0:
-            # The root is one cell with at most FAN * FAN children, so this table is one small row.
-            met = pairs.join(F.broadcast(children), ["_i", "_j"])
-            kept = met.withColumn("_kept", bound_to(kids, lambda m: closest(m, F.array_min(m["far"]))))
-        else:
-            met = lookup(pairs, children, ["_i", "_j"], "inner").withColumn("_kids", kids)
-            reach = met.withColumn("_reach", F.array_min(F.col("_kids")["far"]))
-            kept = reach.withColumn("_bound", F.min("_reach").over(mine)).withColumn(
-                "_kept", closest(F.col("_kids"), F.col("_bound"))
-            )
-        pairs = (
-            kept.select("_id", "_lat", "_lon", F.explode("_kept").alias("_k"))
-            .select("_id", "_lat", "_lon", F.col("_k.i").alias("_i"), F.col("_k.j").alias("_j"))
-        )
-        if level + 1 < levels:
-            pairs = cut_lineage(pairs)
-    rest = lookup(pairs, index, ["_i", "_j"], "inner").groupBy("_id").agg(F.min(distance).alias("nearest_km"))
-    return settled.unionByName(rest).withColumnRenamed("_id", pid)
+
+    def search(ids: pa.ChunkedArray, y: np.ndarray, x: np.ndarray, tree: BoxTree) -> pa.Table:
+        least = np.full(len(ids), np.inf)
+        for place, item, _ in tree.candidates(y, x):
+            np.minimum.at(least, place, _kilometres(y[place], x[place], tree.boxes[item]))
+        return pa.table({"_id": ids, "nearest_km": least})
+
+    found, placeless = _searched(asking, index, None, search, "_id {kind}, nearest_km double", chunk)
+    every = found.unionByName(placeless.select("_id", F.lit(None).cast("double").alias("nearest_km")))
+    return every.groupBy("_id").agg(F.min("nearest_km").alias("nearest_km")).withColumnRenamed("_id", pid)
 
 
 def tile_memberships(points: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:

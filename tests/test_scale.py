@@ -1,12 +1,11 @@
 """The paths that only large or skewed data take give the same results as the plain ones."""
 
-from functools import partial
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cinderspark.operators import evaluation, information, quantiles, sampling, skew, spatial, terrain
+from cinderspark.operators.boxtree import BoxTree
 
 
 def test_lookup_splits_hot_keys(spark):
@@ -56,7 +55,7 @@ def _clustered(rng, n, hot):
 
 
 @pytest.mark.parametrize("limit", [64, 4])
-def test_near_and_nearest_match_brute_force(spark, limit, monkeypatch):
+def test_near_and_nearest_match_brute_force(spark, limit):
     rng = np.random.default_rng(5)
     fires, points = _clustered(rng, 300, 0.4), _clustered(rng, 500, 0.3)
     points[-1] = [10.0, 10.0]
@@ -66,13 +65,50 @@ def test_near_and_nearest_match_brute_force(spark, limit, monkeypatch):
     f = spark.createDataFrame([(float(a), float(b)) for a, b in fires], "lat double, lon double")
     near = {r["pid"] for r in spatial.near_ids(p, f, 5.0, limit=limit).collect()}
     assert near == set(np.flatnonzero((distance < 5).any(1)))
-    monkeypatch.setattr(spatial, "lookup", partial(skew.lookup, rows_per_salt=20))
-    assert {r["pid"] for r in spatial.near_ids(p, f, 5.0, limit=limit).collect()} == near
+    assert {r["pid"] for r in spatial.near_ids(p, f, 5.0, limit=limit, chunk=7).collect()} == near
     kept = {r["pid"] for r in spatial.exclude_near(p, f, 5.0, limit=limit).collect()}
     assert kept == set(range(500)) - near
     got = spatial.nearest_km(p, f, limit=limit).toPandas().set_index("pid")["nearest_km"]
     assert len(got) == 500
     np.testing.assert_allclose(got.sort_index().to_numpy(), distance.min(1), rtol=0, atol=1e-9)
+    split = spatial.nearest_km(p, f, limit=limit, chunk=7).toPandas().set_index("pid")["nearest_km"]
+    assert split.sort_index().tolist() == got.sort_index().tolist()
+
+
+def test_hot_place_and_places_that_are_missing(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "MAX_LEAVES", 3)
+    nan = float("nan")
+    p = spark.createDataFrame([(i % 50, 29.0, 79.0) for i in range(300)] + [(90, None, 79.0), (91, nan, 79.0), (92, 30.0, 80.0)], "pid long, lat double, lon double")
+    f = spark.createDataFrame([(29.0 + i / 1e4, 79.0) for i in range(200)] * 2 + [(None, 1.0), (nan, 2.0)], "lat double, lon double")
+    index = spatial.place_index(f, limit=16)
+    assert index.places.count() == 200 and len(index.boxes) == 3
+    got = {r["pid"]: r["nearest_km"] for r in spatial.nearest_km(p, f, limit=16, chunk=20).collect()}
+    assert len(got) == 53 and got[90] is None and got[91] is None
+    assert [got[i] for i in range(50)] == [0.0] * 50 and got[92] == pytest.approx(np.hypot(30 - 29.0199, 1) * 111)
+    assert {r["pid"] for r in spatial.near_ids(p, f, 5.0, limit=16, chunk=20).collect()} == set(range(50))
+    assert spatial.exclude_near(p, f, 5.0, limit=16, chunk=20).count() == 3
+
+
+@pytest.mark.parametrize("n", [1, 16, 17, 500])
+def test_box_tree_finds_every_candidate(n):
+    rng = np.random.default_rng(n)
+    low = rng.uniform(0, 10, (n, 2))
+    boxes = np.column_stack([low, low + rng.uniform(0, 1, (n, 2)) * (rng.random((n, 1)) < 0.5)])
+    y, x = rng.uniform(-2, 12, (2, 300))
+    gaps = [np.maximum(np.maximum(boxes[:, k] - v[:, None], v[:, None] - boxes[:, k + 2]), 0) for k, v in ((0, y), (1, x))]
+    far = np.hypot(*[np.maximum(np.abs(v[:, None] - boxes[:, k]), np.abs(v[:, None] - boxes[:, k + 2])) for k, v in ((0, y), (1, x))])
+    near = np.hypot(*gaps)
+    tree = BoxTree(boxes)
+    nearest = {(a, b) for place, item, _ in tree.candidates(y, x, step=64) for a, b in zip(place.tolist(), item.tolist())}
+    assert nearest == set(zip(*[v.tolist() for v in np.nonzero(near <= far.min(1, keepdims=True))]))
+    for radius in (0.5, 2.0):
+        cut, settled = set(), set()
+        for place, item, done in tree.candidates(y, x, radius, step=64):
+            cut |= set(zip(place.tolist(), item.tolist()))
+            settled |= set(done.tolist())
+        assert settled == set(np.flatnonzero((far < radius).any(1)).tolist())
+        rest = (near < radius) & ~(far < radius).any(1, keepdims=True)
+        assert cut == set(zip(*[v.tolist() for v in np.nonzero(rest)]))
 
 
 def test_no_targets(spark):
