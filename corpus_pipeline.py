@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cinderspark.llm.common import Scratch, bundled, unbundled
 from cinderspark.llm.langid import UNKNOWN, train, with_language
@@ -20,6 +21,8 @@ from cinderspark.session import shared_folder
 LEAST_SCORE = 0.4
 # Long enough that most documents lie in a block or two.
 MIX = Mix(block=1024)
+# Documents of a source whose copies are rounded along one running sum.
+ROUNDED = 100_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,12 +64,27 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words: the whole part of taken / size, and once more by a seeded
-    draw against the rest. Documents the mix doesn't take are gone."""
-    taken = mix_sources(docs, MIX).groupBy("doc_id").agg(F.sum("size").alias("_size"), F.sum("taken").alias("_taken"))
+    """Each document as often as the mix takes its words: the whole part of taken / size, and some once more.
+    Documents the mix doesn't take are gone.
+
+    Which ones come once more is rounded along running sums: in rising size, the fractions of a source are added up from a
+    seeded start, and a document that takes the sum over a whole number gets a copy. As neighbours are of
+    like size, the words of a part differ from what the mix takes by two documents at most. Parts of a source hold about ROUNDED
+    documents.
+    """
+    scratch = Scratch(spark, "mix-copies")
+    taken = mix_sources(docs, MIX).groupBy("doc_id").agg(F.min("source").alias("_source"), F.sum("size").alias("_size"), F.sum("taken").alias("_taken"))
+    taken = scratch.keep(taken, "taken")
+    parts = taken.groupBy("_source").agg(F.ceil(F.count(F.lit(1)) / F.lit(ROUNDED)).alias("_parts")).withColumnRenamed("_source", "_s")
     times = F.coalesce(F.try_divide("_taken", "_size"), F.lit(0.0))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(MIX.seed + 3)), F.lit(1 << 30)) / float(1 << 30)
-    copies = taken.select(F.col("doc_id").alias("_id"), (F.floor(times) + (draw < times - F.floor(times)).cast("int")).cast("int").alias("_copies"))
+    split = taken.join(parts, F.col("_source").eqNullSafe(F.col("_s"))).withColumns(
+        {"_part": F.pmod(F.xxhash64("doc_id", F.lit(MIX.seed + 4)), F.col("_parts")), "_whole": F.floor(times), "_rest": times - F.floor(times)}
+    )
+    start = F.pmod(F.xxhash64("_source", "_part", F.lit(MIX.seed + 3)), F.lit(1 << 30)) / float(1 << 30)
+    rising = Window.partitionBy("_source", "_part").orderBy("_size", F.xxhash64("doc_id", F.lit(MIX.seed + 3)), "doc_id")
+    summed = split.withColumn("_sum", start + F.sum("_rest").over(rising.rowsBetween(Window.unboundedPreceding, 0)))
+    once_more = F.floor("_sum") - F.floor(F.coalesce(F.lag("_sum").over(rising), start))
+    copies = summed.select(F.col("doc_id").alias("_id"), (F.col("_whole") + once_more).cast("int").alias("_copies"))
     joined = bundled(docs, "doc_id", "text").join(copies.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
     repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return unbundled(repeated, docs.columns, "doc_id", "text")
