@@ -1,7 +1,6 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams, trained with
 follow-the-regularised-leader and elastic-net penalties, then calibrated by a temperature."""
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +11,6 @@ from pyspark.sql import functions as F
 
 from cinderspark.llm.common import bundled, slices, unbundled
 
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 _BATCH = 64
 
@@ -115,6 +113,11 @@ def best_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return min(np.exp(np.linspace(np.log(0.02), np.log(20), 200)).tolist(), key=loss)
 
 
+def has_letter(text: str) -> bool:
+    """Numbers that look like letters, such as fractions or roman ones, are none."""
+    return any(map(str.isalpha, text))
+
+
 def train(labelled: DataFrame, rules: LanguageRules = LanguageRules()) -> LanguageModel:
     """Learn from ``doc_id``, ``text`` and ``lang`` (rows with a null text or lang do not count)."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
@@ -183,7 +186,7 @@ def with_language(docs: DataFrame, model: LanguageModel, language: str = "lang_p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            known = [k for k, t in enumerate(texts) if model.languages and t is not None and LETTER.search(t)]
+            known = [k for k, t in enumerate(texts) if model.languages and t is not None and has_letter(t)]
             languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             for k, (bins, counts) in zip(known, ngram_counts([texts[k] for k in known], model.rules), strict=True):
                 logits = (weighted(bins, counts, model.idf) @ model.weights[bins] + model.weights[-1]) / model.temperature

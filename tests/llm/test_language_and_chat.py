@@ -35,6 +35,13 @@ def test_only_text_counts(spark):
         assert (language in model.languages) if letters else (language, score) == ("und", 0.0)
 
 
+def test_numbers_are_no_letters(spark):
+    model = train(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    rows = [(i, text, None, None, 0) for i, text in enumerate(["½ ² ① Ⅷ", "\u3007 12 _", "ª", "字", "½a"])]
+    got = {r.doc_id: r.lang_pred for r in with_language(frame(spark, rows), model).collect()}
+    assert got[0] == got[1] == "und" and all(got[i] in model.languages for i in (2, 3, 4))
+
+
 def test_nothing_to_learn_from(spark):
     model = train(frame(spark, []))
     assert {r.lang_pred for r in with_language(frame(spark), model).collect()} == {"und"}

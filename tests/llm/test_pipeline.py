@@ -61,6 +61,26 @@ def test_stages(spark):
     assert {r.doc_id for r in packed} == ids
 
 
+@pytest.mark.parametrize("long", [3, 40])
+def test_copies_keep_to_what_the_mix_takes(spark, long):
+    rng = random.Random(long)
+    rows = [(i, "w " * rng.randrange(3000, 4000), "en", "long", 0) for i in range(long)]
+    rows += [(1000 + i, "w " * rng.randrange(1, 300), "en", "short", 0) for i in range(700)] + [(2000, None, "en", None, 0)]
+    docs = frame(spark, rows)
+    words = {r[0]: len((r[1] or "").split()) for r in rows}
+    wanted, got, most = {}, {}, {}
+    for r in pipeline.mix_sources(docs, pipeline.MIX).collect():
+        wanted[r.source] = wanted.get(r.source, 0) + r.taken
+        most[r.source] = max(most.get(r.source, 0), r.size)
+    copies = {}
+    for r in pipeline.mix(spark, docs, "").collect():
+        got[r.source] = got.get(r.source, 0) + words[r.doc_id]
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+    assert max(copies.values()) <= 3 and got.keys() <= {"long", "short"}
+    for source in ("long", "short"):
+        assert abs(got.get(source, 0) - wanted[source]) <= 2 * most[source]
+
+
 @pytest.mark.parametrize("rows", [[], None])
 def test_stages_with_odd_rows(spark, rows):
     docs = with_clashes(frame(spark, rows))
