@@ -1,6 +1,7 @@
 """Scans, catalogs and sinks over the test tables. File forms are made out of the tables first."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cinderspark.operators.spatial import sample_cells
 from cinderspark.params import CONFIGURED_REGION, FEATURES, REGION
@@ -103,7 +104,8 @@ def file_listing(spark, folder):
         heat.select(F.concat(F.lit("MOD11A1.AA"), stamp, F.lit("."), tile, F.lit(".061.LST_Day_1km.tif")).alias("name"), F.col("raw").cast("bigint").alias("size")),
         rain.select(F.concat(F.lit("README."), F.col("cell").cast("string"), F.lit(".txt")).alias("name"), F.lit(1).cast("bigint").alias("size")),
     ]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).groupBy("name").agg(F.sum("size").alias("size"))
+    listed = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).groupBy("name").agg(F.sum("size").alias("size"))
+    return listed
 
 
 GRANULE_SQL = "SELECT name, dataset, product, year, doy, make_date(year, 1, 1) + (doy - 1) AS day, tile, collection, band, round(size_mb, 6) AS size_mb FROM granules"
@@ -253,6 +255,10 @@ def s15(spark, folder):
     return sinks.stage(spark, path, lambda: fx.anchors(spark, folder).select("cell", F.col("pid").alias("n")))
 
 
+# 16-bit code of a cell without a part.
+NO_PART = 32769
+
+
 @query(
     "s10_elevation_tiles",
     """SELECT printf('N%02dE%03d', CAST(p_partkey // 100 % 90 AS INTEGER), CAST(p_partkey // 100 AS INTEGER)) AS file, CAST(p_partkey // 100 % 90 AS INTEGER) AS south,
@@ -260,12 +266,16 @@ def s15(spark, folder):
     CASE WHEN p_partkey % 17 = 0 THEN -32768e0 ELSE floor(p_retailprice) END AS elevation FROM part""",
 )
 def s10(spark, folder):
-    """Tiles of ten by ten parts are encoded to file bytes first, and then read."""
+    """Tiles of ten by ten parts are encoded to file bytes first, and then read. Cells without a part get a code of their
+    own; parts that share a key go to further files of their tile."""
     value = F.when(F.col("p_partkey") % 17 == 0, F.lit(32768)).otherwise(F.floor("p_retailprice").cast("int"))
     tile = F.floor(F.col("p_partkey") / F.lit(100.0)).cast("int").alias("tile")
-    cells = F.array_sort(F.collect_list(F.struct("p_partkey", value.alias("v"))))
-    listed = fx.table(spark, folder, "part").groupBy(tile).agg(cells.alias("cells"))
-    code = F.transform("cells", lambda c: F.lpad(F.hex(c["v"]), 4, "0"))
+    cells = F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey") % 100, value)))
+    copy = F.row_number().over(Window.partitionBy("p_partkey").orderBy("p_retailprice"))
+    listed = fx.table(spark, folder, "part").withColumn("copy", copy).groupBy(tile, "copy").agg(cells.alias("cells"))
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(99).cast("bigint"))
+    code = F.transform(places, lambda at: F.lpad(F.hex(F.coalesce(F.try_element_at("cells", at), F.lit(NO_PART))), 4, "0"))
     content = F.unhex(F.array_join(code, ""))
     name = F.format_string("N%02dE%03d", F.col("tile") % 90, F.col("tile"))
-    return tables.elevation_cells(listed.select(name.alias("file"), content.alias("content")))
+    read = tables.elevation_cells(listed.select(name.alias("file"), content.alias("content")))
+    return read.where(F.col("elevation") != NO_PART - (1 << 16))

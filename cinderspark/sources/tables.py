@@ -1,6 +1,7 @@
 """Scans of detections, cell tables, archives and elevation tiles."""
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -150,8 +151,9 @@ def elevation_cells(contents: DataFrame) -> DataFrame:
                 values = np.frombuffer(data, dtype=">i2")
                 side = int(np.sqrt(values.size))
                 raster = values.reshape(side, side)
-                south = int(file[1:3]) * (1 if file[0] == "N" else -1)
-                west = int(file[4:7]) * (1 if file[3] == "E" else -1)
+                north, south, east, west = re.match(r"([NS])(\d+)([EW])(\d+)", file).groups()
+                south = int(south) * (1 if north == "N" else -1)
+                west = int(west) * (1 if east == "E" else -1)
                 for start in range(0, side, HGT_ROWS):
                     part = raster[start : start + HGT_ROWS]
                     rows, cols = np.indices(part.shape, dtype=np.int32)

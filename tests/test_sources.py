@@ -5,6 +5,7 @@ import zipfile
 import numpy as np
 
 from cinderspark.params import Box
+from cinderspark.plans import files
 from cinderspark.schemas import DETECTIONS
 from cinderspark.sources import granules, sinks, tables
 
@@ -87,3 +88,13 @@ def test_year_pruning(spark, tmp_path):
     assert part.count() == 31
     plan = part._jdf.queryExecution().executedPlan().toString()
     assert "year" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_elevation_tiles_of_large_keys_and_gaps(spark, tmp_path):
+    """Four digits of longitude, tiles that lack parts, and a key that comes twice."""
+    keys = [3, 99, 120_000, 120_057, 654_321, 654_321]
+    spark.createDataFrame([(k, 900.5 + k % 10) for k in keys], "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(tuple(r) for r in files.s10(spark, str(tmp_path)).collect())
+    assert got == sorted(
+        (f"N{k // 100 % 90:02d}E{k // 100:03d}", k // 100 % 90, k // 100, k % 100 // 10, k % 10, -32768.0 if k % 17 == 0 else 900.0 + k % 10) for k in keys
+    )
