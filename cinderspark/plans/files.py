@@ -8,7 +8,7 @@ from cinderspark.params import CONFIGURED_REGION, FEATURES, REGION
 from cinderspark.plans import fixtures as fx
 from cinderspark.plans.core import rounded
 from cinderspark.plans.registry import query
-from cinderspark.session import shared_folder
+from cinderspark.session import cut_lineage, shared_folder
 from cinderspark.sources import granules, sinks, tables
 from cinderspark.functions.values import reflectance
 
@@ -105,7 +105,8 @@ def file_listing(spark, folder):
         rain.select(F.concat(F.lit("README."), F.col("cell").cast("string"), F.lit(".txt")).alias("name"), F.lit(1).cast("bigint").alias("size")),
     ]
     listed = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).groupBy("name").agg(F.sum("size").alias("size"))
-    return listed
+    # Written once: conditions on names would otherwise move below the grouping and be worked out for every row of the tables.
+    return cut_lineage(listed)
 
 
 GRANULE_SQL = "SELECT name, dataset, product, year, doy, make_date(year, 1, 1) + (doy - 1) AS day, tile, collection, band, round(size_mb, 6) AS size_mb FROM granules"

@@ -98,3 +98,8 @@ def test_elevation_tiles_of_large_keys_and_gaps(spark, tmp_path):
     assert got == sorted(
         (f"N{k // 100 % 90:02d}E{k // 100:03d}", k // 100 % 90, k // 100, k % 100 // 10, k % 10, -32768.0 if k % 17 == 0 else 900.0 + k % 10) for k in keys
     )
+
+
+def test_listing_is_read_from_what_was_written(spark):
+    """Conditions on file names must not reach the rows of the tables."""
+    assert files.file_listing(spark, "/root/testdata/sf0.001").inputFiles() == []
