@@ -72,41 +72,54 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], brac
     used = [c for c in names if any(k[0] == c for k in brackets)]
     placed = clean.withColumns({f"p_{c}": place(c) for c in used})
 
-    def inside(c: str, shift: int, prefix: int) -> Column:
-        return F.shiftright(f"p_{c}", shift) == prefix
+    def marked(of: list[tuple[str, int, set[int]]], steps: int) -> DataFrame:
+        """(of, to, value) of the rows inside brackets: one mark a row for each column and width, however many brackets."""
+        marks = []
+        for i, (c, shift, prefixes) in enumerate(of):
+            inside = F.shiftright(f"p_{c}", shift).isin(sorted(prefixes))
+            to = F.when(inside, F.shiftright(f"p_{c}", shift - steps))
+            marks.append(F.struct(F.lit(i).alias("of"), to.alias("to"), F.when(inside, finite[c]).alias("value")))
+        return placed.select(F.inline(F.array(*marks))).where("value IS NOT NULL")
+
+    def grouped(keys: set[tuple[str, int, int]]) -> list[tuple[str, int, set[int]]]:
+        found: dict[tuple[str, int], set[int]] = {}
+        for c, shift, prefix in keys:
+            found.setdefault((c, shift), set()).add(prefix)
+        return [(c, shift, found[c, shift]) for c, shift in sorted(found)]
 
     while wide := {(c, b[0], b[1]) for (c, _), b in brackets.items() if b[3] > bracket_rows and b[0]}:
-        marks = [
-            F.struct(F.lit(i).alias("of"), F.when(inside(c, shift, prefix), F.shiftright(f"p_{c}", shift - STEP_BITS)).alias("to"))
-            for i, (c, shift, prefix) in enumerate(sorted(wide))
-        ]
-        counted = placed.select(F.inline(F.array(*marks))).where("to IS NOT NULL").groupBy("of", "to").agg(F.count(F.lit(1)).alias("n"))
-        found: dict[int, list[tuple[int, int]]] = {}
+        of = grouped(wide)
+        counted = marked(of, STEP_BITS).groupBy("of", "to").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        found: dict[tuple[str, int, int], list[tuple]] = {}
         for row in counted.collect():
-            found.setdefault(row["of"], []).append((row["to"], row["n"]))
-        for i, (c, shift, prefix) in enumerate(sorted(wide)):
-            for key, bracket in brackets.items():
-                if key[0] != c or bracket[:2] != [shift, prefix]:
-                    continue
-                for to, n in sorted(found[i]):
-                    if bracket[2] < n:
-                        bracket[:] = [shift - STEP_BITS, to, bracket[2], n]
-                        break
-                    bracket[2] -= n
-
-    left = sorted({(c, b[0], b[1]) for (c, _), b in brackets.items()})
-    if left:
-        marks = [F.struct(F.lit(i).alias("of"), F.when(inside(c, s, p), finite[c]).alias("value")) for i, (c, s, p) in enumerate(left)]
-        counts = placed.select(F.inline(F.array(*marks))).where("value IS NOT NULL").groupBy("of", "value").agg(F.count(F.lit(1)).alias("n"))
-        upto = Window.partitionBy("of").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+            c, shift, _ = of[row["of"]]
+            found.setdefault((c, shift, row["to"] >> STEP_BITS), []).append((row["to"], row["n"], row["low"], row["high"]))
+        for key, bracket in list(brackets.items()):
+            if (key[0], *bracket[:2]) not in wide:
+                continue
+            for to, n, low, high in sorted(found[key[0], bracket[0], bracket[1]]):
+                if bracket[2] < n:
+                    bracket[:] = [bracket[0] - STEP_BITS, to, bracket[2], n]
+                    if low == high:
+                        # One value fills the bracket; no negative zero.
+                        values[key] = low + 0.0
+                        del brackets[key]
+                    break
+                bracket[2] -= n
+
+    of = grouped({(c, b[0], b[1]) for (c, _), b in brackets.items()})
+    if of:
+        counts = marked(of, 0).groupBy("of", "to", "value").agg(F.count(F.lit(1)).alias("n"))
+        upto = Window.partitionBy("of", "to").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         running = counts.withColumn("upto", F.sum("n").over(upto))
+        at = {(c, shift): i for i, (c, shift, _) in enumerate(of)}
         wanted = F.lit(False)
         for (c, _), b in brackets.items():
-            wanted = wanted | ((F.col("of") == left.index((c, b[0], b[1]))) & (F.col("upto") > b[2]) & (F.col("upto") - F.col("n") <= b[2]))
+            wanted = wanted | ((F.col("of") == at[c, b[0]]) & (F.col("to") == b[1]) & (F.col("upto") > b[2]) & (F.col("upto") - F.col("n") <= b[2]))
         rows = running.where(wanted).collect()
         for key, b in brackets.items():
-            of = left.index((key[0], b[0], b[1]))
-            values[key] = next(r["value"] for r in rows if r["of"] == of and r["upto"] - r["n"] <= b[2] < r["upto"])
+            place_of = (at[key[0], b[0]], b[1])
+            values[key] = next(r["value"] for r in rows if (r["of"], r["to"]) == place_of and r["upto"] - r["n"] <= b[2] < r["upto"])
     return {
         column: [_between(values[c, low], values[c, high], weight) for low, high, weight in ranks[c]] or [None] * len(shares)
         for c, column in zip(names, columns)

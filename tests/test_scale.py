@@ -48,6 +48,18 @@ def test_exact_quantiles_whatever_the_brackets(spark, bracket):
     assert got["e"] == [None] * 6 and got["f"] == [3.0] * 6
 
 
+def test_quantiles_take_one_mark_a_column(spark, monkeypatch):
+    marks, array = [], quantiles.F.array
+    monkeypatch.setattr(quantiles.F, "array", lambda *columns: marks.append(len(columns)) or array(*columns))
+    df = spark.range(5000).select(F.sqrt("id").alias("a"), (F.col("id") % 7 - 3).cast("double").alias("b"))
+    shares = [i / 10 for i in range(1, 10)]
+    got = quantiles.exact_quantiles(df, ["a", "b"], shares, 20)
+    assert got["a"] == pytest.approx(np.quantile(np.sqrt(np.arange(5000)), shares).tolist(), rel=1e-12)
+    assert got["b"] == np.quantile(np.arange(5000) % 7 - 3.0, shares).tolist()
+    # A value that fills its bracket is settled by the first pass, so the last ones have column a alone.
+    assert max(marks) <= 2 and marks[-1] == 1
+
+
 def _clustered(rng, n, hot):
     places = np.column_stack([rng.uniform(28.7, 31.5, n), rng.uniform(77.5, 81, n)])
     places[: int(n * hot)] = [29.5, 79.0] + rng.normal(0, 0.002, (int(n * hot), 2))
