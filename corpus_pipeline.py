@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cinderspark.llm.common import Scratch, bundled, unbundled
+from cinderspark.llm.common import BATCH_ROWS, Scratch, bundled, unbundled
 from cinderspark.llm.langid import UNKNOWN, train, with_language
 from cinderspark.llm.minhash import NearDuplicates, near_duplicates
 from cinderspark.llm.mixing import Mix, mix_sources
@@ -111,8 +111,15 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each result is written to the shared folder before the next reads it."""
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        result = stage(spark, docs, sf_dir)
-        result.write.parquet(f"{folder}/{name}")
-        docs = spark.read.schema(result.schema).parquet(f"{folder}/{name}")
+    # Python stages get few rows at a time, as whole texts stand in them.
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(BATCH_ROWS))
+    try:
+        for name, stage in STAGES:
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(f"{folder}/{name}")
+            docs = spark.read.schema(result.schema).parquet(f"{folder}/{name}")
+    finally:
+        spark.conf.set(setting, before)
     return docs

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -113,3 +114,12 @@ def test_escapes(spark):
 
 def test_full_sample_is_fitted():
     assert LanguageRules().fit_rows == 4000
+
+
+def test_counting_ngrams_holds_few_texts_at_a_time():
+    texts = [f"short text number {k}" for k in range(512)]
+    tracemalloc.start()
+    ngram_counts(texts, LanguageRules())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
