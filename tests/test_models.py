@@ -1,5 +1,6 @@
 """Selection, training, scoring and streaming on small tables."""
 
+from datetime import date, timedelta
 from unittest.mock import MagicMock
 
 import numpy as np
@@ -69,6 +70,35 @@ def test_search_and_leaderboard(spark, rows):
     assert statistics["total_weight"] == pytest.approx(1.0)
 
 
+def test_metrics_score_each_row_once(spark, rows):
+    model = training.random_forest(trees=3, max_depth=3).fit(training.with_vector(rows, ["a", "b"], "target"))
+    scored = spark.sparkContext.accumulator(0)
+
+    def count(a):
+        scored.add(1)
+        return a
+
+    seen = rows.withColumn("a", F.udf(count, "double")("a"))
+    found = training.evaluate(model, training.with_vector(seen, ["a", "b"], "target"))
+    assert scored.value == 400 and found["auc"] > 0.9
+    assert model.getOrDefault("cacheNodeIds")
+
+
+def test_scaled_training_rows_are_written(spark):
+    data = [(i, date(2020, 1, 1) + timedelta(i), float(i), i % 2) for i in range(100)]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(a):
+        read.add(1)
+        return a
+
+    dated = spark.createDataFrame(data, "pid long, date date, a double, target int").withColumn("a", F.udf(count, "double")("a"))
+    train, test, _ = models.scaled_sides(dated, ["a"])
+    before = read.value
+    assert len(train.select("features").collect()) == 80 and read.value == before
+    assert test.count() == 20
+
+
 def test_spec_falls_back(spark, tmp_path):
     assert training.resolve_spec(spark, [str(tmp_path / "nothing")]) == DEFAULT_SELECTION
     selection.save_selection(spark, ["b", "a"], str(tmp_path / "spec"))
