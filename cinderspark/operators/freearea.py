@@ -25,6 +25,8 @@ TARGET_BITS = 5
 DEPTH, MAX_DEPTH = 3, 10
 # Distances are worked out in floating point; a cell is called inside or outside only beyond this slack, in degrees.
 SLACK = 1e-9
+# Leaves that may be sent to every task.
+SENT_LEAVES = 500_000
 
 
 @dataclass(frozen=True)
@@ -117,13 +119,14 @@ def free_area(spark: SparkSession, targets: DataFrame, km: float, box: Box, dept
 
 def drawn_places(ids: DataFrame, area: FreeArea, leaf: Column, up: Column, right: Column) -> DataFrame:
     """``ids`` with ``lat``, ``lon`` and ``cut``: the finest cell at the share ``leaf`` of the free area, and the place in it. Draws meet
-    leaves by blocks of numbers; a leaf stands in the blocks it covers, which are as many as there are leaves."""
+    leaves by blocks of numbers; a leaf stands in the blocks it covers, which are as many as there are leaves. Up to
+    ``SENT_LEAVES`` leaves, whose number follows from box and radius, go to the draws, so that draws stay where they are."""
     n_leaves = max(area.leaves.count(), 1)
     block = max(1, -(-area.total // n_leaves))
     blocks = F.sequence(F.floor(F.col("before") / block), F.floor((F.col("before") + F.col("count") - 1) / block))
     spread = area.leaves.select("code", "before", "count", "cut", F.explode(blocks).alias("_block"))
     asked = ids.withColumn("_k", F.floor(leaf * F.lit(float(area.total))).cast("bigint")).withColumn("_block", F.floor(F.col("_k") / block))
     here = (F.col("_k") >= F.col("before")) & (F.col("_k") < F.col("before") + F.col("count"))
-    met = asked.join(spread, "_block").where(here)
+    met = asked.join(F.broadcast(spread) if n_leaves <= SENT_LEAVES else spread, "_block").where(here)
     lat, lon = area.place(F.col("code") + F.col("_k") - F.col("before"), up, right)
     return met.select(*ids.columns, lat.alias("lat"), lon.alias("lon"), "cut")
