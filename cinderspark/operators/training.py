@@ -122,7 +122,7 @@ class Search:
 def search_space(n_features: int, label: str, s: Search) -> list[tuple[str, object, list]]:
     """(name, estimator, parameter grid) of each algorithm."""
     lr = LogisticRegression(labelCol=label, maxIter=s.max_iter)
-    rf = RandomForestClassifier(labelCol=label, numTrees=s.trees, maxDepth=s.max_depth, seed=s.seed)
+    rf = RandomForestClassifier(labelCol=label, numTrees=s.trees, maxDepth=s.max_depth, seed=s.seed, cacheNodeIds=True)
     gbt = GBTClassifier(labelCol=label, maxIter=max(5, s.max_iter // 3), seed=s.seed)
     svc = LinearSVC(labelCol=label, maxIter=s.max_iter)
     mlp = MultilayerPerceptronClassifier(labelCol=label, layers=[n_features, 16, 2], maxIter=s.max_iter, seed=s.seed)
@@ -177,7 +177,8 @@ def search(df: DataFrame, features: list[str], label: str = "target", pid: str =
                     parallelism=s.parallel_fits,
                 )
                 best = tuner.fit(train).bestModel
-                kind, auc = type(best).__name__, roc_auc(predictions(best.transform(held), label), "p", "y").first()["auc"]
+                scored = cut_lineage(predictions(best.transform(held), label))
+                kind, auc = type(best).__name__, roc_auc(scored, "p", "y").first()["auc"]
                 found.append((name, kind, best, auc))
             except (IllegalArgumentException, SparkRuntimeException) as e:
                 # An algorithm that refuses these data; anything else is raised.

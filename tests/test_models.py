@@ -84,6 +84,22 @@ def test_metrics_score_each_row_once(spark, rows):
     assert model.getOrDefault("cacheNodeIds")
 
 
+def test_search_scores_the_holdout_once_per_algorithm(spark, rows, monkeypatch):
+    scored, heard = spark.sparkContext.accumulator(0), training.predictions
+
+    def counted(p):
+        scored.add(1)
+        return p
+
+    def predictions(*args):
+        made = heard(*args)
+        return made.withColumn("p", F.udf(counted, "double")("p"))
+
+    monkeypatch.setattr(training, "predictions", predictions)
+    found = training.search(rows, ["a", "b"], s=training.Search(trees=2, max_depth=2, max_iter=5))
+    assert 0 < scored.value <= 85 * len(found.fits)
+
+
 def test_scaled_training_rows_are_written(spark):
     data = [(i, date(2020, 1, 1) + timedelta(i), float(i), i % 2) for i in range(100)]
     read = spark.sparkContext.accumulator(0)
