@@ -1,7 +1,7 @@
 """Helpers shared by the training-data operators."""
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,22 @@ SLICE_ROWS = 512
 BATCH_ROWS = 1000
 
 
+# How to empty what each operator remembers in a Python worker, which outlives its tasks.
+_FORGET: dict[str, Callable[[], None]] = {}
+
+
+def remembers(operator: str, forget: Callable[[], None]) -> None:
+    _FORGET[operator] = forget
+
+
+def forget_others(operator: str = "") -> None:
+    """Called by a task: lets go of what tasks of other operators have left in this worker."""
+    for name, forget in _FORGET.items():
+        if name != operator:
+            forget()
+    pa.default_memory_pool().release_unused()
+
+
 class Scratch:
     """Tables written once in the shared folder, so that a lost executor costs nothing and nothing is
     worked out twice."""

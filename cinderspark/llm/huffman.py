@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderspark.llm.common import Scratch, remove, slices, tasks_of
-from cinderspark.llm.tokens import encoder
+from cinderspark.llm.common import Scratch, forget_others, remove, slices, tasks_of
+from cinderspark.llm.tokens import encoded
 
 LONGEST = 18
 STRIDE = 128
@@ -137,6 +137,7 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2)
     book.coalesce(1).write.parquet(f"{folder}/codebook")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in slices(batches):
             documents = [_from_planes(x) for x in batch.column("planes").to_pylist()]
             payload, sizes, points = encode(documents, codes, lengths)
@@ -168,10 +169,8 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """``doc_id``, ``planes`` of every document; then, once a task, how often it has ``seen`` each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
         seen = np.zeros(0, np.int64)
-        for batch in slices(batches):
-            ids = [x + end for x in encode_(batch.column("_text").to_pylist())]
+        for batch, ids in encoded(batches, tokenizer, end_id):
             here = np.bincount(np.frombuffer(b"".join(ids), "<u4"))
             longer, shorter = (seen, here) if len(seen) > len(here) else (here, seen)
             longer[: len(shorter)] += shorter

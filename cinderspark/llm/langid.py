@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderspark.llm.common import bundled, slices, unbundled
-from cinderspark.llm.tokens import encoder
+from cinderspark.llm.common import bundled, forget_others, slices, unbundled
 
 UNKNOWN = "und"
 # Texts whose counts are held at a time, each in an array of all bins.
@@ -130,7 +129,7 @@ def train(labelled: DataFrame, rules: LanguageRules = LanguageRules()) -> Langua
         return LanguageModel(rules, [], np.ones(1 << rules.bits), np.zeros(((1 << rules.bits) + 1, 0)), 1.0)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()  # what an earlier stage has left in this worker
+        forget_others()
         seen = np.zeros(1 << rules.bits, np.int64)
         for batch in slices(batches):
             for bins, _ in ngram_counts(batch.column("text").to_pylist(), rules):
@@ -148,7 +147,7 @@ def train(labelled: DataFrame, rules: LanguageRules = LanguageRules()) -> Langua
     narrow = "<u2" if rules.bits < 16 else "<i4"  # bins, and the bias after them
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()
+        forget_others()
         for batch in slices(batches):
             grams = ngram_counts(batch.column("text").to_pylist(), rules)
             columns = [
@@ -188,7 +187,7 @@ def with_language(docs: DataFrame, model: LanguageModel, language: str = "lang_p
     narrow = bundled(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()
+        forget_others()
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             known = [k for k, t in enumerate(texts) if model.languages and t is not None and has_letter(t)]

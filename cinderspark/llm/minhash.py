@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderspark.llm.common import Scratch, slices, tasks_of, whole_groups
+from cinderspark.llm.common import Scratch, forget_others, remembers, slices, tasks_of, whole_groups
 from cinderspark.llm.components import components
 
 MEMO_WORDS = 500_000
@@ -55,6 +55,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+remembers("minhash", _WORDS.clear)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -108,6 +109,7 @@ def signatures(docs: DataFrame, rules: NearDuplicates) -> DataFrame:
     hashes = rules.bands * rules.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("minhash")
         mixers = np.random.default_rng(rules.seed + 1).integers(0, 1 << 63, hashes, np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in slices(batches, 256):
             ids = batch.column("doc_id").to_pylist()
@@ -140,6 +142,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     """``class``, ``set`` (binary: sorted 64-bit fingerprints) of the rows whose text is of that class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("minhash")
         for batch in slices(batches, 256):
             sets = [shingle_set(text, words) for text in batch.column("text").to_pylist()]
             rows = [(c, s.tobytes()) for c, s in zip(batch.column("class").to_pylist(), sets, strict=True) if fingerprint(s) == c]
@@ -193,6 +196,7 @@ def _likely(buckets: DataFrame, short: DataFrame, scratch: Scratch, rules: NearD
         return i, j
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for table in whole_groups(batches, "group", 2048):
             group, classes, label, n, block = (table.column(c).to_numpy() for c in ("group", "class", "label", "n_shingles", "block"))
             inner = table.column("i").to_numpy() == table.column("j").to_numpy()
@@ -232,6 +236,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, rules: NearDuplicates) -> DataFr
     """The (``a``, ``b``) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in slices(batches):
             take = []
             for row, (x, y) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)):
@@ -256,6 +261,7 @@ def _joining(buckets: DataFrame, short: DataFrame, named: DataFrame, sets: DataF
     steps = least_matches(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for table in whole_groups(batches, "group", 512):
             group, key, classes, label, n, block = (table.column(c).to_numpy() for c in ("group", "key", "class", "label", "n_shingles", "block"))
             inner = table.column("i").to_numpy() == table.column("j").to_numpy()

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cinderspark.llm.common import Scratch, slices, tasks_of
-from cinderspark.llm.tokens import with_ids
+from cinderspark.llm.common import Scratch, tasks_of
+from cinderspark.llm.tokens import encoded, texts_of
 
 # Rows of one length that a task should rank.
 RANK_ROWS = 200_000
@@ -75,13 +75,14 @@ def token_pieces(
     docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, keys: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
     """``keys``, ``piece``, ``start``, ``length``, ``ids``: documents longer than ``capacity`` tokens are cut, the
-    first piece taking what is left over. Null and empty texts are the end id alone."""
-    ids = with_ids(docs, tokenizer, end_id, keys)
+    first piece taking what is left over. Null and empty texts are the end id alone. One Python stage encodes and cuts, as
+    each stage of a task keeps a worker of its own."""
+    narrow = texts_of(docs, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch, ids in encoded(batches, tokenizer, end_id):
             rows, piece, start, length, parts = [], [], [], [], []
-            for row, data in enumerate(batch.column("ids").to_pylist()):
+            for row, data in enumerate(ids):
                 n = len(data) // 4
                 begin, end = 0, n % capacity or capacity
                 number = 0
@@ -97,8 +98,8 @@ def token_pieces(
             columns += [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(parts, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, "piece", "start", "length", "ids"])
 
-    schema = ", ".join(f"`{k}` {ids.schema[k].dataType.simpleString()}" for k in keys)
-    return ids.mapInArrow(run, f"{schema}, piece int, start bigint, length bigint, ids binary")
+    schema = ", ".join(f"`{k}` {narrow.schema[k].dataType.simpleString()}" for k in keys)
+    return narrow.mapInArrow(run, f"{schema}, piece int, start bigint, length bigint, ids binary")
 
 
 def place(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:

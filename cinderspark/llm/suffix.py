@@ -9,7 +9,7 @@ string that starts L bytes before an anchor occurs twice if two occurrences agre
 ``span - gram - L`` to the right.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b
@@ -19,8 +19,9 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from cinderspark.llm.common import Scratch, bundled, slices, tasks_of, unbundled, whole_groups
+from cinderspark.llm.common import Scratch, bundled, forget_others, slices, tasks_of, unbundled, whole_groups
 
 
 # Contexts a task remembers; some 50 MB.
@@ -197,34 +198,25 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(edge == -1)[1] - 1
 
 
-def _digest(text: str) -> bytes:
-    return blake2b(text.encode(), digest_size=16).digest()
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
-    """All columns, ``_text`` (null: empty) and ``_key``, a 128-bit digest of it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            keys = [_digest(t) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "_key"])
-
-    named = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-    return named.mapInArrow(run, named.withColumn("_key", F.lit(b"")).schema)
+    """All columns, ``_text`` (null: empty) and ``_key``, a digest of it."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumns({"_text": text, "_key": F.unhex(F.sha2(text.cast("binary"), 256))})
 
 
 def _anchored(docs: DataFrame, rules: Repeats) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in slices(batches):
             texts = batch.column("_text").to_pylist()
             found = [anchors(np.frombuffer(t.encode(), np.uint8), rules) for t in texts]
             columns = [
-                batch.column("doc_id"), pa.array([_digest(t) for t in texts], pa.binary()), pa.array([len(t.encode()) for t in texts], pa.int64()),
+                batch.column("doc_id"), batch.column("_key"), pa.array([len(t.encode()) for t in texts], pa.int64()),
                 pa.array([p for p, _ in found], pa.list_(pa.int64())), pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_key", "n_bytes", "at", "grams"])
 
-    narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
+    narrow = _keyed(docs.select("doc_id", "text")).drop("text")
     schema = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, _key binary, n_bytes bigint, at array<bigint>, grams array<bigint>"
     return narrow.mapInArrow(run, schema)
 
@@ -244,6 +236,7 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, rules: Repeats) -> DataFrame:
     once = texts.dropDuplicates(["_k", "_stands"]).select("text_id", "_text", "occurrences.at", "occurrences.gram", "occurrences.chunks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         # Bytes around an occurrence -> its first row here, and whether a second one has come.
         seen: dict[bytes, list] = {}
         for batch in slices(batches, 64):
@@ -343,6 +336,20 @@ def without_repeats(docs: DataFrame, rules: Repeats = Repeats()) -> DataFrame:
     Texts are UTF-8 bytes; a null text is empty; matches never cross rows. Rows that repeat a document are
     occurrences of their own. Copies of a text stand as one text that occurs as often.
     """
+    narrow, columns = bundled(docs, "doc_id", "text"), [c for c in docs.columns if c not in ("kept", "removed")]
+    names, spans = narrow.columns, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
+    def made(batch: pa.RecordBatch, kept: list[bytes], runs: list[list[dict]]) -> pa.RecordBatch:
+        parts = [*(batch.column(n) for n in names), pa.array(kept, pa.binary()), pa.array(runs, spans)]
+        return pa.RecordBatch.from_arrays(parts, names=[*names, "kept", "removed"])
+
+    schema = narrow.withColumns({"kept": F.lit(b""), "removed": F.array().cast("array<struct<begin:bigint,end:bigint>>")}).schema
+    return unbundled(_cut_texts(narrow, rules, made, schema), [*columns, "kept", "removed"], "doc_id", "text", "kept", "removed")
+
+
+def _cut_texts(docs: DataFrame, rules: Repeats, made: Callable[[pa.RecordBatch, list[bytes], list[list[dict]]], pa.RecordBatch], schema: StructType) -> DataFrame:
+    """Rows (of ``schema``) that ``made`` gives for the rows of a batch, what is left of their texts and the runs removed; one
+    Python stage does both, as each stage of a task keeps a worker of its own. ``docs`` has doc_id, text and _rest."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
     texts = _anchored(docs, rules).groupBy("_key").agg(
@@ -378,11 +385,10 @@ def without_repeats(docs: DataFrame, rules: Repeats = Repeats()) -> DataFrame:
     )
     removed = scratch.keep(removed, "removed")
     scratch.drop("wanted", "wanted-hot", "grams")
-    narrow = bundled(docs, "doc_id", "text")
-    names = narrow.columns
-    joined = _keyed(narrow).join(removed, F.col("_key") == F.col("_k"), "left").drop("_k", "_key")
+    joined = _keyed(docs).join(removed, F.col("_key") == F.col("_k"), "left").drop("_k", "_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in slices(batches):
             kept, runs = [], []
             for text, spans_ in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
@@ -394,29 +400,23 @@ def without_repeats(docs: DataFrame, rules: Repeats = Repeats()) -> DataFrame:
                     at = end
                 kept.append(b"".join([*parts, data[at:]]))
                 runs.append([{"begin": a, "end": b} for a, b in merged])
-            columns = [batch.column(n) for n in names]
-            columns += [pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "kept", "removed"])
+            yield made(batch, kept, runs)
 
-    schema = narrow.withColumns({"kept": F.lit(b""), "removed": F.array().cast("array<struct<begin:bigint,end:bigint>>")}).schema
-    columns = [c for c in docs.columns if c not in ("kept", "removed")]
-    return unbundled(joined.mapInArrow(run, schema), [*columns, "kept", "removed"], "doc_id", "text", "kept", "removed")
+    return joined.mapInArrow(run, schema)
 
 
 def texts_without_repeats(docs: DataFrame, rules: Repeats = Repeats()) -> DataFrame:
     """``docs`` with what remains as their ``text`` (and its length as ``n_chars``, if there is such a column). Characters
     that a cut goes through are gone; a null text stays null."""
     narrow = bundled(docs, "doc_id", "text")
+    names = narrow.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            cut = zip(batch.column("text").to_pylist(), batch.column("kept").to_pylist(), strict=True)
-            texts = pa.array([None if text is None else kept.decode(errors="ignore") for text, kept in cut], pa.string())
-            columns = [batch.column("doc_id"), texts, batch.column("_rest")]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "_rest"])
+    def made(batch: pa.RecordBatch, kept: list[bytes], _: list[list[dict]]) -> pa.RecordBatch:
+        there = batch.column("text").is_valid().to_pylist()
+        texts = [left.decode(errors="ignore") if known else None for known, left in zip(there, kept, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("_rest")], names=names)
 
-    cut = without_repeats(narrow, rules).drop("removed").mapInArrow(run, narrow.schema)
-    result = unbundled(cut, docs.columns, "doc_id", "text")
+    result = unbundled(_cut_texts(narrow, rules, made, narrow.schema), docs.columns, "doc_id", "text")
     return result.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else result
 
 

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderspark.llm.common import slices
+from cinderspark.llm.common import forget_others, remembers, slices
 
 # Pieces a worker remembers, twice; some 160 MB.
 MEMO_PIECES = 450_000
@@ -98,21 +98,35 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+remembers("tokens", encoder.cache_clear)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def texts_of(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``keys`` and ``_text``. A null text is empty."""
+    return docs.select(*keys, F.coalesce("text", F.lit("")).alias("_text"))
+
+
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int | None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Inside a task: slices of rows with a ``_text``, and its ids, closed by ``end_id``."""
+    forget_others("tokens")
+    closing = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    encode = encoder(tokenizer).encode
+    for batch in slices(batches):
+        yield batch, [x + closing for x in encode(batch.column("_text").to_pylist())]
+
+
 def with_ids(docs: DataFrame, tokenizer: str, end_id: int | None = None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keys`` and ``ids`` (binary: little-endian unsigned 32-bit), closed by ``end_id``. A null text is empty."""
-    closing = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-    narrow = docs.select(*keys, F.coalesce("text", F.lit("")).alias("_text"))
+    narrow = texts_of(docs, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
-        for batch in slices(batches):
-            ids = [x + closing for x in encode(batch.column("_text").to_pylist())]
+        for batch, ids in encoded(batches, tokenizer, end_id):
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], names=[*keys, "ids"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]) + ", ids binary"

@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql.readwriter import DataFrameWriter
 
 import corpus_pipeline as pipeline
 import __spark_entry__ as entry
+from cinderspark.llm import common, minhash, tokens
 from tests.llm.cases import frame, rows_of, texts, with_clashes
 
 
@@ -109,6 +111,26 @@ def test_run(spark):
     assert rows_of(got, "doc_id", "piece", "ids_crc32") == rows_of(again, "doc_id", "piece", "ids_crc32")
 
 
+@pytest.mark.parametrize("name", ["suffix_array_dedup", "best_fit_packing"])
+def test_a_task_needs_one_python_worker_at_a_time(spark, name, monkeypatch):
+    rows, _ = corpus()
+    written = []
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, f=DataFrameWriter.parquet, **b: (written.append(self._df), f(self, path, *a, **b))[1])
+    written.append(dict(pipeline.STAGES)[name](spark, frame(spark, rows), ""))
+    for df in written:
+        for stage in df._jdf.queryExecution().executedPlan().toString().split("Exchange"):
+            assert stage.count("MapInArrow") <= 1
+
+
+def test_tasks_drop_what_other_operators_remember():
+    tokens.encoder(tokens.default_tokenizer())
+    minhash.shingle_set("some words of a text", 2)
+    common.forget_others("minhash")
+    assert tokens.encoder.cache_info().currsize == 0 and len(minhash._WORDS)
+    common.forget_others()
+    assert not len(minhash._WORDS)
+
+
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
