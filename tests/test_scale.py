@@ -200,3 +200,24 @@ def test_splits_and_folds_are_stratified(spark):
     assert all(r["s"] == 0.8 for r in sides)
     folds = sampling.stratified_folds(df, "y", 5).groupBy("y", "fold").count().collect()
     assert len(folds) == 10 and {r["count"] for r in folds} == {50, 150}
+
+
+@pytest.mark.parametrize("block", [10**6, 7])
+def test_mutual_information_with_rare_classes_gaps_and_ties(spark, block):
+    """A class that has one value of a feature, a class far apart, and equal values; before, the first divided by zero."""
+    rows = [(i, float(i % 11), None if i % 4 == 0 else float(i * i % 97), int(i % 3)) for i in range(90)]
+    rows += [(200 + i, 1e4 * i, 5.0 if i == 0 else None, 7) for i in range(4)] + [(300, 1.0, 1.0, 9)]
+    df = spark.createDataFrame(rows, "pid long, a double, b double, y int")
+    part = information._separated(df, ["a", "b"], "y", "pid", 42).toPandas()
+    part = part[part["_y"] != 9]
+    n_of = part["_y"].value_counts()
+    for r in information.mutual_information(df, ["a", "b"], "y", block=block).collect():
+        v, y = (part[part[r["feature"]].notna()][c].to_numpy() for c in (r["feature"], "_y"))
+        m = []
+        for x, c in zip(v, y):
+            near = np.sort(np.abs(v[y == c] - x))
+            reach = near[min(3, n_of[c] - 1, len(near) - 1)]
+            m.append((np.abs(v - x) < reach).sum() if reach else (v == x).sum())
+        sizes = n_of[y].to_numpy()
+        want = _digamma(np.array([len(v)]))[0] + _digamma(np.minimum(3, sizes - 1)).mean() - _digamma(sizes).mean() - _digamma(np.array(m)).mean()
+        assert r["mi"] == pytest.approx(max(0.0, want), abs=1e-6)
