@@ -2,9 +2,11 @@
 
 import warnings
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException, IllegalArgumentException, SparkRuntimeException
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Model
@@ -27,7 +29,10 @@ from cinderspark.operators import forests
 from cinderspark.operators.evaluation import classification_metrics, roc_auc
 from cinderspark.operators.sampling import stratified_folds
 from cinderspark.params import DEFAULT_SELECTION
-from cinderspark.session import cut_lineage
+from cinderspark.session import cut_lineage, shared_folder
+
+# Algorithms that a search fits at a time: each is a chain of small jobs, which leave cores idle.
+SEARCHED_AT_ONCE = 4
 
 
 def fit_scaler(train: DataFrame, features: list[str]) -> DataFrame:
@@ -158,7 +163,7 @@ class Ensemble:
 
 
 def search(df: DataFrame, features: list[str], label: str = "target", pid: str = "pid", s: Search = Search()) -> Ensemble:
-    """Try the algorithms on one holdout, keep the best by AUC, and average them greedily.
+    """Try the algorithms on one holdout, some side by side, keep the best by AUC, and average them greedily.
 
     Each step of the greedy average adds, with repetition, the model that lifts the AUC of the mean
     probability most. If no algorithm can be fitted, a random forest is the whole ensemble.
@@ -168,21 +173,39 @@ def search(df: DataFrame, features: list[str], label: str = "target", pid: str =
     data = stratified_split(with_vector(df, features, label).select(pid, label, "features"), label, s.train_share, pid).persist()
     train, held = data.where("in_train"), data.where("NOT in_train")
     scorer = BinaryClassificationEvaluator(labelCol=label)
-    found: list[tuple[str, str, Model, float]] = []
-    try:
-        for name, estimator, grid in search_space(len(features), label, s):
-            try:
+    # The folder of the checkpoints is set before threads write there.
+    shared_folder(df.sparkSession)
+
+    def tried(one: tuple) -> tuple[str, str, Model, float] | str:
+        name, estimator, grid = one
+        try:
+            if len(grid) == 1:
+                # Nothing to choose, so one fit is enough.
+                best = estimator.fit(train, grid[0])
+                if best.numClasses != 2:
+                    return f"{name} left out: {best.numClasses} classes"
+            else:
                 tuner = TrainValidationSplit(
                     estimator=estimator, estimatorParamMaps=grid, evaluator=scorer, trainRatio=s.train_share, seed=s.seed,
                     parallelism=s.parallel_fits,
                 )
                 best = tuner.fit(train).bestModel
-                scored = cut_lineage(predictions(best.transform(held), label))
-                kind, auc = type(best).__name__, roc_auc(scored, "p", "y").first()["auc"]
-                found.append((name, kind, best, auc))
-            except (IllegalArgumentException, SparkRuntimeException) as e:
-                # An algorithm that refuses these data; anything else is raised.
-                warnings.warn(f"{name} left out: {str(e).splitlines()[0]}", stacklevel=2)
+            scored = cut_lineage(predictions(best.transform(held), label))
+            return name, type(best).__name__, best, roc_auc(scored, "p", "y").first()["auc"]
+        except (IllegalArgumentException, SparkRuntimeException) as e:
+            # An algorithm that refuses these data; anything else is raised.
+            return f"{name} left out: {str(e).splitlines()[0]}"
+
+    def side_by_side(work, items: list) -> list:
+        with ThreadPoolExecutor(SEARCHED_AT_ONCE) as pool:
+            return list(pool.map(inheritable_thread_target(df.sparkSession)(work), items))
+
+    try:
+        data.count()
+        outcomes = side_by_side(tried, search_space(len(features), label, s))
+        for reason in (o for o in outcomes if isinstance(o, str)):
+            warnings.warn(reason, stacklevel=2)
+        found = [o for o in outcomes if not isinstance(o, str)]
         if not found:
             return Ensemble([("random_forest", random_forest(label).fit(data), 1.0)], features=features)
         top = sorted(found, key=lambda f: -f[3])[: s.keep]
@@ -198,7 +221,9 @@ def search(df: DataFrame, features: list[str], label: str = "target", pid: str =
                 mean = sum((F.col(f"_p{j}") for j in [*picked, i]), F.lit(0.0)) / len([*picked, i])
                 return roc_auc(joint.select("y", mean.alias("p")), "p", "y").first()["auc"]
 
-            picked.append(max(range(len(top)), key=lifted))
+            # A mean of one model has the AUC that is known.
+            aucs = side_by_side(lifted, list(range(len(top)))) if picked else [auc for *_, auc in top]
+            picked.append(max(range(len(top)), key=aucs.__getitem__))
         joint.unpersist()
         weights = Counter(picked)
         members = [(top[i][0], top[i][2], n / s.steps) for i, n in sorted(weights.items(), key=lambda kv: -kv[1])]

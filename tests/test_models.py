@@ -5,6 +5,7 @@ from unittest.mock import MagicMock
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import NaiveBayes
 from pyspark.sql import functions as F
 
 from cinderspark.operators import clean, selection, training
@@ -100,6 +101,23 @@ def test_search_scores_the_holdout_once_per_algorithm(spark, rows, monkeypatch):
     assert 0 < scored.value <= 85 * len(found.fits)
 
 
+def test_search_fits_once_where_there_is_nothing_to_choose(rows, monkeypatch):
+    fitted = []
+
+    class Counted(NaiveBayes):
+        def _fit(self, df):
+            fitted.append(df.count())
+            return super()._fit(df)
+
+    space = [("naive_bayes", Counted(labelCol="target", modelType="gaussian"), [{}])]
+    monkeypatch.setattr(training, "search_space", lambda *args: space)
+    found = training.search(rows, ["a", "b"], s=training.Search(steps=2))
+    assert len(fitted) == 1 and fitted[0] < 400 and [f[0] for f in found.fits] == ["naive_bayes"]
+    with pytest.warns(UserWarning, match="naive_bayes left out"):
+        found = training.search(rows.withColumn("target", F.lit(0)), ["a", "b"], s=training.Search(steps=2))
+    assert found.fits == []
+
+
 def test_scaled_training_rows_are_written(spark):
     data = [(i, date(2020, 1, 1) + timedelta(i), float(i), i % 2) for i in range(100)]
     read = spark.sparkContext.accumulator(0)
