@@ -60,6 +60,14 @@ def test_quantiles_take_one_mark_a_column(spark, monkeypatch):
     assert max(marks) <= 2 and marks[-1] == 1
 
 
+def test_quantiles_of_many_columns_and_of_none(spark):
+    df = spark.range(30_000, numPartitions=3).select(*[((F.col("id") * 7919 + i) % 30_011).cast("double").alias(f"c{i}") for i in range(24)]).cache()
+    got = quantiles.exact_quantiles(df, df.columns, [0.5], 1000)
+    wanted = {f"c{i}": float(np.median((np.arange(30_000) * 7919 + i) % 30_011)) for i in range(24)}
+    assert {c: v[0] for c, v in got.items()} == wanted
+    assert quantiles.exact_quantiles(df, [], [0.5]) == {}
+
+
 def _clustered(rng, n, hot):
     places = np.column_stack([rng.uniform(28.7, 31.5, n), rng.uniform(77.5, 81, n)])
     places[: int(n * hot)] = [29.5, 79.0] + rng.normal(0, 0.002, (int(n * hot), 2))
